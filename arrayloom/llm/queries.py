@@ -17,6 +17,12 @@ def piece_model(name: str = "piece_bpe_32k.model") -> bytes:
     return Path(public_tokenizers.path(name)).read_bytes()
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arrayloom.llm.secret_scan import secret_scan
+
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arrayloom.llm.token_counts import token_counts
 
@@ -30,6 +36,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_secret_scan": op4_secret_scan,
     "op6_token_counts": op6_token_counts,
     "op10_quality_classifier": op10_quality_classifier,
 }
