@@ -17,6 +17,12 @@ def piece_model(name: str = "piece_bpe_32k.model") -> bytes:
     return Path(public_tokenizers.path(name)).read_bytes()
 
 
+def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arrayloom.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arrayloom.llm.secret_scan import secret_scan
 
@@ -36,6 +42,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_spaced_seed_decontamination": op1_spaced_seed_decontamination,
     "op4_secret_scan": op4_secret_scan,
     "op6_token_counts": op6_token_counts,
     "op10_quality_classifier": op10_quality_classifier,
