@@ -5,15 +5,19 @@ symbols whose concatenation is a piece, so if no piece holds the character pair
 symbol spans a boundary between x and y, and the encodings of both sides are independent.
 
 Huge texts are encoded as overlapping chunks with offsets. Two neighbours are spliced at a position in
-their overlap where both have a token boundary and the character pair is stable; where there is none, the
+their overlap where both have a token boundary (of whole words, where words are independent) and the
+character pair is stable; where there is none, the
 overlap is widened (to the end of the text if need be). Shorter texts are summed over their words, which
 the same proof makes independent, each word being encoded once per worker.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +46,8 @@ class Counter:
         probe = "Aé ﬁ ①  b "  # a normaliser would change it
         kept = self.sp.decode(self.sp.encode(probe)) == probe
         self.by_words = kept and not any(pair[1] == META and pair[0] != META for pair in self.joined)
-        self.words: dict[str, int] = {}
+        self.leads = np.array([self.sp.id_to_piece(i).startswith(META) for i in range(self.sp.get_piece_size())])
+        self.words = {"": 0}
         self.widened = 0
 
     def stable(self, text: str, at: int) -> bool:
@@ -54,47 +59,57 @@ class Counter:
             return 0
         if len(text) > self.chunk:
             return self._spliced(text)
-        return self._summed(text) if self.by_words else len(self.sp.encode(text))
-
-    def _summed(self, text: str) -> int:
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            return len(self.sp.encode(text))  # runs of spaces are pieces of their own
-        words, known = text.split(" "), self.words
-        try:
-            return sum([known[w] for w in words])
-        except KeyError:
-            new = list({w for w in words if w not in known})
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            # a word stands for a space and itself; the encoder puts that space before every text
-            known.update(zip(new, map(len, self.sp.encode(new, num_threads=1))))
-            return sum([known[w] for w in words])
-
-    def _ends(self, text: str, begin: int, end: int) -> list[int]:
-        """Ends of the tokens of text[begin:end], encoded for itself, as positions in the text."""
-        return [begin + last for _, last in self.sp.encode(text[begin:end], return_type="offset_mapping")["offsets"]]
+        return sum(self._words(text.split(" "))) if self._plain(text, 0) else len(self.sp.encode(text))
+
+    def _plain(self, text: str, begin: int) -> bool:
+        """Each word is encoded with the one space before it; other spaces are pieces of their own."""
+        return self.by_words and "  " not in text and META not in text and text[-1] != " " and (begin > 0 or text[0] != " ")
+
+    def _words(self, words: list[str]) -> list[int]:
+        """Tokens of each word with the space before it; new words are encoded in one go and told apart by that space."""
+        known = self.words
+        new = list(set(words).difference(known))
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            known[""] = 0
+            new = list(set(words).difference(known))
+        if new:
+            ids = np.array(self.sp.encode(" ".join(new)), np.intp)
+            firsts = np.flatnonzero(self.leads[ids])
+            known.update(zip(new, np.diff(firsts, append=len(ids)).tolist(), strict=True))
+        return list(map(known.__getitem__, words))
+
+    def _encode(self, text: str, begin: int, end: int) -> tuple[list[int], list[int]]:
+        """text[begin:end] encoded for itself: ends of words or tokens, as places in the text, and tokens of each."""
+        part = text[begin:end]
+        if self._plain(part, begin):
+            words = part.split(" ")
+            ends = list(accumulate(map(len, words), lambda at, n: at + 1 + n, initial=begin - 1))
+            return ends[1:], self._words(words)
+        ends = [begin + last for _, last in self.sp.encode(part, return_type="offset_mapping")["offsets"]]
+        return ends, [1] * len(ends)
 
     def _spliced(self, text: str) -> int:
-        size, total, done = len(text), 0, -1  # tokens that end at or before ``done`` are counted
+        size, total, done = len(text), 0, -1  # what ends at or before ``done`` is counted
         begin, end, overlap = 0, min(len(text), self.chunk), self.overlap
-        left = self._ends(text, begin, end)
+        left, counts = self._encode(text, begin, end)
         while end < size:
             start, stop = max(begin, end - overlap), min(size, end + self.chunk - self.overlap)
-            right = self._ends(text, start, stop)
-            common, least = set(right), max(done, start)
+            right, right_counts = self._encode(text, start, stop)
+            least = max(done, start)
+            common = set(right[: bisect_left(right, end)])
             at = next((p for p in reversed(left) if least < p < end and p in common and self.stable(text, p)), None)
             if at is not None:
-                total += sum(1 for p in left if done < p <= at)
-                done, begin, end, left, overlap = at, start, stop, right, self.overlap
+                total += sum(counts[bisect_right(left, done) : bisect_right(left, at)])
+                done, begin, end, left, counts, overlap = at, start, stop, right, right_counts, self.overlap
                 continue
             self.widened += 1
             if start > begin and start > done:
                 overlap *= 2
             else:  # no stable boundary in all of the left chunk: it grows
                 end = min(size, 2 * end - begin)
-                left = self._ends(text, begin, end)
-        return total + sum(1 for p in left if p > done)
+                left, counts = self._encode(text, begin, end)
+        return total + sum(counts[bisect_right(left, done) :])
 
 
 def counting(model: bytes, chunk: int, overlap: int, text: str):
