@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from arrayloom.llm._common import label_sample, prepare, slices, unused, utf8_of, with_arrays
 
@@ -165,10 +166,7 @@ def rate(docs: DataFrame, model: Ordinal, tail: int | None = None, text: str = "
                 grade, probability = model.rate(texts[a:b], tail)
                 yield with_arrays(batch.slice(a, b - a), names, [pa.array(grade), pa.array(probability)])
 
-    schema = docs.schema
-    for n in names:
-        schema = schema.add(n, "double")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(n, DoubleType()) for n in names)]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, rows: int = TRAIN_ROWS) -> DataFrame:
