@@ -35,6 +35,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), piece_model(), limit=4096)
 
 
+def op8_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arrayloom.llm.setsketch import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arrayloom.llm.quality import quality_scores
 
@@ -45,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seed_decontamination": op1_spaced_seed_decontamination,
     "op4_secret_scan": op4_secret_scan,
     "op6_token_counts": op6_token_counts,
+    "op8_setsketch_near_dedup": op8_setsketch_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
