@@ -29,6 +29,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op5_segment_edit_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arrayloom.llm.line_dedup import line_report
+
+    return line_report(table(spark, sf_dir, "documents"), edits=2)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arrayloom.llm.token_counts import token_counts
 
@@ -50,6 +56,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seed_decontamination": op1_spaced_seed_decontamination,
     "op4_secret_scan": op4_secret_scan,
+    "op5_segment_edit_line_dedup": op5_segment_edit_line_dedup,
     "op6_token_counts": op6_token_counts,
     "op8_setsketch_near_dedup": op8_setsketch_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
