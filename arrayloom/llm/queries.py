@@ -41,6 +41,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), piece_model(), limit=4096)
 
 
+def op7_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arrayloom.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arrayloom.llm.setsketch import near_duplicates
 
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_segment_edit_line_dedup": op5_segment_edit_line_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_string_kernel_toxicity": op7_string_kernel_toxicity,
     "op8_setsketch_near_dedup": op8_setsketch_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
