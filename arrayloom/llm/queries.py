@@ -53,6 +53,12 @@ def op8_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op9_conflict_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arrayloom.llm.packing import pack, text_items
+
+    return pack(text_items(table(spark, sf_dir, "documents"), piece_model()))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arrayloom.llm.quality import quality_scores
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_string_kernel_toxicity": op7_string_kernel_toxicity,
     "op8_setsketch_near_dedup": op8_setsketch_near_dedup,
+    "op9_conflict_best_fit_packing": op9_conflict_best_fit_packing,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
