@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from arrayloom.llm._common import table
 
@@ -23,6 +24,14 @@ def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_multi_index_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arrayloom.llm.hamming_topk import hamming_top_k, sign_code
+
+    vectors = table(spark, sf_dir, "embeddings")
+    codes = vectors.select(F.col("vec_id").alias("id"), sign_code(F.col("embedding")).alias("code"))
+    return hamming_top_k(codes, codes.where(F.col("id") % 100 == 0), k=10)
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arrayloom.llm.secret_scan import secret_scan
 
@@ -67,6 +76,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seed_decontamination": op1_spaced_seed_decontamination,
+    "op3_multi_index_hamming_topk": op3_multi_index_hamming_topk,
     "op4_secret_scan": op4_secret_scan,
     "op5_segment_edit_line_dedup": op5_segment_edit_line_dedup,
     "op6_token_counts": op6_token_counts,
@@ -76,4 +86,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_multi_index_hamming_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS s FROM embeddings),
+        pairs AS (
+            SELECT q.vec_id AS query_id, v.vec_id AS neighbor_id,
+                   CAST(len(list_filter(list_zip(q.s, v.s), lambda z: z[1] <> z[2])) AS INTEGER) AS distance
+            FROM v AS q, v WHERE q.vec_id % 100 = 0),
+        ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank,
+                   neighbor_id, distance FROM pairs)
+        SELECT * FROM ranked WHERE rank <= 10""",
+}
