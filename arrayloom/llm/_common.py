@@ -52,6 +52,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows up to which a written table is read as one partition: its aggregates and joins then need no exchange.
+SMALL_ROWS = 50_000
+
+
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut`` and the number of rows; the partitions follow that number, one for a small table."""
+    out = cut(df)
+    n = out.count()
+    parts = max(1, -(-n // SMALL_ROWS))
+    return (out.coalesce(parts) if parts < out.rdd.getNumPartitions() else out), n
+
+
 def slices(sizes: Iterable[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges whose sizes sum to about ``limit``; every range has one row at least."""
     start = total = 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arrayloom.llm._common import cut
+from arrayloom.llm._common import cut_counted
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -23,21 +23,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return over.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Each node has one edge, to a root that has none of its own."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("goes")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("goes")))
+    return ends.groupBy("x").agg(F.sum("goes").alias("n"), F.min("goes").alias("least")).where("n > 1 or (n = 1 and least = 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): for each node of ``edges(u, v)`` but the roots themselves, the smallest node it can reach.
 
     Nulls and loops are left out; repeated edges count once; no edges give no rows. Steps grow with the
-    logarithm of the longest path; each is written to the checkpoint folder. A node with very many
-    neighbours is split by the adaptive skew join; its minimum is aggregated before the shuffle.
+    logarithm of the longest path; each is written to the checkpoint folder and read in as many partitions
+    as its rows ask for. A node with very many neighbours is split by the adaptive skew join; its minimum is
+    aggregated before the shuffle.
     """
-    now = cut(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v").distinct())
-    before = None
-    while (state := _state(now)) != before:
-        if not state[0]:
-            break
-        before, now = state, cut(_small_star(_large_star(now)))
+    now, n = cut_counted(edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).where("u <> v and u is not null and v is not null").distinct())
+    while n and not _settled(now):
+        now, n = cut_counted(_small_star(_large_star(now)))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

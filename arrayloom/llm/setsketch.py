@@ -7,11 +7,11 @@ similarity J. Registers are banded; sets that share a band are candidates, their
 likelihood from how many registers are greater, less and equal, and what may reach the threshold is verified
 on the full sets.
 
-Only distinct sets ("classes") are compared. Inside a shared band no pairs are spread out: in the first round
-each class meets the smallest class of each of its bands. What is linked is contracted. Bands that still
-hold several components go on to an exact step for just their classes: linked sets must share one of the
-first n - ceil(t * n) + 1 shingles in order of rarity (prefix filter), so classes of different components meet
-by those shingles, first the smallest in each again, then, contracted once more, all that remain.
+Only distinct sets ("classes") are compared. Inside a shared band no pairs are spread out: first each class
+meets the smallest class of each of its bands, and what is linked is contracted. The classes of bands that
+still hold several components are dealt to blocks of bounded size, each two of which meet in one task (blocks
+of one component don't meet); there, sets that share too little with all others are put aside, the rest
+are compared in full, and only links between components come out.
 
 Classes and shingles are 64-bit hashes: of N distinct sets about N**2 / 2**65 pairs are taken for one another.
 """
@@ -33,6 +33,8 @@ from arrayloom.llm.words import LOWER, mix, odd_multipliers, window_hashes, word
 
 BASE_B, RATE_A, LIMIT_Q = 1.001, 20.0, (1 << 16) - 2
 ROWS = 4
+#: Classes of a block.
+BLOCK = 256
 #: Chance that two sets at the threshold share no band.
 MISS = 1e-7
 #: Standard errors below the threshold at which an estimate rules a pair out.
@@ -158,11 +160,11 @@ def _estimating(sketch: Sketch):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, sketch.registers) for k in (2, 3))
-            n_a, n_b = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (4, 5))
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, sketch.registers) for k in (4, 5))
+            n_a, n_b = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (6, 7))
             greater, less = (a > b).sum(axis=1), (a < b).sum(axis=1)
             j = likeliest(greater, less, sketch.registers - greater - less, n_a, n_b)
-            yield batch.filter(pa.array(j >= sketch.least_estimate)).select(["a", "b"])
+            yield batch.filter(pa.array(j >= sketch.least_estimate)).select(["a", "b", "u", "v"])
 
     return run
 
@@ -177,25 +179,23 @@ def _verifying(percent: int):
                     p, q = q, p
                 both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
                 good.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+            yield batch.filter(pa.array(good, pa.bool_())).select(["u", "v"])
 
     return run
 
 
 def _links(pairs: DataFrame, sets: DataFrame, sketch: Sketch) -> DataFrame:
-    """Of ``pairs(a, b)`` those over the threshold: by estimate first, then on the full sets."""
+    """The components (u, v) of those ``pairs(a, b, u, v)`` over the threshold: by estimate first, then on the full sets."""
     side = lambda s, *c: sets.select(F.col("cls").alias(s), *[F.col(x).alias(f"{x}_{s}") for x in c])
-    near = pairs.join(side("a", "sketch", "n"), "a").join(side("b", "sketch", "n"), "b").where("100 * least(n_a, n_b) >= {0} * greatest(n_a, n_b)".format(sketch.percent))
-    near = near.select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b").mapInArrow(_estimating(sketch), "a long, b long")
-    full = near.join(side("a", "members"), "a").join(side("b", "members"), "b").select("a", "b", "members_a", "members_b")
-    return full.mapInArrow(_verifying(sketch.percent), "a long, b long")
+    near = pairs.join(side("a", "sketch", "n"), "a").join(side("b", "sketch", "n"), "b").where(f"100 * least(n_a, n_b) >= {sketch.percent} * greatest(n_a, n_b)")
+    near = near.select("a", "b", "u", "v", "sketch_a", "sketch_b", "n_a", "n_b").mapInArrow(_estimating(sketch), "a long, b long, u long, v long")
+    full = near.join(side("a", "members"), "a").join(side("b", "members"), "b").select("u", "v", "members_a", "members_b")
+    return full.mapInArrow(_verifying(sketch.percent), "u long, v long")
 
 
 def _contract(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels of classes after joining the components that ``links`` connect."""
-    side = lambda s: labels.select(F.col("cls").alias(s), F.col("root").alias(f"root_{s}"))
-    edges = links.join(side("a"), "a").join(side("b"), "b").select(F.col("root_a").alias("u"), F.col("root_b").alias("v"))
-    moved = components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    """Labels of classes after joining the components that ``links(u, v)`` connect."""
+    moved = components(links).select(F.col("node").alias("root"), F.col("root").alias("to"))
     return cut(labels.join(moved, "root", "left").select("cls", F.coalesce("to", "root").alias("root")))
 
 
@@ -207,34 +207,80 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """Each member of a key with the key's smallest class, unless they are in one component."""
-    centre = members.groupBy("key").agg(F.min(F.struct("cls", "root")).alias("c"))
-    met = members.join(centre, "key").where("root <> c.root")
-    return met.select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b")).distinct()
+    """Each of ``members(key, cls, root)`` with the key's smallest class, unless they are in one component."""
+    centre = members.groupBy("key").agg(F.min("cls").alias("b"))
+    centre = members.select("key", F.col("cls").alias("b"), F.col("root").alias("v")).join(centre, ["key", "b"])
+    return members.select("key", F.col("cls").alias("a"), F.col("root").alias("u")).join(centre, "key").where("u <> v").select("a", "b", "u", "v").distinct()
+
+
+def block_links(roots: list[int], sets: list[np.ndarray], percent: int) -> set[tuple[int, int]]:
+    """(root, root) of all linked sets of different components, of one block."""
+    if len(set(roots)) < 2:
+        return set()
+    n = np.array([len(s) for s in sets])
+    codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    owner = np.repeat(np.arange(len(sets)), n)
+    shared = counts[codes] > 1  # what only one set has is in no intersection
+    codes, owner = codes[shared], owner[shared]
+    # a set that shares too little with all others links with none
+    able = np.flatnonzero(100 * np.bincount(owner, minlength=len(sets)) >= percent * n)
+    out, root, marked = set(), np.array(roots), np.zeros(len(counts), bool)
+    for i in able.tolist():
+        own = codes[owner == i]
+        marked[own] = True
+        both = np.bincount(owner, marked[codes], len(sets))
+        marked[own] = False
+        linked = (100 * both >= percent * (n + n[i] - both)) & (root != root[i])
+        out |= {(max(roots[i], r), min(roots[i], r)) for r in set(root[linked].tolist())}
+    return out
+
+
+def _blocking(percent: int):
+    """Over rows sorted by ``pair``: the links of each run of rows of one pair of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, roots, sets = None, [], []
 
+        def links() -> pa.RecordBatch:
+            found = sorted(block_links(roots, sets, percent))
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
 
-def _prefix_members(open_classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(key, cls): the rarest n - ceil(t * n) + 1 shingles of each class that another class has, too."""
-    own = sets.join(open_classes, "cls").select("cls", "n", "members").mapInArrow(_spreading, "cls long, n long, shingle long")
-    rare = own.groupBy("shingle").agg(F.count("*").alias("f"))
-    ranked = own.join(rare, "shingle").groupBy("cls").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("s"))
-    size = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    first = ranked.select("cls", F.explode(F.slice("s", F.lit(1), size)).alias("s"))
-    return first.where("s.f > 1").select(F.col("s.shingle").alias("key"), "cls")
+        for batch in batches:
+            for p, r, members in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if p != pair and sets:
+                    yield links()
+                    roots, sets = [], []
+                pair = p
+                roots.append(r)
+                sets.append(np.frombuffer(members, np.uint64))
+        if sets:
+            yield links()
 
+    return run
 
-def _spreading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for a, b in slices([8 * x for x in n.tolist()], 1 << 20):
-            values = np.frombuffer(b"".join(batch.column(2).slice(a, b - a).to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[a:b], n[a:b])), pa.array(np.repeat(n[a:b], n[a:b])), pa.array(values)], names=["cls", "n", "shingle"])
 
+def _meet_in_blocks(members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """(u, v): links between different components among the classes of ``members(key, cls, root)``.
 
-def _crossing(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs of classes of different components that share a key."""
-    side = lambda s: members.select("key", F.col("cls").alias(s), F.col("root").alias(f"root_{s}"))
-    return side("a").join(side("b"), "key").where("a < b and root_a <> root_b").select("a", "b").distinct()
+    Components that share a key form a group; only classes of one group can link. A group's classes are dealt
+    to blocks of about ``block``, those of a large component to blocks of their own, and each two blocks meet
+    in one task, but for blocks of the same component.
+    """
+    centre = members.groupBy("key").agg(F.min("root").alias("v"))
+    groups = components(members.select("key", F.col("root").alias("u")).join(centre, "key").select("u", "v"))
+    classes = members.select("cls", "root").distinct().join(groups.select(F.col("node").alias("root"), F.col("root").alias("g")), "root", "left")
+    classes = cut(classes.select("cls", "root", F.coalesce("g", "root").alias("g")))
+    sizes = classes.groupBy("g", "root").agg(F.count("*").alias("n")).withColumn("large", 2 * F.col("n") > block)
+    pools = sizes.where("not large").groupBy("g").agg(F.sum("n").alias("pool"))
+    dealt = classes.join(sizes, ["g", "root"]).join(pools, "g", "left")
+    parts = lambda n: F.ceil(F.col(n) / block)
+    dealt = dealt.select("cls", "root", "g", F.when(F.col("large"), F.col("root")).alias("own"), F.when(F.col("large"), F.pmod(F.xxhash64("cls"), parts("n"))).otherwise(F.pmod(F.xxhash64("root"), parts("pool"))).alias("part"))
+    dealt = cut(dealt.withColumn("block", F.xxhash64("g", F.coalesce("own", F.lit(0)), F.col("own").isNull(), "part")))
+    blocks = dealt.select("g", "own", "block").distinct()
+    two = blocks.alias("x").join(blocks.alias("y"), F.expr("x.g = y.g and x.block <= y.block and not coalesce(x.own = y.own, false)"))
+    two = two.select(F.xxhash64("x.block", "y.block").alias("pair"), F.explode(F.array_distinct(F.array("x.block", "y.block"))).alias("block"))
+    rows = dealt.select("cls", "root", "block").join(two, "block").join(sets.select("cls", "members"), "cls").select("pair", "root", "members")
+    return rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(_blocking(percent), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
@@ -261,13 +307,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     gathered = texts.mapInArrow(_gathering(sketch), "want long, cls long, n long, sketch binary, members binary")
     # an id that is given twice may bring a text of another class
     sets = cut(gathered.join(wanted, (gathered["want"] == wanted["want"]) & (gathered["cls"] == wanted["want_cls"]), "left_semi").drop("want").dropDuplicates(["cls"]))
-    labels = cut(sets.select("cls", F.col("cls").alias("root")))
-    labels = _contract(labels, _links(_stars(members.join(labels, "cls")), sets, sketch))
-    open_classes = cut(_open(members, labels).select("cls").distinct())
-    if not open_classes.isEmpty():
-        rare = cut(_prefix_members(open_classes, sets, percent))
-        labels = _contract(labels, _links(_stars(_open(rare, labels)), sets, sketch))
-        labels = _contract(labels, _links(_crossing(_open(rare, labels), percent), sets, sketch))
+    alone = members.select("key", "cls", F.col("cls").alias("root"))
+    labels = _contract(sets.select("cls", F.col("cls").alias("root")), _links(_stars(alone), sets, sketch))
+    still_open = cut(_open(members, labels).select("key", "cls", "root"))
+    if not still_open.isEmpty():
+        labels = _contract(labels, _meet_in_blocks(still_open, sets, percent))
     smallest = labels.join(first, "cls").groupBy("root").agg(F.min("first_id").alias("component_id"))
     wide = labels.join(smallest, "root").select("cls", "component_id")
     found = first.join(wide, "cls", "left").select("cls", F.coalesce("component_id", "first_id").alias("component_id"))

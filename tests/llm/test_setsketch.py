@@ -57,6 +57,13 @@ def test_against_all_pairs(spark, words, percent):
     want = brute(rows, words, percent)
     assert got == want
     assert len({r[2] for r in want}) < len(want) - 100
+    if words == 5:  # many blocks a group
+        meet = S._meet_in_blocks
+        S._meet_in_blocks = lambda m, s, p: meet(m, s, p, block=4)
+        try:
+            assert sorted(map(tuple, S.near_duplicates(docs, words, percent).collect()), key=str) == want
+        finally:
+            S._meet_in_blocks = meet
     kept = S.keep_first(docs, words, percent)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {d for d, _, _, keep in want if keep}
