@@ -24,6 +24,12 @@ def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arrayloom.llm.pii import replace_personal_data
+
+    return replace_personal_data(table(spark, sf_dir, "documents"), key="surrogates of the public test tables")
+
+
 def op3_multi_index_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arrayloom.llm.hamming_topk import hamming_top_k, sign_code
 
@@ -76,6 +82,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seed_decontamination": op1_spaced_seed_decontamination,
+    "op2_surrogate_pii": op2_surrogate_pii,
     "op3_multi_index_hamming_topk": op3_multi_index_hamming_topk,
     "op4_secret_scan": op4_secret_scan,
     "op5_segment_edit_line_dedup": op5_segment_edit_line_dedup,
