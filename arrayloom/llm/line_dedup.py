@@ -4,8 +4,9 @@ Two lines within edit distance t: cut the shorter into t + 1 segments, then one
 longer (pigeonhole). Each line's segments are indexed with its length; each line probes, for every length
 l in [L - t, L], the substrings of itself that can be an untouched segment of a line of length l. The starts
 are bounded by the edits left of the segment and right of it, (t^2 - (L-l)^2) / 2 + t + 1 in all. Pairs that
-share one are verified by a bit-parallel edit distance of a band of 2t + 1 diagonals, on what lies between
-the common beginning and the common end.
+share one are verified by a bit-parallel edit distance of a band of 2t + 1 diagonals, on what lies between the
+common beginning and the common end. The join itself already leaves out pairs whose counts of frequent
+characters differ in parity at more places than the edits can make.
 
 Lines are joined once each (distinct lines), so copies cost nothing; a substring that many distinct lines share
 is split by the adaptive skew join. A line is dropped if an earlier place (by doc_id, then place in the text)
@@ -14,6 +15,8 @@ has the same line or one within the distance. Lines are told apart by 64-bit has
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,32 +24,44 @@ from arrayloom.llm._common import cut, unused
 
 #: Edits that two lines may differ by, and the characters below which a line is left alone.
 EDITS, LEAST_CHARS = 2, 20
+#: Frequent characters; that their counts are odd or even is compared before the lines are.
+COUNTED = " etaoinsrhldcumg"
 #: Places of lines in a text, as a factor of the id in a sortable place.
 LINES = 1 << 31
 
 
+def _div(a: Column, b: int) -> Column:
+    return F.call_function("div", a, F.lit(b)).cast("int")
+
+
 def _segment(length: Column, k: int, edits: int) -> tuple[Column, Column]:
     """Begin (from 0) and size of segment k of t + 1 of a line: the last ones get the characters left over."""
-    base, short = F.floor(length / (edits + 1)), edits + 1 - length % (edits + 1)
-    begin = k * base + F.greatest(F.lit(0), k - short)
-    return begin.cast("int"), (base + F.when(k >= short, 1).otherwise(0)).cast("int")
+    begin = lambda k: _div(length, edits + 1) * k + F.greatest(F.lit(0), length % (edits + 1) - (edits + 1 - k))
+    return begin(k), begin(k + 1) - begin(k)
+
+
+def parities(line: Column) -> Column:
+    """A bit for each of sixteen frequent characters: whether its count is odd. An edit flips two at most."""
+    odd = [((F.length(line) - F.length(F.replace(line, F.lit(c)))) % 2 * (1 << k)).cast("bigint") for k, c in enumerate(COUNTED)]
+    return reduce(lambda x, y: x + y, odd)
 
 
-def _mark(k: int, length: Column, part: Column) -> Column:
-    return F.xxhash64(F.lit(k), length, part)
+def _mark(k: int, length: Column, part: Column, parity: Column) -> Column:
+    """48 bits of a hash of a segment's number, its line's length and its text; below them the line's parities."""
+    return F.xxhash64(F.lit(k), length, part).bitwiseAND(F.lit(-1 << 16).cast("bigint")).bitwiseOR(parity)
 
 
-def index_marks(line: Column, length: Column, edits: int) -> Column:
-    """Hashes of a line's segments, with their number and the line's length."""
+def index_marks(line: Column, length: Column, parity: Column, edits: int) -> Column:
+    """Marks of a line's segments."""
     marks = []
     for k in range(edits + 1):
         begin, size = _segment(length, k, edits)
-        marks.append(_mark(k, length, F.substring(line, begin + 1, size)))
+        marks.append(_mark(k, length, F.substring(line, begin + 1, size), parity))
     return F.array(*marks)
 
 
-def probe_marks(line: Column, length: Column, edits: int) -> Column:
-    """Hashes of the substrings that may equal a segment of a line 0 to ``edits`` characters shorter."""
+def probe_marks(line: Column, length: Column, parity: Column, edits: int) -> Column:
+    """Marks of the substrings that may equal a segment of a line 0 to ``edits`` characters shorter."""
     marks = []
     for less in range(edits + 1):
         other = length - less
@@ -57,7 +72,7 @@ def probe_marks(line: Column, length: Column, edits: int) -> Column:
             for shift in range(first, last + 1):
                 at = begin + shift
                 fits = (at >= 0) & (at + size <= length) & (other > edits)
-                marks.append(F.when(fits, _mark(k, other, F.substring(line, at + 1, size))))
+                marks.append(F.when(fits, _mark(k, other, F.substring(line, at + 1, size), parity)))
     return F.array(*marks)
 
 
@@ -129,11 +144,14 @@ def line_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) ->
     """(a, b), a < b: all pairs of distinct lines (hashes) with at most ``edits`` edits between them."""
     if edits < 1 or least <= edits:
         raise ValueError("edits must be positive and less than the shortest line")
-    own = lines_of(docs, least).where("cls is not null").groupBy("cls").agg(F.first("line").alias("line"))
-    length = F.length("line")
-    indexed = own.select(F.col("cls").alias("i"), F.explode(index_marks(F.col("line"), length, edits)).alias("mark"))
-    probes = own.select(F.col("cls").alias("p"), F.explode(probe_marks(F.col("line"), length, edits)).alias("mark")).where("mark is not null")
-    pairs = indexed.join(probes, "mark").where("i <> p").select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct()
+    lines = lines_of(docs, least).where("cls is not null").withColumns({"size": F.length("line"), "parity": parities(F.col("line"))})
+    own = lines.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("line", "size", "parity")])
+    line, size, parity = F.col("line"), F.col("size"), F.col("parity")
+    indexed = own.select(F.col("cls").alias("i"), F.explode(index_marks(line, size, parity, edits)).alias("mark_i"))
+    probes = own.select(F.col("cls").alias("p"), F.explode(probe_marks(line, size, parity, edits)).alias("mark_p")).where("mark_p is not null")
+    flipped = F.bit_count(F.col("mark_i").bitwiseXOR(F.col("mark_p")))
+    same = F.shiftrightunsigned("mark_i", 16) == F.shiftrightunsigned("mark_p", 16)
+    pairs = indexed.join(probes, same & (F.col("i") != F.col("p")) & (flipped <= 2 * edits)).select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct()
     texts = pairs.join(own.select(F.col("cls").alias("a"), F.col("line").alias("line_a")), "a")
     texts = texts.join(own.select(F.col("cls").alias("b"), F.col("line").alias("line_b")), "b")
     return texts.where(within(F.col("line_a"), F.col("line_b"), edits)).select("a", "b")
