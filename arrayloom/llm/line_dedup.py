@@ -15,8 +15,6 @@ has the same line or one within the distance. Lines are told apart by 64-bit has
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,50 +28,39 @@ COUNTED = " etaoinsrhldcumg"
 LINES = 1 << 31
 
 
-def _div(a: Column, b: int) -> Column:
-    return F.call_function("div", a, F.lit(b)).cast("int")
-
-
-def _segment(length: Column, k: int, edits: int) -> tuple[Column, Column]:
-    """Begin (from 0) and size of segment k of t + 1 of a line: the last ones get the characters left over."""
-    begin = lambda k: _div(length, edits + 1) * k + F.greatest(F.lit(0), length % (edits + 1) - (edits + 1 - k))
-    return begin(k), begin(k + 1) - begin(k)
+def _begin(length: Column, k: Column, edits: int) -> Column:
+    """Where segment k of t + 1 of a line begins (from 0): the last segments get the characters left over."""
+    return F.call_function("div", length, F.lit(edits + 1)) * k + F.greatest(F.lit(0), length % (edits + 1) - (edits + 1 - k))
 
 
 def parities(line: Column) -> Column:
-    """A bit for each of sixteen frequent characters: whether its count is odd. An edit flips two at most."""
-    odd = [((F.length(line) - F.length(F.replace(line, F.lit(c)))) % 2 * (1 << k)).cast("bigint") for k, c in enumerate(COUNTED)]
-    return reduce(lambda x, y: x + y, odd)
+    """A bit for each of some frequent characters: whether its count is odd. An edit flips two at most."""
+    letters = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(1 << k).cast("bigint").alias("bit")) for k, c in enumerate(COUNTED)])
+    return F.aggregate(letters, F.lit(0).cast("bigint"), lambda bits, x: bits + x["bit"] * ((F.length(line) - F.length(F.replace(line, x["c"]))) % 2))
 
 
-def _mark(k: int, length: Column, part: Column, parity: Column) -> Column:
-    """48 bits of a hash of a segment's number, its line's length and its text; below them the line's parities."""
-    return F.xxhash64(F.lit(k), length, part).bitwiseAND(F.lit(-1 << 16).cast("bigint")).bitwiseOR(parity)
+def _marks(own: DataFrame, places: list[tuple[int, int, int]], edits: int, cls: str, name: str) -> DataFrame:
+    """A mark for each of ``places`` (segment, characters that the line is longer than the indexed one, shift).
+
+    A mark is 48 bits of a hash of the segment's number, the indexed line's length and the text at the place;
+    below them stand the line's parities. Places that don't fit into the line have none.
+    """
+    place = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(less).alias("less"), F.lit(shift).alias("shift")) for k, less, shift in places]))
+    each = own.select(F.col("cls").alias(cls), "line", "size", "parity", place.alias("at_place")).withColumn("indexed", F.col("size") - F.col("at_place.less"))
+    each = each.withColumns({"begin": _begin(F.col("indexed"), F.col("at_place.k"), edits), "next": _begin(F.col("indexed"), F.col("at_place.k") + 1, edits)})
+    at, size = (F.col("begin") + F.col("at_place.shift")).cast("int"), (F.col("next") - F.col("begin")).cast("int")
+    each = each.where((at >= 0) & (at + size <= F.col("size")) & (F.col("indexed") > edits))
+    mark = F.xxhash64(F.col("at_place.k"), F.col("indexed"), F.substring(F.col("line"), at + 1, size))
+    return each.select(cls, mark.bitwiseAND(F.lit(-1 << 16).cast("bigint")).bitwiseOR(F.col("parity")).alias(name))
 
 
-def index_marks(line: Column, length: Column, parity: Column, edits: int) -> Column:
-    """Marks of a line's segments."""
-    marks = []
-    for k in range(edits + 1):
-        begin, size = _segment(length, k, edits)
-        marks.append(_mark(k, length, F.substring(line, begin + 1, size), parity))
-    return F.array(*marks)
+def index_places(edits: int) -> list[tuple[int, int, int]]:
+    return [(k, 0, 0) for k in range(edits + 1)]
 
 
-def probe_marks(line: Column, length: Column, parity: Column, edits: int) -> Column:
-    """Marks of the substrings that may equal a segment of a line 0 to ``edits`` characters shorter."""
-    marks = []
-    for less in range(edits + 1):
-        other = length - less
-        for k in range(edits + 1):
-            begin, size = _segment(other, k, edits)
-            # at most k edits before the segment, at most t - k behind it
-            first, last = max(-k, less - (edits - k)), min(k, less + (edits - k))
-            for shift in range(first, last + 1):
-                at = begin + shift
-                fits = (at >= 0) & (at + size <= length) & (other > edits)
-                marks.append(F.when(fits, _mark(k, other, F.substring(line, at + 1, size), parity)))
-    return F.array(*marks)
+def probe_places(edits: int) -> list[tuple[int, int, int]]:
+    """Where an untouched segment of a line 0 to ``edits`` characters shorter can be: k edits at most lie before it, t - k behind it."""
+    return [(k, less, shift) for less in range(edits + 1) for k in range(edits + 1) for shift in range(max(-k, less - (edits - k)), min(k, less + (edits - k)) + 1)]
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -146,14 +133,13 @@ def line_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) ->
         raise ValueError("edits must be positive and less than the shortest line")
     lines = lines_of(docs, least).where("cls is not null").withColumns({"size": F.length("line"), "parity": parities(F.col("line"))})
     own = lines.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("line", "size", "parity")])
-    line, size, parity = F.col("line"), F.col("size"), F.col("parity")
-    indexed = own.select(F.col("cls").alias("i"), F.explode(index_marks(line, size, parity, edits)).alias("mark_i"))
-    probes = own.select(F.col("cls").alias("p"), F.explode(probe_marks(line, size, parity, edits)).alias("mark_p")).where("mark_p is not null")
-    flipped = F.bit_count(F.col("mark_i").bitwiseXOR(F.col("mark_p")))
+    indexed, probes = _marks(own, index_places(edits), edits, "i", "mark_i"), _marks(own, probe_places(edits), edits, "p", "mark_p")
     same = F.shiftrightunsigned("mark_i", 16) == F.shiftrightunsigned("mark_p", 16)
-    pairs = indexed.join(probes, same & (F.col("i") != F.col("p")) & (flipped <= 2 * edits)).select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct()
-    texts = pairs.join(own.select(F.col("cls").alias("a"), F.col("line").alias("line_a")), "a")
-    texts = texts.join(own.select(F.col("cls").alias("b"), F.col("line").alias("line_b")), "b")
+    flipped = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 2 * edits
+    pairs = indexed.join(probes, same & (F.col("i") != F.col("p")) & flipped("mark_i", "mark_p")).select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct()
+    # all columns are asked for here, too, so that the lines are shuffled once for all four uses
+    side = lambda s: own.select(F.col("cls").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("line", "size", "parity")])
+    texts = pairs.join(side("a"), "a").join(side("b"), "b").where((F.abs(F.col("size_a") - F.col("size_b")) <= edits) & flipped("parity_a", "parity_b"))
     return texts.where(within(F.col("line_a"), F.col("line_b"), edits)).select("a", "b")
 
 
