@@ -32,6 +32,8 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 ANY = "|".join(PATTERNS.values())
+#: What every entity has: an @, four digits with little between them, or a title. Texts without aren't searched further.
+HINT = r"@|[0-9](?:[\x20.()-]{0,2}[0-9]){3}|(?:M(?:rs?|s|iss|me|onsieur|adame)|Frau|Herr|Señora?|Госпо|Κύρι|Κυρί)\p{L}*\.?\x20\p{Lu}"
 NUMBERS = ("ssn", "phone", "card")
 FEMININE = r"^(?:Mrs|Ms|Miss|Frau|Señora|Madame|Mme|Госпожа|Κυρία)\b|^(?:Госпожа|Κυρία)"
 # Given names and syllables by script, endings by script and gender.
@@ -173,7 +175,7 @@ def resolve(entities: DataFrame, key: str) -> DataFrame:
 
 def found_in(text: Column) -> Column:
     """Entities of a text in order: struct<kind, value, canon>."""
-    values = F.when(F.regexp_like(text, F.lit(ANY)), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    values = F.when(F.regexp_like(text, F.lit(HINT)), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     kinds = F.transform(values, lambda v: F.struct(kind_of(v).alias("kind"), v.alias("value")))
     return F.transform(kinds, lambda e: F.struct(e["kind"].alias("kind"), e["value"].alias("value"), canonical(e["kind"], e["value"]).alias("canon")))
 

@@ -50,8 +50,8 @@ def _none(kind: str = SPAN) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
-def located(text: Column, pattern: str, rank: int, kind: str) -> Column:
-    """All leftmost non-overlapping matches as spans, with the matched text in ``value``."""
+def located(text: Column, pattern: str, rank: int, kind: str, hint: Column) -> Column:
+    """All leftmost non-overlapping matches as spans, with the matched text in ``value``; none without the ``hint``."""
     lit = F.lit(pattern)
     # each part is followed by a match, but for the last
     parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, lit, F.lit(0))
@@ -65,7 +65,7 @@ def located(text: Column, pattern: str, rank: int, kind: str) -> Column:
         return F.struct((begin + x["size"]).alias("at"), F.concat(s["out"], F.array(span)).alias("out")).cast(shape)
 
     all_found = F.aggregate(steps, state, step)["out"]
-    return F.when(F.regexp_like(text, lit), all_found).otherwise(_none("struct<start:int,rank:int,end:int,kind:string,value:string>"))
+    return F.when(hint & F.regexp_like(text, lit), all_found).otherwise(_none("struct<start:int,rank:int,end:int,kind:string,value:string>"))
 
 
 def hot_range(value: Column, c: EntropyClass) -> Column:
@@ -100,7 +100,8 @@ def hot_range(value: Column, c: EntropyClass) -> Column:
 
 def entropy_spans(text: Column, c: EntropyClass, rank: int, base: Column) -> Column:
     """Spans of candidates with hot windows that neither the allow-list nor a base span covers."""
-    found = located(text, c.candidates, rank, c.kind)
+    # the allow-list lets no candidate through that has no digit
+    found = located(text, c.candidates, rank, c.kind, F.col("digits"))
     allowed = lambda v: ~F.regexp_like(v, F.lit("|".join(f"(?:{p})" for p in ALLOW)))
     free = F.filter(found, lambda m: allowed(m["value"]) & ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     ranges = F.transform(free, lambda m: F.struct(m["start"].alias("at"), hot_range(m["value"], c).alias("hot")))
@@ -118,8 +119,9 @@ def secret_spans(docs: DataFrame, classes: tuple[EntropyClass, ...] = CLASSES) -
     text = F.col("text")
     plain = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     # of an assignment's match, the part behind the last separator is its second group
-    long_enough = F.filter(located(text, ASSIGN, 0, "assign"), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= ASSIGN_LEAST)
-    own = own.withColumns({"assign": plain(long_enough), "access": plain(located(text, ACCESS, 1, "access")), "hex": plain(located(text, HEX, 2, "hex"))})
+    long_enough = F.filter(located(text, ASSIGN, 0, "assign", F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= ASSIGN_LEAST)
+    own = own.withColumns({"assign": plain(long_enough), "access": plain(located(text, ACCESS, 1, "access", F.contains(text, F.lit("AKIA")))), "hex": plain(located(text, HEX, 2, "hex", F.lit(True)))})
+    own = own.withColumn("digits", F.regexp_like(text, F.lit("[0-9]")))
     own = own.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
     added = F.concat(*[entropy_spans(text, c, 3 + k, F.col("base")) for k, c in enumerate(classes)])
     return own.withColumn("added", added)
