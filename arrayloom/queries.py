@@ -320,9 +320,9 @@ def class_encode(spark, sf_dir):
 
 @query("""WITH v AS (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS x FROM embeddings),
     s AS (SELECT vec_id, avg(CAST(e AS DOUBLE)) AS m, stddev_samp(CAST(e AS DOUBLE)) AS d FROM v GROUP BY vec_id)
-    SELECT vec_id, CAST(x - 1 AS INTEGER) AS x, round((CAST(e AS DOUBLE) - m) / greatest(d, 1e-6), 4) AS v FROM v JOIN s USING (vec_id)""")
+    SELECT vec_id, CAST(x - 1 AS INTEGER) AS x, CAST(floor((CAST(e AS DOUBLE) - m) / greatest(d, 1e-6) * 10000 + 0.5) AS BIGINT) AS v FROM v JOIN s USING (vec_id)""")
 def normalise_image(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(S.normalise(F.col("embedding"))).alias("x", "v")).select("vec_id", "x", F.round("v", 4).alias("v"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(S.normalise(F.col("embedding"))).alias("x", "v")).select("vec_id", "x", F.floor(F.col("v") * 10000 + 0.5).cast("bigint").alias("v"))
 
 
 @query("SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place FROM orders")
