@@ -104,4 +104,19 @@ ORACLE_SQL: dict[str, str] = {
             SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank,
                    neighbor_id, distance FROM pairs)
         SELECT * FROM ranked WHERE rank <= 10""",
+    "op8_setsketch_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        l AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS l FROM w),
+        s AS (SELECT doc_id, len(l) AS n, unnest(l) AS s FROM l),
+        pairs AS (
+            SELECT x.doc_id AS a, y.doc_id AS b FROM s AS x JOIN s AS y ON x.s = y.s AND x.doc_id < y.doc_id
+            GROUP BY x.doc_id, y.doc_id HAVING 100 * count(*) >= 85 * (any_value(x.n) + any_value(y.n) - count(*))),
+        edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+        reach(doc_id, root) AS (
+            SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM reach AS r JOIN edges AS e ON e.a = r.doc_id)
+        SELECT l.doc_id, CAST(len(l.l) AS BIGINT) AS n_shingles, m.component_id, l.doc_id = m.component_id AS kept
+        FROM l JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) AS m USING (doc_id)""",
 }
