@@ -1,26 +1,31 @@
 """Exact top-k search of binary codes by incremental multi-index hashing.
 
 A 64-bit code is cut into m segments, each indexed by its value. If two codes differ in at most m * (r + 1) - 1
-bits, some segment differs in at most r. So searching all segment values within radius r finds every code up to
-that distance: the radius grows, for the queries that still need it, until the k-th best distance found is
-covered. Each found code's distance is counted exactly. A pair is taken only where its nearest segment (the
-first of equals) meets it, so no pair comes twice.
+bits, some segment differs in at most r. So looking up all segment values within radius r finds every code up to
+that distance: the radius grows until the k-th best distance found, each counted exactly, is covered.
 
-Equal codes are one entry with its k smallest ids, so a vector that a third of all rows share is one entry.
-The segment width follows the number of codes (about its logarithm), as the buckets then hold about one code.
+The distinct codes are dealt to blocks of bounded size; each block indexes its codes and gives its own exact
+top-k of every query, of which the best k are the result. Queries are sent in blocks of bounded size, too, one
+pass over the codes for each. Equal codes are one entry with its k smallest ids, so a vector that a third of
+all rows share is one entry.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arrayloom.llm._common import cut
+from arrayloom.llm._common import cut, prepare
 
 BITS, TOP = 64, 10
+#: Distinct codes of a block, and queries that are sent at once.
+BLOCK, QUERIES = 16_384, 4096
 
 
 def sign_code(vector: Column) -> Column:
@@ -29,26 +34,68 @@ def sign_code(vector: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseXOR(b))
 
 
-def _part(code: Column, s: int, width: int) -> Column:
-    return F.shiftrightunsigned(code, s * width).bitwiseAND(F.lit((1 << width) - 1 if width < BITS else -1).cast("bigint"))
-
-
-def _masks(width: int, radius: int) -> Column:
-    """All values of ``width`` bits of which ``radius`` are set, as a constant array."""
-    text = ",".join(str(sum(1 << b for b in bits)) for bits in combinations(range(width), radius))
-    return F.split(F.lit(text), ",").cast("array<bigint>")
-
-
-def _probe(s: int, width: int, masks: Column) -> Column:
-    """A query's segment with all values that differ from it by one of the masks."""
-    own = _part(F.col("q"), s, width)
-    return F.struct(F.lit(s).alias("s"), F.transform(masks, lambda m: own.bitwiseXOR(m)).alias("keys"))
-
-
-def segment_width(codes: int) -> int:
-    """The divisor of 64 next to the logarithm of the number of codes, 8 to 32."""
-    wanted = math.log2(max(codes, 2))
-    return min((8, 16, 32), key=lambda w: abs(math.log2(w) - math.log2(wanted)))
+@cache
+def masks(width: int, radius: int) -> np.ndarray:
+    """All values of ``width`` bits of which ``radius`` are set."""
+    return np.array([sum(1 << b for b in bits) for bits in combinations(range(width), radius)], np.int64)
+
+
+class Index:
+    """Codes of a block by the values of their segments."""
+
+    def __init__(self, codes: np.ndarray, least: np.ndarray, counts: np.ndarray, width: int):
+        self.codes, self.least, self.counts, self.width = codes.view(np.uint64), least, counts, width
+        self.segments = BITS // width
+        self.tables = []
+        for s in range(self.segments):
+            part = self.part(self.codes, s)
+            self.tables.append((np.argsort(part, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(part, minlength=1 << width))])))
+
+    def part(self, codes: np.ndarray, s: int) -> np.ndarray:
+        return ((codes >> np.uint64(s * self.width)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
+
+    def top(self, query: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The entries with the k rows of least distance (ties by their smallest id), and the distances."""
+        q = np.array([query], np.int64).view(np.uint64)
+        need, seen = min(k, int(self.counts.sum())), np.zeros(len(self.codes), bool)
+        found, distance = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for radius in range(self.width + 1):
+            for s, (order, starts) in enumerate(self.tables):
+                keys = self.part(q, s)[0] ^ masks(self.width, radius)
+                low, n = starts[keys], starts[keys + 1] - starts[keys]
+                low, n = low[n > 0], n[n > 0]
+                at = order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                at = at[~seen[at]]
+                seen[at] = True
+                found = np.concatenate([found, at])
+                distance = np.concatenate([distance, np.bitwise_count(self.codes[at] ^ q[0])])
+            covered = self.segments * (radius + 1) - 1
+            if self.counts[found[distance <= covered]].sum() >= need:
+                break
+        best = np.lexsort((self.least[found], distance))[:k]
+        return found[best], distance[best]
+
+
+def _searching(queries: np.ndarray, k: int, width: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def search() -> Iterator[pa.RecordBatch]:
+            code, least, n = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(3))
+            index = Index(code, least, n, width or (16 if len(code) > 2048 else 8))
+            for q in queries.tolist():
+                at, d = index.top(q, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), q)), pa.array(code[at]), pa.array(least[at]), pa.array(d.astype(np.int32))], names=["q", "code", "least", "d"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= BLOCK:
+                yield from search()
+                held = []
+        if sum(b.num_rows for b in held):
+            yield from search()
+
+    return run
 
 
 def hamming_top_k(rows: DataFrame, queries: DataFrame, k: int = TOP, width: int | None = None) -> DataFrame:
@@ -60,37 +107,22 @@ def hamming_top_k(rows: DataFrame, queries: DataFrame, k: int = TOP, width: int
     """
     if k < 1:
         raise ValueError("k must be positive")
+    prepare(rows.sparkSession)
     known = rows.select(F.col("id").cast("long").alias("id"), F.col("code").cast("long").alias("code")).where("id is not null and code is not null")
-    asked = queries.select(F.col("id").cast("long").alias("query_id"), F.col("code").cast("long").alias("q")).where("query_id is not null and q is not null").distinct()
+    asked = cut(queries.select(F.col("id").cast("long").alias("query_id"), F.col("code").cast("long").alias("q")).where("query_id is not null and q is not null").distinct())
     # at most k ids of a code matter; the limit works before the shuffle, too
-    ranked = known.withColumn("nth", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("nth") <= k)
-    entries = cut(ranked)
+    entries = cut(known.withColumn("nth", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("nth") <= k))
     codes = cut(entries.groupBy("code").agg(F.min("id").alias("least"), F.count("*").alias("n")))
-    size = codes.agg(F.count("*").alias("codes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-    need = min(k, size["rows"])
-    width = width or segment_width(size["codes"])
-    segments = BITS // width
-    parts = F.array(*[F.struct(F.lit(s).alias("s"), _part(F.col("code"), s, width).alias("key")) for s in range(segments)])
-    index = codes.select("code", "least", "n", F.explode(parts).alias("p")).select("code", "least", "n", "p.s", "p.key")
-    left = cut(asked.select("q").distinct())
-    best = left.select("q", F.lit(0).cast("long").alias("code"), F.lit(0).cast("long").alias("least"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("d")).where("false")
-    radius = 0
-    while need and not left.isEmpty():
-        masks = _masks(width, radius)
-        spread = F.array(*[_probe(s, width, masks) for s in range(segments)])
-        probes = left.select("q", F.explode(spread).alias("p")).select("q", "p.s", F.explode("p.keys").alias("key"))
-        met = index.join(probes, ["s", "key"])
-        apart = [F.bit_count(_part(F.col("code").bitwiseXOR(F.col("q")), t, width)) for t in range(segments)]
-        nearest = F.lit(True)
-        for t in range(segments):
-            nearest = nearest & ((F.col("s") == t) | F.when(F.col("s") > t, apart[t] > radius).otherwise(apart[t] >= radius))
-        fresh = met.where(nearest).select("q", "code", "least", "n", F.bit_count(F.col("code").bitwiseXOR(F.col("q"))).cast("int").alias("d"))
-        order = Window.partitionBy("q").orderBy("d", "least")
-        best = cut(best.unionByName(fresh).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).drop("nth"))
-        covered = segments * (radius + 1) - 1
-        done = best.where(F.col("d") <= covered).groupBy("q").agg(F.sum("n").alias("n")).where(F.col("n") >= need)
-        left = cut(left.join(done, "q", "left_anti"))
-        radius += 1
+    blocks = codes.repartition(max(1, -(-codes.count() // BLOCK)))
+    wanted = asked.select("q").distinct()
+    passes = max(1, -(-wanted.count() // QUERIES))
+    best = None
+    for p in range(passes):
+        part = wanted if passes == 1 else wanted.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == p)
+        sent = np.array(sorted(r.q for r in part.collect()), np.int64)  # about QUERIES codes
+        found = blocks.mapInArrow(_searching(sent, k, width), "q long, code long, least long, d int")
+        best = found if best is None else best.unionByName(found)
+    best = best.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy("d", "least"))).where(F.col("nth") <= k)
     found = best.join(entries.select("code", "id"), "code")
     top = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))).where(F.col("rank") <= k)
     return asked.join(top, "q").select("query_id", "rank", F.col("id").alias("neighbor_id"), F.col("d").alias("distance"))
