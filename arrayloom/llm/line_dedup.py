@@ -6,7 +6,7 @@ l in [L - t, L], the substrings of itself that can be an untouched segment of a
 are bounded by the edits left of the segment and right of it, (t^2 - (L-l)^2) / 2 + t + 1 in all. Pairs that
 share one are verified by a bit-parallel edit distance of a band of 2t + 1 diagonals, on what lies between the
 common beginning and the common end. The join itself already leaves out pairs whose counts of frequent
-characters differ in parity at more places than the edits can make.
+characters lie further apart than the edits can bring them.
 
 Lines are joined once each (distinct lines), so copies cost nothing; a substring that many distinct lines share
 is split by the adaptive skew join. A line is dropped if an earlier place (by doc_id, then place in the text)
@@ -15,6 +15,8 @@ has the same line or one within the distance. Lines are told apart by 64-bit has
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +24,10 @@ from arrayloom.llm._common import cut, unused
 
 #: Edits that two lines may differ by, and the characters below which a line is left alone.
 EDITS, LEAST_CHARS = 2, 20
-#: Frequent characters; that their counts are odd or even is compared before the lines are.
-COUNTED = " etaoinsrhldcumg"
+#: Frequent characters whose counts are compared before the lines are.
+COUNTED = " entr"
+#: Columns of the band after which a distance that can't stay within the edits is given up.
+LOOK = 24
 #: Places of lines in a text, as a factor of the id in a sortable place.
 LINES = 1 << 31
 
@@ -33,25 +37,34 @@ def _begin(length: Column, k: Column, edits: int) -> Column:
     return F.call_function("div", length, F.lit(edits + 1)) * k + F.greatest(F.lit(0), length % (edits + 1) - (edits + 1 - k))
 
 
-def parities(line: Column) -> Column:
-    """A bit for each of some frequent characters: whether its count is odd. An edit flips two at most."""
-    letters = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(1 << k).cast("bigint").alias("bit")) for k, c in enumerate(COUNTED)])
-    return F.aggregate(letters, F.lit(0).cast("bigint"), lambda bits, x: bits + x["bit"] * ((F.length(line) - F.length(F.replace(line, x["c"]))) % 2))
+def counts(line: Column) -> Column:
+    """How often some frequent characters occur, each modulo 8 in three bits."""
+    each = [(F.length(line) - F.length(F.replace(line, F.lit(c)))).bitwiseAND(F.lit(7)) * (1 << (3 * k)) for k, c in enumerate(COUNTED)]
+    return reduce(lambda x, y: x + y, each).cast("bigint")
+
+
+def close_counts(a: Column, b: Column, edits: int) -> Column:
+    """Whether two lines' counts are as close as the edits allow: each takes one character and puts one."""
+    total = F.lit(0)
+    for k in range(len(COUNTED)):
+        apart = (F.shiftrightunsigned(a, 3 * k) - F.shiftrightunsigned(b, 3 * k)).bitwiseAND(F.lit(7).cast("bigint"))
+        total = total + F.least(apart, 8 - apart)
+    return total <= 2 * edits
 
 
 def _marks(own: DataFrame, places: list[tuple[int, int, int]], edits: int, cls: str, name: str) -> DataFrame:
     """A mark for each of ``places`` (segment, characters that the line is longer than the indexed one, shift).
 
     A mark is 48 bits of a hash of the segment's number, the indexed line's length and the text at the place;
-    below them stand the line's parities. Places that don't fit into the line have none.
+    below them stand the line's counts. Places that don't fit into the line have none.
     """
     place = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(less).alias("less"), F.lit(shift).alias("shift")) for k, less, shift in places]))
-    each = own.select(F.col("cls").alias(cls), "line", "size", "parity", place.alias("at_place")).withColumn("indexed", F.col("size") - F.col("at_place.less"))
+    each = own.select(F.col("cls").alias(cls), "line", "size", "counts", place.alias("at_place")).withColumn("indexed", F.col("size") - F.col("at_place.less"))
     each = each.withColumns({"begin": _begin(F.col("indexed"), F.col("at_place.k"), edits), "next": _begin(F.col("indexed"), F.col("at_place.k") + 1, edits)})
     at, size = (F.col("begin") + F.col("at_place.shift")).cast("int"), (F.col("next") - F.col("begin")).cast("int")
     each = each.where((at >= 0) & (at + size <= F.col("size")) & (F.col("indexed") > edits))
     mark = F.xxhash64(F.col("at_place.k"), F.col("indexed"), F.substring(F.col("line"), at + 1, size))
-    return each.select(cls, mark.bitwiseAND(F.lit(-1 << 16).cast("bigint")).bitwiseOR(F.col("parity")).alias(name))
+    return each.select(cls, mark.bitwiseAND(F.lit(-1 << 16).cast("bigint")).bitwiseOR(F.col("counts")).alias(name))
 
 
 def index_places(edits: int) -> list[tuple[int, int, int]]:
@@ -101,8 +114,22 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
         # column 0: rows 1 to t + 1 rise by one each; its score is that of row min(t, m)
         start = F.struct(F.lit(((1 << (t + 1)) - 1) << t).cast("bigint").alias("vp"), F.lit(0).cast("bigint").alias("vn"), F.least(F.lit(t), m).alias("score")).cast(shape)
-        folded = F.aggregate(F.sequence(F.lit(1), F.size(y)), start, step)["score"] <= t
-        return F.when(F.size(x) - F.size(y) > t, F.lit(False)).when(F.size(y) == 0, F.size(x) <= t).otherwise(folded)
+        n = F.size(y)
+
+        def rest(s: Column) -> Column:
+            # the column's values, from the row of the score upwards: one above the edits in all rows can't come back
+            value, least = s["score"], s["score"]
+            for k in range(2 * t - 1, -1, -1):
+                bit = lambda word, k=k: F.shiftright(s[word], k).bitwiseAND(F.lit(1).cast("bigint"))
+                value = value - bit("vp") + bit("vn")
+                least = F.least(least, value)
+            over = (n > LOOK) & (m > LOOK + t) & (least > t)
+            more = F.aggregate(F.sequence(F.lit(LOOK + 1), n), s, step)["score"] <= t
+            return F.when(over, F.lit(False)).when(n > LOOK, more).otherwise(s["score"] <= t)
+
+        first = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(LOOK))), start, step)
+        folded = F.get(F.transform(F.array(first), rest), 0)
+        return F.when(m - n > t, F.lit(False)).when(n == 0, m <= t).otherwise(folded)
 
     longer, shorter = F.when(F.length(a) >= F.length(b), a).otherwise(b), F.when(F.length(a) >= F.length(b), b).otherwise(a)
     letters = lambda s: F.when(F.length(s) > 0, F.split(s, "", -1)).otherwise(F.array().cast("array<string>"))
@@ -131,15 +158,14 @@ def line_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) ->
     """(a, b), a < b: all pairs of distinct lines (hashes) with at most ``edits`` edits between them."""
     if edits < 1 or least <= edits:
         raise ValueError("edits must be positive and less than the shortest line")
-    lines = lines_of(docs, least).where("cls is not null").withColumns({"size": F.length("line"), "parity": parities(F.col("line"))})
-    own = lines.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("line", "size", "parity")])
+    lines = lines_of(docs, least).where("cls is not null").withColumns({"size": F.length("line"), "counts": counts(F.col("line"))})
+    own = lines.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("line", "size", "counts")])
     indexed, probes = _marks(own, index_places(edits), edits, "i", "mark_i"), _marks(own, probe_places(edits), edits, "p", "mark_p")
     same = F.shiftrightunsigned("mark_i", 16) == F.shiftrightunsigned("mark_p", 16)
-    flipped = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 2 * edits
-    pairs = indexed.join(probes, same & (F.col("i") != F.col("p")) & flipped("mark_i", "mark_p")).select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct()
+    pairs = indexed.join(probes, same & (F.col("i") != F.col("p")) & close_counts(F.col("mark_i"), F.col("mark_p"), edits)).select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct()
     # all columns are asked for here, too, so that the lines are shuffled once for all four uses
-    side = lambda s: own.select(F.col("cls").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("line", "size", "parity")])
-    texts = pairs.join(side("a"), "a").join(side("b"), "b").where((F.abs(F.col("size_a") - F.col("size_b")) <= edits) & flipped("parity_a", "parity_b"))
+    side = lambda s: own.select(F.col("cls").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("line", "size", "counts")])
+    texts = pairs.join(side("a"), "a").join(side("b"), "b").where((F.abs(F.col("size_a") - F.col("size_b")) <= edits) & close_counts(F.col("counts_a"), F.col("counts_b"), edits))
     return texts.where(within(F.col("line_a"), F.col("line_b"), edits)).select("a", "b")
 
 

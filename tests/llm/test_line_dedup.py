@@ -61,6 +61,12 @@ def test_distance(spark):
     for edits in (1, 2, 3):
         got = df.select("a", "b", within(F.col("a"), F.col("b"), edits).alias("w")).collect()
         assert all(r.w == (distance(r.a, r.b) <= edits) for r in got)
+    # differences far apart: the band is given up early, or kept to the end
+    long = ["".join(rng.choice("abcd") for _ in range(70)) for _ in range(12)]
+    far = [(a, b) for a in long for b in ("x" + a[1:] + "y", a[:-1], "xy" + a[2:30] + a[31:], a[1:] + "z", a[:40] + "qqq" + a[40:], long[0])]
+    df = spark.createDataFrame(far, "a string, b string")
+    for r in df.select("a", "b", within(F.col("a"), F.col("b"), 2).alias("w")).collect():
+        assert r.w == (distance(r.a, r.b) <= 2), (r.a, r.b)
 
 
 @pytest.mark.parametrize("edits", [1, 2])
