@@ -82,21 +82,25 @@ class Ordinal:
         return p @ grades, np.clip(p[:, grades >= tail].sum(axis=1), 0.0, 1.0)
 
 
-def fit_ordinal(x: np.ndarray, stats: np.ndarray, y: np.ndarray, steps: int = 500, penalty: float = 3e-3) -> Ordinal:
-    """Maximum penalised likelihood by Adam over standardised columns; deterministic."""
-    grades = sorted(set(y.tolist()))
-    full = np.hstack([x, stats]).astype(np.float32)
-    mean, spread = full.mean(axis=0), full.std(axis=0)
+def fit_ordinal(z: np.ndarray, y: np.ndarray, steps: int = 500, penalty: float = 3e-3) -> Ordinal:
+    """Maximum penalised likelihood by Adam over standardised columns; deterministic.
+
+    ``z`` has the bucket columns, then the statistics (float32); it is standardised in place.
+    """
+    grades, width = sorted(set(y.tolist())), z.shape[1] - STATS
+    mean = z.mean(axis=0)
+    z -= mean
+    spread = np.sqrt(np.einsum("ij,ij->j", z, z) / len(z))
     # a rare trigram's spread is near 0; its weight would jump, so the spread has a floor
-    spread = np.maximum(spread, np.concatenate([np.full(x.shape[1], 2e-4), np.full(stats.shape[1], 1e-2)]).astype(np.float32))
-    z = (full - mean) / spread
+    spread = np.maximum(spread, np.concatenate([np.full(width, 2e-4), np.full(STATS, 1e-2)]).astype(np.float32))
+    z /= spread
     k = np.searchsorted(grades, y)
     gaps = len(grades) - 1
     share = np.cumsum(np.bincount(k, minlength=len(grades)))[:-1] / len(k)
     first = np.log(share / (1 - share))
     theta = np.concatenate([first[:1], np.log(np.maximum(np.diff(first), 1e-2))])
     params = np.concatenate([np.zeros(z.shape[1]), theta])
-    shrink = np.concatenate([np.full(x.shape[1], penalty), np.full(stats.shape[1], penalty / 100)])
+    shrink = np.concatenate([np.full(width, penalty), np.full(STATS, penalty / 100)])
     m, v = np.zeros_like(params), np.zeros_like(params)
     for step in range(1, steps + 1):
         w, t = params[: z.shape[1]], params[z.shape[1] :]
@@ -115,7 +119,7 @@ def fit_ordinal(x: np.ndarray, stats: np.ndarray, y: np.ndarray, steps: int = 50
         params = params - 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     w, t = params[: z.shape[1]] / spread, params[z.shape[1] :]
     cuts = np.cumsum(np.concatenate([t[:1], np.exp(t[1:])])) + float(mean @ w)
-    return Ordinal(w[: x.shape[1]].copy(), w[x.shape[1] :].copy(), cuts, grades)
+    return Ordinal(w[:width].copy(), w[width:].copy(), cuts, grades)
 
 
 def neutral(grades: list[int]) -> Ordinal:
@@ -138,14 +142,20 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, where: str
     prepare(docs.sparkSession)
     sample = label_sample(labels.where(where), rows, "quality")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = sample.join(texts, "doc_id").select("doc_id", "label", "text").mapInArrow(_featurise, "doc_id long, label int, x binary").toPandas()
-    found = found.sort_values(["doc_id", "x"]).drop_duplicates("doc_id")
-    if found["label"].nunique() < 2:
-        return neutral([int(g) for g in found["label"].unique()])
-    half = 2 * BUCKETS
-    x = np.stack([np.frombuffer(r[:half], np.float16) for r in found["x"]])
-    stats = np.stack([np.frombuffer(r[half:], np.float32) for r in found["x"]])
-    return fit_ordinal(x, stats, found["label"].to_numpy())
+    found = sample.join(texts, "doc_id").select("doc_id", "label", "text").mapInArrow(_featurise, "doc_id long, label int, x binary").toArrow()
+    # in the order of the ids; of an id that is given repeatedly one row
+    order = found.select(["doc_id", "label"]).append_column("at", pa.array(np.arange(found.num_rows))).to_pandas().sort_values(["doc_id", "at"]).drop_duplicates("doc_id")
+    labels_found, half = order["label"].to_numpy(), 2 * BUCKETS
+    if len(set(labels_found.tolist())) < 2:
+        return neutral([int(g) for g in set(labels_found.tolist())])
+    z = np.empty((len(order), BUCKETS + STATS), np.float32)
+    rows_found = found.column("x")
+    for k, at in enumerate(order["at"].tolist()):
+        row = rows_found[at].as_py()
+        z[k, :BUCKETS], z[k, BUCKETS:] = np.frombuffer(row[:half], np.float16), np.frombuffer(row[half:], np.float32)
+    del found, rows_found
+    pa.default_memory_pool().release_unused()
+    return fit_ordinal(z, labels_found)
 
 
 def rate(docs: DataFrame, model: Ordinal, tail: int | None = None, text: str = "text") -> DataFrame:
