@@ -10,7 +10,8 @@ characters lie further apart than the edits can bring them.
 
 Lines are joined once each (distinct lines), so copies cost nothing; a substring that many distinct lines share
 is split by the adaptive skew join. A line is dropped if an earlier place (by doc_id, then place in the text)
-has the same line or one within the distance. Lines are told apart by 64-bit hashes of their trimmed text.
+has the same line or one within the distance. Repeats of a line are looked for whatever its length, lines within
+the edits from ``LEAST_CHARS`` characters on. Lines are told apart by 64-bit hashes of their trimmed text.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ from pyspark.sql import functions as F
 
 from arrayloom.llm._common import cut, unused
 
-#: Edits that two lines may differ by, and the characters below which a line is left alone.
+#: Edits that two lines may differ by, and the characters below which a line is compared exactly only.
 EDITS, LEAST_CHARS = 2, 20
 #: Frequent characters whose counts are compared before the lines are.
 COUNTED = " entr"
 #: Columns of the band after which a distance that can't stay within the edits is given up.
 LOOK = 24
+#: What is trimmed off a line.
+BLANKS = " \t\r\x0b\x0c"
 #: Places of lines in a text, as a factor of the id in a sortable place.
 LINES = 1 << 31
 
@@ -150,7 +153,7 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
     """A row for each line: doc_id, text_hash, line_no (from 0), line (trimmed), cls (null if shorter than ``least``)."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = own.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
-    own = own.withColumn("line", F.btrim("line", F.lit(" \t\r\x0b\x0c")))
+    own = own.withColumn("line", F.btrim("line", F.lit(BLANKS)))
     return own.withColumn("cls", F.when((F.length("line") >= least) & F.col("doc_id").isNotNull(), F.xxhash64("line")))
 
 
@@ -169,15 +172,16 @@ def line_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) ->
     return texts.where(within(F.col("line_a"), F.col("line_b"), edits)).select("a", "b")
 
 
-def judged(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def judged(docs: DataFrame, edits: int = EDITS, least: int = 1, least_near: int = LEAST_CHARS) -> DataFrame:
     """Each line's place with what becomes of it: doc_id, text_hash, line_no, cls, again, near, n_links.
 
     ``again``: an earlier place has the same line. ``near``: an earlier place has another line within the
-    distance. ``n_links``: distinct other lines within the distance.
+    distance. ``n_links``: distinct other lines within the distance. Lines shorter than ``least`` characters have
+    none of them (so empty ones never do), those shorter than ``least_near`` only the first.
     """
     own = lines_of(docs, least).drop("line").withColumn("place", F.col("doc_id").cast("decimal(20,0)") * F.lit(LINES).cast("decimal(11,0)") + F.col("line_no"))
     classes = own.where("cls is not null").groupBy("cls").agg(F.min("place").alias("first"))
-    links = cut(line_links(docs, edits, least))
+    links = cut(line_links(docs, edits, max(least, least_near)))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     firsts = lambda c: classes.select(F.col("cls").alias(c), F.col("first").alias(f"first_{c}"))
     near = both.join(firsts("a"), "a").join(firsts("b"), "b").groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("n_links"), F.max(F.col("first_b") < F.col("first_a")).alias("near"))
@@ -186,16 +190,17 @@ def judged(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> Dat
     return out.select("doc_id", "text_hash", "line_no", "cls", F.coalesce(F.col("place") > F.col("first"), F.lit(False)).alias("again"), F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def line_report(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def line_report(docs: DataFrame, edits: int = EDITS, least: int = 1, least_near: int = LEAST_CHARS) -> DataFrame:
     """doc_id, n_lines, n_again, n_near, n_links, n_kept, lines_kept for every distinct (doc_id, text) of ``docs``.
 
     n_again lines repeat an earlier line exactly, n_near others are within ``edits`` edits of an earlier line;
     n_links sums, over the lines, the distinct other lines within that distance; lines_kept lists the numbers
     of the lines that stay. Null texts are empty: one empty line. Lines shorter than ``least`` characters
-    (trimmed) always stay, as do those of rows with a null id. Rows that repeat an id with its text are one.
+    (trimmed; by default empty ones) always stay, as do those of rows with a null id; those shorter than
+    ``least_near`` go as exact repeats only. Rows that repeat an id with its text are one.
     An empty table gives no rows; other columns are ignored.
     """
-    found = judged(docs, edits, least).distinct()
+    found = judged(docs, edits, least, least_near).distinct()
     gone = F.col("again") | F.col("near")
     rows = found.groupBy("doc_id", "text_hash").agg(
         F.count("*").alias("n_lines"),
@@ -208,12 +213,12 @@ def line_report(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -
     return rows.drop("text_hash")
 
 
-def drop_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def drop_lines(docs: DataFrame, edits: int = EDITS, least: int = 1, least_near: int = LEAST_CHARS) -> DataFrame:
     """``docs`` with the repeated and near-repeated lines taken out of ``text`` (and ``n_chars``, if it is there, set anew).
 
-    Rows whose text loses all its lines go; all other rows and columns stay.
+    Rows that lose lines and keep none, or empty ones alone, go; all other rows and columns stay.
     """
-    gone = judged(docs, edits, least).where("again or near")
+    gone = judged(docs, edits, least, least_near).where("again or near")
     id_, hash_, lines = (unused(docs, c) for c in ("gone_id", "gone_hash", "gone_lines"))
     gone = gone.groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(F.sort_array(F.collect_set("line_no")).alias(lines))
     joined = docs.join(gone, (docs["doc_id"] == F.col(id_)) & (F.xxhash64(docs["text"].cast("string")) == F.col(hash_)), "left")
@@ -223,4 +228,5 @@ def drop_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) ->
     left = F.array_except(F.transform(flags, lambda f: f["i"]), F.col(lines))
     text = F.when(F.col(lines).isNull(), docs["text"]).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
     columns = [text.alias(c) if c == "text" else F.when(F.col(lines).isNull(), docs[c]).otherwise(F.length(text)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
-    return joined.where(F.col(lines).isNull() | (F.size(left) > 0)).select(*columns)
+    filled = F.exists(left, lambda i: F.length(F.btrim(F.get(parts, i), F.lit(BLANKS))) > 0)
+    return joined.where(F.col(lines).isNull() | filled).select(*columns)

@@ -88,3 +88,21 @@ def test_against_all_pairs(spark, edits):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, n_chars long")
     assert line_report(docs).count() == 0 and drop_lines(docs).count() == 0
+
+
+def test_short_repeats(spark):
+    rows = [(1, "And ornd.\nfirst line of some length\n\nx"), (2, "And ornd.\n\nfirst line of some length"), (3, "other line of some length\n And ornd. \nAnd ornb."), (4, "\n\n"), (5, "x\nx"), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_again, r.n_near, r.n_links, r.lines_kept) for r in line_report(docs).collect()}
+    # repeats of any length go, near ones of short lines ('And ornb.') and empty lines stay
+    assert got == {1: (0, 0, 0, [0, 1, 2, 3]), 2: (2, 0, 0, [1]), 3: (1, 0, 0, [0, 2]), 4: (0, 0, 0, [0, 1, 2]), 5: (2, 0, 0, []), None: (0, 0, 0, [0])}
+    texts = {r.doc_id: r.text for r in drop_lines(docs).collect()}
+    assert texts == {1: rows[0][1], 3: "other line of some length\nAnd ornb.", 4: "\n\n", None: "x"}
+    # the defaults against comparing all pairs, repeats from one character on
+    rows = corpus(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, repeats = brute(rows, 2, 20)[0], brute(rows, 0, 1)[0]
+    kept = {k: [n for n in want[k][5] if n in repeats[k][5]] for k in want}
+    report = sorted(((r.doc_id, r.lines_kept, r.n_again) for r in line_report(docs).collect()), key=str)
+    assert report == sorted(((k[0], kept[k], repeats[k][1]) for k in want), key=str)
+    assert sum(r[1] for r in repeats.values()) > sum(r[1] for r in want.values())
