@@ -3,8 +3,7 @@
 A mask names the places of a window that are hashed; the others are ignored, so a substitution there does
 not hide the overlap. Hashes of all masked windows of the benchmark are joined with those of the training
 texts; each hit fixes an alignment of one item with one text, along which words are compared. An overlap is
-the best-scoring stretch of that alignment (a word that differs costs two that agree); it counts if it is
-long and similar enough.
+a stretch of that alignment that is long and similar enough; the masks leave a hit in every such stretch.
 
 The benchmark is read in blocks of bounded size, each broadcast with one pass over the texts, so nothing
 that grows with the benchmark must fit in memory; the passes grow with the benchmark only.
@@ -23,8 +22,11 @@ from pyspark.sql import functions as F
 from arrayloom.llm._common import prepare, slices, texts_of
 from arrayloom.llm.words import plain, window_hashes, word_hashes
 
-#: Hashed places of each window; any 2 substitutions in 13 words leave one of them whole somewhere.
-MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 7), (0, 1, 4, 6, 7))
+#: Hashed places of each window; any 2 substitutions in 13 words leave one of them whole somewhere, as do 3 in 15, 4 in 20
+#: and 5 in 25. Longer stretches have one of these within, as one of two halves agrees as well as the whole.
+MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 7), (0, 1, 4, 6, 7), (0, 1, 2, 4, 5))
+#: The same for items of fewer than 13 words: any fifth of the words may differ.
+SHORT_MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))
 #: Words of an overlap (fewer if the item is shorter) and the share that must agree.
 LEAST_WORDS, LEAST_SIMILARITY = 13, 0.8
 #: Items with fewer words are not looked for.
@@ -42,16 +44,13 @@ class Index:
     seeds: list[tuple[tuple[int, ...], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
-    def build(cls, items: list[tuple[int, str]], masks=MASKS) -> Index:
+    def build(cls, items: list[tuple[int, str]], masks=MASKS, short_masks=SHORT_MASKS) -> Index:
         lists = [(i, word_hashes([plain(t or "")])[0]) for i, t in items]
         lists = [(i, w) for i, w in lists if len(w) >= LEAST_ITEM]
         ids, words = [i for i, _ in lists], [w for _, w in lists]
-        span = max(m[-1] for m in masks) + 1
-        # items too short for a mask are found by all their words
-        short = {len(w) for w in words if len(w) < span}
         seeds = []
-        for mask in [*masks, *(tuple(range(n)) for n in sorted(short))]:
-            found = [(window_hashes(w, list(mask), len(mask)), k) for k, w in enumerate(words) if mask in masks or len(w) == len(mask)]
+        for mask, short in [*((m, False) for m in masks), *((m, True) for m in short_masks)]:
+            found = [(window_hashes(w, list(mask), len(mask)), k) for k, w in enumerate(words) if (len(w) < LEAST_WORDS) == short]
             found = [(h, k) for h, k in found if len(h)]
             if not found:
                 continue
@@ -80,12 +79,17 @@ class Index:
 
 
 def best_stretch(same: np.ndarray) -> tuple[int, int]:
-    """The stretch with the most agreeing words less twice the others; the first of equals."""
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-    gain = total - np.minimum.accumulate(total)
-    end = int(np.argmax(gain))
-    begin = int(np.argmin(total[: end + 1]))
-    return begin, end
+    """The stretch of at least 13 words (of all, if there are fewer) of which 0.8 or more agree.
+
+    Of several, that with the most agreeing words less four times the others, the first of equals; (0, 0) if there is none.
+    """
+    least = min(LEAST_WORDS, len(same))
+    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -4))])  # not below 0 where 0.8 agree
+    gain = total[least:] - np.minimum.accumulate(total[: len(total) - least])
+    end = least + int(np.argmax(gain))
+    if gain[end - least] < 0:
+        return 0, 0
+    return int(np.argmin(total[: end - least + 1])), end
 
 
 def overlaps(index: Index, words: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:

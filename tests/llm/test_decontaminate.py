@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from arrayloom.llm.decontaminate import LEAST_SIMILARITY, LEAST_WORDS, MASKS, Index, best_stretch, contaminated, decontaminate
+from arrayloom.llm.decontaminate import LEAST_SIMILARITY, LEAST_WORDS, MASKS, SHORT_MASKS, Index, best_stretch, contaminated, decontaminate
 from arrayloom.llm.words import plain, word_hashes
 
 
@@ -70,3 +70,44 @@ def test_nulls_and_empty_tables(spark):
     assert contaminated(docs.where("false"), bench).count() == 0
     assert contaminated(docs, bench.where("false")).count() == 0
     assert Index.build([]).hits(word_hashes([b"a b c"])[0])[0].size == 0
+
+
+def test_any_fifth_of_the_words_leaves_a_seed():
+    for n, masks in [(15, MASKS), (20, MASKS), (25, MASKS), *((n, SHORT_MASKS) for n in range(5, 13))]:
+        places = [sum(1 << p + o for o in m) for m in masks for p in range(n - m[-1])]
+        for gone in itertools.combinations(range(n), n // 5):
+            bits = sum(1 << p for p in gone)
+            assert any(not bits & p for p in places), (n, gone)
+
+
+def agrees(text, item):
+    """Whether any alignment has any stretch of min(13, item length) words or more of which four fifths agree."""
+    a, b = text.lower().replace(".", "").replace("!", "").split(), item.split()
+    least = min(13, len(b))
+    for place in range(-len(b) + 1, len(a)):
+        same = [a[place + k] == b[k] for k in range(len(b)) if 0 <= place + k < len(a)]
+        if 5 * sum(same) >= 4 * least:
+            if any(5 * sum(same[x:y]) >= 4 * (y - x) for x in range(len(same)) for y in range(x + least, len(same) + 1)):
+                return True
+    return False
+
+
+def test_against_all_windows(spark):
+    texts, items = corpus()
+    rng = random.Random(8)
+    # 13 words with up to two changed anywhere, 5 to 12 with a fifth changed, an exact copy before a weak tail
+    for k in range(60):
+        item = [f"i{k}x{n}" for n in range(rng.choice([5, 8, 12, 13, 16, 20, 73]))]
+        part = list(item)
+        if len(part) == 73:
+            part[13:] = [w if n % 4 else "other" for n, w in enumerate(part[13:])]
+        else:
+            for n in rng.sample(range(len(part)), len(part) // 5 + (k % 4 == 0)):
+                part[n] = "other"
+        items.append((1000 + k, " ".join(item)))
+        texts.append((1000 + k, " ".join(["before", *part, "after"])))
+    texts = [(d, t) for d, t in texts if d < 60 or d >= 1000]
+    want = {(d, i) for i, item in items if len((item or "").split()) >= 5 for d, t in texts if t and agrees(t, item)}
+    got = contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) and len(want) > 50
+    assert all(5 * r.agreeing >= 4 * r.words for r in got)
