@@ -139,6 +139,15 @@ def read_batch(spark, sf_dir):
     return R.read_batch(wanted, images).select("slot", "idx", "pixel_sum")
 
 
+@query(f"""SELECT o_orderkey AS slot, vec_id AS idx, {SCALED_SUM.format("embedding")} AS pixel_sum
+    FROM orders JOIN embeddings ON vec_id = (o_orderkey * 7) % (SELECT count(*) FROM embeddings)""")
+def read_batch_whole(spark, sf_dir):
+    images = stack(spark, sf_dir).select("key", "idx", scaled_sum(F.col("line")).alias("pixel_sum"))
+    size = big(max(1, images.count()))
+    wanted = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("slot"), F.lit("stack").alias("key"), F.pmod(F.col("o_orderkey") * 7, size).alias("idx"))
+    return R.read_batch(wanted, images).select("slot", "idx", "pixel_sum")
+
+
 @query(f"""SELECT o_orderkey AS slot, o_custkey % 10 AS idx, {SCALED.format("embedding[1]")} AS first_pixel FROM orders JOIN embeddings ON vec_id = o_custkey % 10""")
 def read_batch_dups(spark, sf_dir):
     wanted = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("slot"), F.lit("stack").alias("key"), (F.col("o_custkey") % 10).alias("idx"))
@@ -202,6 +211,14 @@ def subset_rows(spark, sf_dir):
     return R.take(orders, R.normalise_rows(asked, n)).select("pos", "o_orderkey", "o_custkey")
 
 
+@query("""SELECT (SELECT count(*) FROM orders) - 1 - o_orderkey AS pos, o_orderkey, o_custkey FROM orders""")
+def subset_rows_whole(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumn("row", F.col("o_orderkey"))
+    n = orders.count()
+    asked = spark.range(n).select(F.col("id").alias("pos"), (-1 - F.col("id")).alias("row"))
+    return R.take(orders, R.normalise_rows(asked, n)).select("pos", "o_orderkey", "o_custkey")
+
+
 @query(f"""SELECT vec_id AS idx, {SCALED.format("embedding[1]")} AS v, vec_id % 3 = 0 AS cached FROM embeddings WHERE vec_id % 2 = 0""")
 def scratch_overlay(spark, sf_dir):
     images = stack(spark, sf_dir).select("key", "idx", scaled(F.get("line", 0)).alias("v"))
@@ -209,6 +226,12 @@ def scratch_overlay(spark, sf_dir):
     return R.overlay(wanted, images.where(F.col("idx") % 3 == 0), images, ["key", "idx"]).select("idx", "v", "cached")
 
 
+@query(f"""SELECT vec_id AS idx, {SCALED.format("embedding[1]")} AS v, vec_id % 3 = 0 AS cached FROM embeddings""")
+def scratch_overlay_whole(spark, sf_dir):
+    images = stack(spark, sf_dir).select("key", "idx", scaled(F.get("line", 0)).alias("v"))
+    return R.overlay(images.select("key", "idx"), images.where(F.col("idx") % 3 == 0), images, ["key", "idx"]).select("idx", "v", "cached")
+
+
 @query("""WITH a AS (SELECT l_suppkey AS key, max(l_linenumber) AS most FROM lineitem GROUP BY 1)
     SELECT key, true AS indexed, most, coalesce(most < s_nationkey % 9, false) AS valid FROM a LEFT JOIN supplier ON s_suppkey = key""")
 def validate_shapes(spark, sf_dir):
@@ -235,6 +258,17 @@ def chunk_fill(spark, sf_dir):
     return R.fill_missing(grid, stored, ["y", "x"], "v", big(-7))
 
 
+@query(f"""WITH g AS (SELECT y, x FROM (SELECT unnest(generate_series(0, (SELECT max(vec_id) FROM embeddings) // 16 + 1)) AS y), (SELECT unnest(generate_series(0, 15)) AS x)),
+    s AS (SELECT vec_id // 16 AS y, vec_id % 16 AS x, {SCALED.format("embedding[1]")} AS v FROM embeddings)
+    SELECT y, x, coalesce(v, -7) AS v FROM g LEFT JOIN s USING (y, x)""")
+def chunk_fill_whole(spark, sf_dir):
+    stored = table(spark, sf_dir, "embeddings").select(P.div(F.col("vec_id"), 16).alias("y"), (F.col("vec_id") % 16).alias("x"), scaled(F.get("embedding", 0)).alias("v"))
+    last = stored.agg(F.max("y").alias("y")).first()["y"]
+    # a row of chunks beyond the last is missing whole
+    grid = spark.range(0 if last is None else last + 2).select(F.col("id").alias("y"), F.explode(F.sequence(big(0), big(15))).alias("x"))
+    return R.fill_missing(grid, stored, ["y", "x"], "v", big(-7))
+
+
 # Events
 
 
