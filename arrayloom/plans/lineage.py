@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
+
+    Only where that is unset and all runs on one machine (tests) a temporary folder is made; on a cluster it is an error.
+    """
+    sc = spark.sparkContext
+    if (known := sc._jsc.sc().getCheckpointDir()).isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and re.match(r"local($|\[)", sc.master):
+            folder = tempfile.mkdtemp(prefix="arrayloom")
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder)
+        known = sc._jsc.sc().getCheckpointDir()
+    return known.get().rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the session's shared checkpoint folder (a local one only where none is set) and go on from there."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="arrayloom"))
+    """Write the rows to the shared folder and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
