@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -13,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arrayloom.plans.lineage import cut, shared_folder
+
 #: Rows of one Arrow batch and text bytes handled at once in a Python worker.
 ARROW_ROWS = 512
 SLICE_BYTES = 2 << 20
@@ -40,16 +43,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a local one is made.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="arrayloom-checkpoint"))
-    return df.checkpoint(eager=True)
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: read again column by column, and by executors that come later."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Rows up to which a written table is read as one partition: its aggregates and joins then need no exchange.

@@ -3,15 +3,16 @@
 Two lines within edit distance t: cut the shorter into t + 1 segments, then one of them occurs unchanged in the
 longer (pigeonhole). Each line's segments are indexed with its length; each line probes, for every length
 l in [L - t, L], the substrings of itself that can be an untouched segment of a line of length l. The starts
-are bounded by the edits left of the segment and right of it, (t^2 - (L-l)^2) / 2 + t + 1 in all. Pairs that
-share one are verified by a bit-parallel edit distance of a band of 2t + 1 diagonals, on what lies between the
-common beginning and the common end. The join itself already leaves out pairs whose counts of frequent
-characters lie further apart than the edits can bring them.
-
-Lines are joined once each (distinct lines), so copies cost nothing; a substring that many distinct lines share
-is split by the adaptive skew join. A line is dropped if an earlier place (by doc_id, then place in the text)
-has the same line or one within the distance. Repeats of a line are looked for whatever its length, lines within
-the edits from ``LEAST_CHARS`` characters on. Lines are told apart by 64-bit hashes of their trimmed text.
+are bounded by the edits left of the segment and right of it, (t^2 - (L-l)^2) / 2 + t + 1 in all. t follows from
+the shorter line's length: one edit for each full ten characters, two at most, so lines of under ten characters
+are compared exactly. Lines that share a mark (a segment at a length) are verified by a bit-parallel edit distance
+of a band of 2t + 1 diagonals, on what lies between the common beginning and the common end, once their counts
+of frequent characters are as close as the edits can bring them.
+
+Lines are joined once each (distinct lines), so copies cost nothing. Marks are counted before any text moves;
+the lines of a mark meet in blocks of bounded size, and what comes out is a row for each line with its number of
+links, so no pair of lines is ever a row. A line is dropped if an earlier place (by doc_id, then place in the text)
+has the same line or one within the distance. Lines are told apart by 64-bit hashes of their trimmed text.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arrayloom.llm._common import cut, unused
+from arrayloom.llm._common import cut, cut_counted, unused, written
 
-#: Edits that two lines may differ by, and the characters below which a line is compared exactly only.
-EDITS, LEAST_CHARS = 2, 20
+#: Edits that two lines may differ by at most, and the characters that allow one.
+EDITS, CHARS = 2, 10
+#: Lines of a mark that are compared at once, and shared marks up to which their table is broadcast (beyond, it is shuffled).
+BLOCK, BROADCAST_ROWS = 128, 200_000
 #: Frequent characters whose counts are compared before the lines are.
 COUNTED = " entr"
 #: Columns of the band after which a distance that can't stay within the edits is given up.
@@ -55,30 +58,6 @@ def close_counts(a: Column, b: Column, edits: int) -> Column:
     return total <= 2 * edits
 
 
-def _marks(own: DataFrame, places: list[tuple[int, int, int]], edits: int, cls: str, name: str) -> DataFrame:
-    """A mark for each of ``places`` (segment, characters that the line is longer than the indexed one, shift).
-
-    A mark is 48 bits of a hash of the segment's number, the indexed line's length and the text at the place;
-    below them stand the line's counts. Places that don't fit into the line have none.
-    """
-    place = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(less).alias("less"), F.lit(shift).alias("shift")) for k, less, shift in places]))
-    each = own.select(F.col("cls").alias(cls), "line", "size", "counts", place.alias("at_place")).withColumn("indexed", F.col("size") - F.col("at_place.less"))
-    each = each.withColumns({"begin": _begin(F.col("indexed"), F.col("at_place.k"), edits), "next": _begin(F.col("indexed"), F.col("at_place.k") + 1, edits)})
-    at, size = (F.col("begin") + F.col("at_place.shift")).cast("int"), (F.col("next") - F.col("begin")).cast("int")
-    each = each.where((at >= 0) & (at + size <= F.col("size")) & (F.col("indexed") > edits))
-    mark = F.xxhash64(F.col("at_place.k"), F.col("indexed"), F.substring(F.col("line"), at + 1, size))
-    return each.select(cls, mark.bitwiseAND(F.lit(-1 << 16).cast("bigint")).bitwiseOR(F.col("counts")).alias(name))
-
-
-def index_places(edits: int) -> list[tuple[int, int, int]]:
-    return [(k, 0, 0) for k in range(edits + 1)]
-
-
-def probe_places(edits: int) -> list[tuple[int, int, int]]:
-    """Where an untouched segment of a line 0 to ``edits`` characters shorter can be: k edits at most lie before it, t - k behind it."""
-    return [(k, less, shift) for less in range(edits + 1) for k in range(edits + 1) for shift in range(max(-k, less - (edits - k)), min(k, less + (edits - k)) + 1)]
-
-
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether the edit distance of two texts is at most ``edits``: bit-parallel over a band, in one fold.
 
@@ -149,76 +128,181 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return F.get(F.transform(F.transform(F.transform(bound, trimmed), trimmed), run), 0)
 
 
-def lines_of(docs: DataFrame, least: int) -> DataFrame:
-    """A row for each line: doc_id, text_hash, line_no (from 0), line (trimmed), cls (null if shorter than ``least``)."""
+def allowed(size: Column, edits: int, chars: int) -> Column:
+    """Edits that a line of ``size`` characters may be away: one for each full ``chars`` characters, ``edits`` at most."""
+    return F.least(F.lit(edits), F.call_function("div", size, F.lit(chars)).cast("int"))
+
+
+def _segment(line: Column, size: Column, k: int, less: int, shift: int, edits: int) -> Column:
+    """The mark of the place where segment k of a line ``less`` characters shorter would be, moved by ``shift``; null if it doesn't fit.
+
+    A mark is a hash of the indexed line's length and the text at the place, with k in its last three bits.
+    """
+    indexed = size - less
+    begin, after = _begin(indexed, F.lit(k), edits), _begin(indexed, F.lit(k + 1), edits)
+    at, width = (begin + shift).cast("int"), (after - begin).cast("int")
+    mark = F.xxhash64(indexed, F.substring(line, at + 1, width)).bitwiseAND(F.lit(-8).cast("bigint")).bitwiseOR(F.lit(k).cast("bigint"))
+    return F.when((at >= 0) & (at + width <= size), mark)
+
+
+def shifts(k: int, less: int, edits: int) -> range:
+    """Where an untouched segment k of a line ``less`` characters shorter can be: k edits at most lie before it, edits - k behind it."""
+    return range(max(-k, less - (edits - k)), min(k, less + (edits - k)) + 1)
+
+
+def with_marks(lines: DataFrame, edits: int, chars: int) -> DataFrame:
+    """A row for each distinct mark of each line, with ``own``: whether it is one of the line's own segments.
+
+    Which lengths go with which number of edits follows from the shorter line, the indexed one.
+    """
+    line, size = F.col("line"), F.col("size")
+    tiers = range(1, edits + 1)
+    own = [F.coalesce(*[F.when(allowed(size, edits, chars) == t, _segment(line, size, k, 0, 0, t)) for t in tiers if k <= t]) for k in range(edits + 1)]
+    probes = [
+        F.when((size >= less) & (allowed(size - less, edits, chars) == t), _segment(line, size, k, less, s, t))
+        for t in tiers
+        for less in range(t + 1)
+        for k in range(t + 1)
+        for s in shifts(k, less, t)
+        if (less, s) != (0, 0)
+    ]
+    # own marks come first, and each differs from the others by k
+    each = lines.select("*", F.posexplode(F.array_distinct(F.array(*own, *probes))).alias("at", "mark"))
+    return each.where("mark is not null").withColumn("own", F.col("at") <= edits).drop("at")
+
+
+def _occurs(i: Column, p: Column, k: Column, edits: int) -> Column:
+    """Whether segment k of line i stands in the longer line p where an untouched one can."""
+    begin, after = _begin(i["size"], k, edits), _begin(i["size"], k + 1, edits)
+    width, less = (after - begin).cast("int"), p["size"] - i["size"]
+    part = F.substring(i["line"], begin.cast("int") + 1, width)
+    places = F.sequence(F.greatest(-k, less - (edits - k)), F.least(k, less + (edits - k)))
+    return F.exists(places, lambda s: (begin + s >= 0) & (F.substring(p["line"], (begin + s).cast("int") + 1, width) == part))
+
+
+def _linked(i: Column, p: Column, k: Column, edits: int, chars: int) -> Column:
+    """Whether the line i, by its segment k, and the longer one p (of equals that with the greater hash) are within the edits.
+
+    True for the first segment of i that p has only, so that a pair counts once however many marks it shares.
+    """
+
+    def near(t: int) -> Column:
+        before = F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
+        first = _occurs(i, p, k, t) & ~F.exists(before, lambda j: _occurs(i, p, j, t))
+        return (p["size"] - i["size"] <= t) & close_counts(i["counts"], p["counts"], t) & first & within(p["line"], i["line"], t)
+
+    out = F.lit(False)
+    for t in range(1, edits + 1):
+        out = F.when(allowed(i["size"], edits, chars) == t, near(t)).otherwise(out)
+    return ((p["size"] > i["size"]) | ((p["size"] == i["size"]) & (p["cls"] > i["cls"]))) & out
+
+
+def _tallied(block: Column, mark: Column, across: Column, edits: int, chars: int) -> Column:
+    """For the lines of a block of one mark: array<struct<cls, n, earliest>>, links of each and the first place of the linked ones.
+
+    ``across``: only lines of different parts are compared.
+    """
+    k = mark.bitwiseAND(F.lit(7).cast("bigint")).cast("int")
+    bound = F.array(F.struct(F.filter(block, lambda x: x["own"]).alias("i"), block.alias("p")))
+
+    def meet(v: Column) -> Column:
+        return F.struct(v["i"].alias("i"), v["p"].alias("p"), F.transform(v["p"], lambda p: F.transform(v["i"], lambda i: (~across | (i["part"] != p["part"])) & _linked(i, p, k, edits, chars))).alias("m"))
+
+    def tally(v: Column) -> Column:
+        row = lambda cls, hits, firsts: F.struct(cls.alias("cls"), F.size(F.filter(hits, lambda h: h)).cast("bigint").alias("n"), F.array_min(F.zip_with(hits, firsts, lambda h, f: F.when(h, f))).alias("earliest"))
+        first_i, first_p = F.transform(v["i"], lambda i: i["first"]), F.transform(v["p"], lambda p: p["first"])
+        ups = F.zip_with(v["p"], v["m"], lambda p, hits: row(p["cls"], hits, first_i))
+        downs = F.transform(v["i"], lambda i, j: row(i["cls"], F.transform(v["m"], lambda hits: F.get(hits, j)), first_p))
+        return F.filter(F.concat(ups, downs), lambda r: r["n"] > 0)
+
+    return F.get(F.transform(F.transform(bound, meet), tally), 0)
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """A row for each line: doc_id, text_hash, line_no (from 0), line (trimmed), cls (null for empty lines and rows with a null id)."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = own.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
     own = own.withColumn("line", F.btrim("line", F.lit(BLANKS)))
-    return own.withColumn("cls", F.when((F.length("line") >= least) & F.col("doc_id").isNotNull(), F.xxhash64("line")))
+    return own.withColumn("cls", F.when((F.length("line") > 0) & F.col("doc_id").isNotNull(), F.xxhash64("line")))
+
+
+def _place() -> Column:
+    return F.col("doc_id").cast("decimal(20,0)") * F.lit(LINES).cast("decimal(11,0)") + F.col("line_no")
 
 
-def line_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """(a, b), a < b: all pairs of distinct lines (hashes) with at most ``edits`` edits between them."""
-    if edits < 1 or least <= edits:
-        raise ValueError("edits must be positive and less than the shortest line")
-    lines = lines_of(docs, least).where("cls is not null").withColumns({"size": F.length("line"), "counts": counts(F.col("line"))})
-    own = lines.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("line", "size", "counts")])
-    indexed, probes = _marks(own, index_places(edits), edits, "i", "mark_i"), _marks(own, probe_places(edits), edits, "p", "mark_p")
-    same = F.shiftrightunsigned("mark_i", 16) == F.shiftrightunsigned("mark_p", 16)
-    pairs = indexed.join(probes, same & (F.col("i") != F.col("p")) & close_counts(F.col("mark_i"), F.col("mark_p"), edits)).select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct()
-    # all columns are asked for here, too, so that the lines are shuffled once for all four uses
-    side = lambda s: own.select(F.col("cls").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("line", "size", "counts")])
-    texts = pairs.join(side("a"), "a").join(side("b"), "b").where((F.abs(F.col("size_a") - F.col("size_b")) <= edits) & close_counts(F.col("counts_a"), F.col("counts_b"), edits))
-    return texts.where(within(F.col("line_a"), F.col("line_b"), edits)).select("a", "b")
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """cls, line, size, first (place), places of the distinct lines, written to the shared folder."""
+    lines = lines_of(docs).where("cls is not null")
+    own = lines.groupBy("line").agg(F.min(_place()).alias("first"), F.count("*").alias("places"))
+    return written(own.select(F.xxhash64("line").alias("cls"), "line", F.length("line").alias("size"), "first", "places"))
 
 
-def judged(docs: DataFrame, edits: int = EDITS, least: int = 1, least_near: int = LEAST_CHARS) -> DataFrame:
-    """Each line's place with what becomes of it: doc_id, text_hash, line_no, cls, again, near, n_links.
+def link_counts(own: DataFrame, edits: int = EDITS, chars: int = CHARS, block: int = BLOCK) -> DataFrame:
+    """cls, n_links, earliest for the ``distinct_lines`` that have others within the edits: their number and their first place.
+
+    Marks that two lines share are counted first. Only their lines are brought together, in blocks of about
+    ``block``; the blocks of a mark meet two at a time, each meeting in a task of its own, and give a row for
+    each line that has links there, not for each pair.
+    """
+    if not 1 <= edits < 8 or chars <= edits:
+        raise ValueError("edits must be 1 to 7, and fewer than the characters that allow one")
+    long = own.where(F.col("size") >= chars)
+    marks = with_marks(long.select("line", "size"), edits, chars).groupBy("mark").agg(F.count("*").alias("n"), F.max("own").alias("indexed"))
+    shared, n = cut_counted(marks.where("n > 1 and indexed").select("mark", F.ceil(F.col("n") / block).cast("int").alias("parts")))
+    members = with_marks(long.select("cls", "line", "size", "first"), edits, chars).join(F.broadcast(shared) if n <= BROADCAST_ROWS else shared, "mark")
+    members = members.withColumns({"part": F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"), "counts": counts(F.col("line"))})
+    met = members.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    met = met.groupBy("mark", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y")).agg(F.collect_list(F.struct("cls", "line", "size", "first", "own", "part", "counts")).alias("lines"))
+    rows = met.select(F.explode(_tallied(F.col("lines"), F.col("mark"), F.col("x") != F.col("y"), edits, chars)).alias("r"))
+    return rows.groupBy("r.cls").agg(F.sum("r.n").alias("n_links"), F.min("r.earliest").alias("earliest"))
+
+
+def judged(docs: DataFrame, edits: int = EDITS, chars: int = CHARS) -> DataFrame:
+    """Each line's place with what becomes of it: doc_id, text_hash, line_no, again, near, n_links.
 
     ``again``: an earlier place has the same line. ``near``: an earlier place has another line within the
-    distance. ``n_links``: distinct other lines within the distance. Lines shorter than ``least`` characters have
-    none of them (so empty ones never do), those shorter than ``least_near`` only the first.
+    distance. ``n_links``: distinct other lines within the distance. Empty lines have none of them.
     """
-    own = lines_of(docs, least).drop("line").withColumn("place", F.col("doc_id").cast("decimal(20,0)") * F.lit(LINES).cast("decimal(11,0)") + F.col("line_no"))
-    classes = own.where("cls is not null").groupBy("cls").agg(F.min("place").alias("first"))
-    links = cut(line_links(docs, edits, max(least, least_near)))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    firsts = lambda c: classes.select(F.col("cls").alias(c), F.col("first").alias(f"first_{c}"))
-    near = both.join(firsts("a"), "a").join(firsts("b"), "b").groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("n_links"), F.max(F.col("first_b") < F.col("first_a")).alias("near"))
-    found = classes.join(near, "cls", "left")
-    out = own.join(found, "cls", "left")
-    return out.select("doc_id", "text_hash", "line_no", "cls", F.coalesce(F.col("place") > F.col("first"), F.lit(False)).alias("again"), F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
-def line_report(docs: DataFrame, edits: int = EDITS, least: int = 1, least_near: int = LEAST_CHARS) -> DataFrame:
+    own = distinct_lines(docs)
+    linked = own.select("cls", "first").join(link_counts(own, edits, chars), "cls")
+    repeated = own.where("places > 1").select("cls", "first", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("decimal(31,0)").alias("earliest"))
+    found = linked.unionByName(repeated).groupBy("cls").agg(F.min("first").alias("first"), F.max("n_links").alias("n_links"), F.min("earliest").alias("earliest"))
+    out = lines_of(docs).select("doc_id", "text_hash", "line_no", "cls").join(cut(found), "cls", "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return out.select("doc_id", "text_hash", "line_no", yes(_place() > F.col("first")).alias("again"), yes(F.col("earliest") < F.col("first")).alias("near"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def line_report(docs: DataFrame, edits: int = EDITS, chars: int = CHARS) -> DataFrame:
     """doc_id, n_lines, n_again, n_near, n_links, n_kept, lines_kept for every distinct (doc_id, text) of ``docs``.
 
-    n_again lines repeat an earlier line exactly, n_near others are within ``edits`` edits of an earlier line;
+    n_again lines repeat an earlier line exactly, n_near others are within the edits of an earlier line;
     n_links sums, over the lines, the distinct other lines within that distance; lines_kept lists the numbers
-    of the lines that stay. Null texts are empty: one empty line. Lines shorter than ``least`` characters
-    (trimmed; by default empty ones) always stay, as do those of rows with a null id; those shorter than
-    ``least_near`` go as exact repeats only. Rows that repeat an id with its text are one.
-    An empty table gives no rows; other columns are ignored.
+    of the lines that stay. Null texts are empty: one empty line. Empty lines (trimmed) and those of rows with a
+    null id always stay. Rows that repeat an id with its text are one. Texts and lines of any length are read
+    whole. An empty table gives no rows; other columns are ignored.
     """
-    found = judged(docs, edits, least, least_near).distinct()
+    found = judged(docs, edits, chars)
     gone = F.col("again") | F.col("near")
     rows = found.groupBy("doc_id", "text_hash").agg(
-        F.count("*").alias("n_lines"),
+        (F.max("line_no") + 1).cast("long").alias("n_lines"),
+        F.count("*").alias("places"),
         F.sum(F.col("again").cast("long")).alias("n_again"),
         F.sum((F.col("near") & ~F.col("again")).cast("long")).alias("n_near"),
         F.sum("n_links").alias("n_links"),
-        F.sum((~gone).cast("long")).alias("n_kept"),
-        F.sort_array(F.collect_list(F.when(~gone, F.col("line_no")))).alias("lines_kept"),
+        F.sort_array(F.collect_set(F.when(~gone, F.col("line_no")))).alias("lines_kept"),
     )
-    return rows.drop("text_hash")
+    # rows that repeat an id with its text have given each line as often
+    once = [F.call_function("div", F.col(c) * F.col("n_lines"), F.col("places")).alias(c) for c in ("n_again", "n_near", "n_links")]
+    return rows.select("doc_id", "n_lines", *once, F.size("lines_kept").cast("long").alias("n_kept"), "lines_kept")
 
 
-def drop_lines(docs: DataFrame, edits: int = EDITS, least: int = 1, least_near: int = LEAST_CHARS) -> DataFrame:
+def drop_lines(docs: DataFrame, edits: int = EDITS, chars: int = CHARS) -> DataFrame:
     """``docs`` with the repeated and near-repeated lines taken out of ``text`` (and ``n_chars``, if it is there, set anew).
 
-    Rows that lose lines and keep none, or empty ones alone, go; all other rows and columns stay.
+    Rows that lose lines and keep none, or empty ones alone, go; all other rows and columns stay. Null and empty
+    texts and rows with a null id stay as they are; rows that repeat an id with its text lose the same lines.
     """
-    gone = judged(docs, edits, least, least_near).where("again or near")
+    gone = judged(docs, edits, chars).where("again or near")
     id_, hash_, lines = (unused(docs, c) for c in ("gone_id", "gone_hash", "gone_lines"))
     gone = gone.groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(F.sort_array(F.collect_set("line_no")).alias(lines))
     joined = docs.join(gone, (docs["doc_id"] == F.col(id_)) & (F.xxhash64(docs["text"].cast("string")) == F.col(hash_)), "left")

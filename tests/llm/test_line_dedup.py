@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from arrayloom.llm.line_dedup import drop_lines, line_links, line_report, lines_of, within
+from arrayloom.llm.line_dedup import distinct_lines, drop_lines, line_report, link_counts, within
 
 
 def distance(a, b):
@@ -32,13 +32,14 @@ def corpus(seed=2):
     return [*docs, (200, None), (201, ""), (202, docs[0][1]), (None, docs[0][1]), (203, "\n\n"), (203, docs[1][1]), (203, docs[1][1])]
 
 
-def brute(rows, edits, least):
+def brute(rows, edits=2, chars=10):
     places = {(d, t or "", k): line.strip(" \t\r\x0b\x0c") for d, t in rows for k, line in enumerate((t or "").split("\n"))}
     first = {}
     for (d, _, k), line in places.items():
-        if d is not None and len(line) >= least:
+        if d is not None and line:
             first[line] = min(first.get(line, (d, k)), (d, k))
-    links = {line: [o for o in first if o != line and abs(len(o) - len(line)) <= edits and distance(o, line) <= edits] for line in first}
+    near_to = lambda a, b: abs(len(a) - len(b)) <= edits and distance(a, b) <= min(edits, min(len(a), len(b)) // chars)
+    links = {line: [o for o in first if o != line and near_to(o, line)] for line in first}
     out = {}
     for (d, t, k), line in places.items():
         again = line in first and d is not None and (d, k) > first[line]
@@ -51,7 +52,7 @@ def brute(rows, edits, least):
         if not (again or near):
             row[4] += 1
             row[5].append(k)
-    return out, {tuple(sorted((a, b))) for a, many in links.items() for b in many}
+    return out, links
 
 
 def test_distance(spark):
@@ -69,20 +70,34 @@ def test_distance(spark):
         assert r.w == (distance(r.a, r.b) <= 2), (r.a, r.b)
 
 
-@pytest.mark.parametrize("edits", [1, 2])
-def test_against_all_pairs(spark, edits):
+@pytest.mark.parametrize(("edits", "chars", "block"), [(2, 10, 128), (3, 6, 5)])
+def test_against_all_pairs(spark, edits, chars, block):
     rows = corpus(edits)
     docs = spark.createDataFrame([(d, t, 9, "k") for d, t in rows], "doc_id long, text string, line_no int, gone_id string")
-    want, pairs = brute(rows, edits, 20)
-    names = {r.cls: r.line for r in lines_of(docs, 20).where("cls is not null").select("cls", "line").distinct().collect()}
-    got = [tuple(sorted((names[r.a], names[r.b]))) for r in line_links(docs, edits, 20).collect()]
-    assert set(got) == pairs and len(got) == len(pairs) and len(pairs) > 50
-    report = sorted((tuple(r) for r in line_report(docs, edits, 20).collect()), key=str)
+    want, links = brute(rows, edits, chars)
+    own = distinct_lines(docs)
+    names = {r.cls: r.line for r in own.collect()}
+    got = {names[r.cls]: r.n_links for r in link_counts(own, edits, chars, block).collect()}
+    assert got == {line: len(many) for line, many in links.items() if many} and sum(got.values()) > 50
+    report = sorted((tuple(r) for r in line_report(docs, edits, chars).collect()), key=str)
     assert report == sorted(((d, *row) for (d, _), row in want.items()), key=str)
-    texts = sorted(((r.doc_id, r.text) for r in drop_lines(docs, edits, 20).collect()), key=str)
-    expect = sorted(((d, t if t is None or len(want[d, t][5]) == want[d, t][0] else "\n".join(t.split("\n")[k] for k in want[d, t][5])) for d, t in rows if want[d, t or ""][5]), key=str)
+    texts = sorted(((r.doc_id, r.text) for r in drop_lines(docs, edits, chars).collect()), key=str)
+    expect = sorted(((d, t if t is None or len(want[d, t][5]) == want[d, t][0] else "\n".join(t.split("\n")[k] for k in want[d, t][5])) for d, t in rows if want[d, t or ""][5] and (len(want[d, t or ""][5]) == want[d, t or ""][0] or any(t.split("\n")[k].strip() for k in want[d, t or ""][5]))), key=str)
     assert texts == expect
-    assert drop_lines(docs, edits, 20).columns == docs.columns
+    assert drop_lines(docs, edits, chars).columns == docs.columns
+
+
+def test_large_group(spark):
+    """A group of lines that are all near one another: a row for each line, not for each pair, and all links counted."""
+    base = "the quick brown fox jumps over the lazy dog near the river bank"
+    lines = [base[:k] + c + base[k + 1 :] for k in range(0, 40) for c in "57932"]
+    docs = spark.createDataFrame([(d, line) for d, line in enumerate(lines)], "doc_id long, text string")
+    own = distinct_lines(docs)
+    names = {r.cls: r.line for r in own.collect()}
+    got = {names[r.cls]: r.n_links for r in link_counts(own, block=16).collect()}
+    some = sorted(set(lines))
+    assert got == {a: sum(a != b and distance(a, b) <= 2 for b in some) for a in some}
+    assert [r.near for r in line_report(docs).orderBy("doc_id").selectExpr("n_near as near").collect()].count(0) == 1
 
 
 def test_empty(spark):
@@ -90,19 +105,27 @@ def test_empty(spark):
     assert line_report(docs).count() == 0 and drop_lines(docs).count() == 0
 
 
-def test_short_repeats(spark):
-    rows = [(1, "And ornd.\nfirst line of some length\n\nx"), (2, "And ornd.\n\nfirst line of some length"), (3, "other line of some length\n And ornd. \nAnd ornb."), (4, "\n\n"), (5, "x\nx"), (None, "x")]
+def test_short_lines(spark):
+    rows = [(1, "And ornd.\nfirst line of some length\n\nx"), (2, "And ornd.\n\nfirst line of some length"), (3, "other line of some length\n And ornd. \nAnd ornb.\nAnd ornb. two\nAnd ornc. two"), (4, "\n\n"), (5, "x\nx"), (None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_again, r.n_near, r.n_links, r.lines_kept) for r in line_report(docs).collect()}
-    # repeats of any length go, near ones of short lines ('And ornb.') and empty lines stay
-    assert got == {1: (0, 0, 0, [0, 1, 2, 3]), 2: (2, 0, 0, [1]), 3: (1, 0, 0, [0, 2]), 4: (0, 0, 0, [0, 1, 2]), 5: (2, 0, 0, []), None: (0, 0, 0, [0])}
+    # repeats of any length go; 'And ornb.' is too short for an edit, 'And ornc. two' long enough for one; empty lines stay
+    assert got == {1: (0, 0, 0, [0, 1, 2, 3]), 2: (2, 0, 0, [1]), 3: (1, 1, 2, [0, 2, 3]), 4: (0, 0, 0, [0, 1, 2]), 5: (2, 0, 0, []), None: (0, 0, 0, [0])}
     texts = {r.doc_id: r.text for r in drop_lines(docs).collect()}
-    assert texts == {1: rows[0][1], 3: "other line of some length\nAnd ornb.", 4: "\n\n", None: "x"}
-    # the defaults against comparing all pairs, repeats from one character on
-    rows = corpus(3)
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    want, repeats = brute(rows, 2, 20)[0], brute(rows, 0, 1)[0]
-    kept = {k: [n for n in want[k][5] if n in repeats[k][5]] for k in want}
-    report = sorted(((r.doc_id, r.lines_kept, r.n_again) for r in line_report(docs).collect()), key=str)
-    assert report == sorted(((k[0], kept[k], repeats[k][1]) for k in want), key=str)
-    assert sum(r[1] for r in repeats.values()) > sum(r[1] for r in want.values())
+    assert texts == {1: rows[0][1], 3: "other line of some length\nAnd ornb.\nAnd ornb. two", 4: "\n\n", None: "x"}
+
+
+def test_lines_of_one_to_nineteen_characters(spark):
+    rng = random.Random(9)
+    bases = ["".join(rng.choice("ab") for _ in range(n)) for n in range(1, 20) for _ in range(3)]
+    rows = [(d, "\n".join(changed(rng, rng.choice(bases), 2) for _ in range(4))) for d in range(60)]
+    want = brute(rows)[0]
+    report = sorted((tuple(r) for r in line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert report == sorted(((d, *row) for (d, _), row in want.items()), key=str)
+
+
+def test_very_long_lines(spark):
+    long = "word " * 60_000
+    rows = [(1, long + "end"), (2, long + "enx\nshort"), (3, "a\n" * 20_000)]
+    got = {r.doc_id: (r.n_lines, r.n_again, r.n_near) for r in line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 0, 0), 2: (2, 0, 1), 3: (20_001, 19_999, 0)}
