@@ -29,7 +29,7 @@ EDITS, CHARS = 2, 10
 #: Lines of a mark that are compared at once, and shared marks up to which their table is broadcast (beyond, it is shuffled).
 BLOCK, BROADCAST_ROWS = 128, 200_000
 #: Frequent characters whose counts are compared before the lines are.
-COUNTED = " entr"
+COUNTED = " etaoinsrhldcumfpgwy"
 #: Columns of the band after which a distance that can't stay within the edits is given up.
 LOOK = 24
 #: What is trimmed off a line.
@@ -38,15 +38,15 @@ BLANKS = " \t\r\x0b\x0c"
 LINES = 1 << 31
 
 
-def _begin(length: Column, k: Column, edits: int) -> Column:
+def _begin(length: Column, k: Column, edits: Column | int) -> Column:
     """Where segment k of t + 1 of a line begins (from 0): the last segments get the characters left over."""
-    return F.call_function("div", length, F.lit(edits + 1)) * k + F.greatest(F.lit(0), length % (edits + 1) - (edits + 1 - k))
+    return (F.call_function("div", length, edits + F.lit(1)) * k + F.greatest(F.lit(0), length % (edits + F.lit(1)) - (edits + F.lit(1) - k))).cast("int")
 
 
 def counts(line: Column) -> Column:
     """How often some frequent characters occur, each modulo 8 in three bits."""
-    each = [(F.length(line) - F.length(F.replace(line, F.lit(c)))).bitwiseAND(F.lit(7)) * (1 << (3 * k)) for k, c in enumerate(COUNTED)]
-    return reduce(lambda x, y: x + y, each).cast("bigint")
+    each = [(F.length(line) - F.length(F.replace(line, F.lit(c)))).bitwiseAND(F.lit(7)).cast("bigint") * F.lit(1 << (3 * k)) for k, c in enumerate(COUNTED)]
+    return reduce(lambda x, y: x + y, each)
 
 
 def close_counts(a: Column, b: Column, edits: int) -> Column:
@@ -133,51 +133,42 @@ def allowed(size: Column, edits: int, chars: int) -> Column:
     return F.least(F.lit(edits), F.call_function("div", size, F.lit(chars)).cast("int"))
 
 
-def _segment(line: Column, size: Column, k: int, less: int, shift: int, edits: int) -> Column:
-    """The mark of the place where segment k of a line ``less`` characters shorter would be, moved by ``shift``; null if it doesn't fit.
-
-    A mark is a hash of the indexed line's length and the text at the place, with k in its last three bits.
-    """
-    indexed = size - less
-    begin, after = _begin(indexed, F.lit(k), edits), _begin(indexed, F.lit(k + 1), edits)
-    at, width = (begin + shift).cast("int"), (after - begin).cast("int")
-    mark = F.xxhash64(indexed, F.substring(line, at + 1, width)).bitwiseAND(F.lit(-8).cast("bigint")).bitwiseOR(F.lit(k).cast("bigint"))
-    return F.when((at >= 0) & (at + width <= size), mark)
-
-
 def shifts(k: int, less: int, edits: int) -> range:
     """Where an untouched segment k of a line ``less`` characters shorter can be: k edits at most lie before it, edits - k behind it."""
     return range(max(-k, less - (edits - k)), min(k, less + (edits - k)) + 1)
 
 
+def _places(edits: int, least: int) -> Column:
+    """All (edits, segment, characters that the indexed line is shorter, shift) for ``least`` edits or more."""
+    found = [(t, k, less, s) for t in range(least, edits + 1) for less in range(t + 1) for k in range(t + 1) for s in shifts(k, less, t)]
+    return F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(place, ("t", "k", "less", "shift"), strict=True)]) for place in found])
+
+
 def with_marks(lines: DataFrame, edits: int, chars: int) -> DataFrame:
-    """A row for each distinct mark of each line, with ``own``: whether it is one of the line's own segments.
+    """A row for each mark of each line, with ``own``: whether it is one of the line's own segments.
 
-    Which lengths go with which number of edits follows from the shorter line, the indexed one.
+    Which lengths go with which number of edits follows from the shorter line, the indexed one. A mark is a
+    hash of that line's length and the text at the place, with the segment's number in its last three bits.
+    Places that don't fit into the line have none; a line may have a mark twice.
     """
-    line, size = F.col("line"), F.col("size")
-    tiers = range(1, edits + 1)
-    own = [F.coalesce(*[F.when(allowed(size, edits, chars) == t, _segment(line, size, k, 0, 0, t)) for t in tiers if k <= t]) for k in range(edits + 1)]
-    probes = [
-        F.when((size >= less) & (allowed(size - less, edits, chars) == t), _segment(line, size, k, less, s, t))
-        for t in tiers
-        for less in range(t + 1)
-        for k in range(t + 1)
-        for s in shifts(k, less, t)
-        if (less, s) != (0, 0)
-    ]
-    # own marks come first, and each differs from the others by k
-    each = lines.select("*", F.posexplode(F.array_distinct(F.array(*own, *probes))).alias("at", "mark"))
-    return each.where("mark is not null").withColumn("own", F.col("at") <= edits).drop("at")
+    # one short expression for each row: an array of all marks would make a method too large to be compiled
+    top = F.col("size") >= edits * chars + edits
+    each = lines.select("*", F.explode(F.when(top, _places(edits, edits)).otherwise(_places(edits, 1))).alias("at"))
+    each = each.select(*lines.columns, "at.*").withColumn("indexed", F.col("size") - F.col("less")).where(allowed(F.col("indexed"), edits, chars) == F.col("t"))
+    each = each.withColumns({"begin": _begin(F.col("indexed"), F.col("k"), F.col("t")), "next": _begin(F.col("indexed"), F.col("k") + 1, F.col("t"))})
+    start, width = F.col("begin") + F.col("shift"), F.col("next") - F.col("begin")
+    each = each.where((start >= 0) & (start + width <= F.col("size")))
+    mark = F.xxhash64("indexed", F.substring("line", start + 1, width)).bitwiseAND(F.lit(-8).cast("bigint")).bitwiseOR(F.col("k").cast("bigint"))
+    return each.select(*lines.columns, mark.alias("mark"), ((F.col("less") == 0) & (F.col("shift") == 0)).alias("own"))
 
 
 def _occurs(i: Column, p: Column, k: Column, edits: int) -> Column:
     """Whether segment k of line i stands in the longer line p where an untouched one can."""
     begin, after = _begin(i["size"], k, edits), _begin(i["size"], k + 1, edits)
-    width, less = (after - begin).cast("int"), p["size"] - i["size"]
-    part = F.substring(i["line"], begin.cast("int") + 1, width)
+    width, less = after - begin, p["size"] - i["size"]
+    part = F.substring(i["line"], begin + 1, width)
     places = F.sequence(F.greatest(-k, less - (edits - k)), F.least(k, less + (edits - k)))
-    return F.exists(places, lambda s: (begin + s >= 0) & (F.substring(p["line"], (begin + s).cast("int") + 1, width) == part))
+    return F.exists(places, lambda s: (begin + s >= 0) & (F.substring(p["line"], begin + s + 1, width) == part))
 
 
 def _linked(i: Column, p: Column, k: Column, edits: int, chars: int) -> Column:
@@ -197,13 +188,13 @@ def _linked(i: Column, p: Column, k: Column, edits: int, chars: int) -> Column:
     return ((p["size"] > i["size"]) | ((p["size"] == i["size"]) & (p["cls"] > i["cls"]))) & out
 
 
-def _tallied(block: Column, mark: Column, across: Column, edits: int, chars: int) -> Column:
+def _tallied(block: Column, own: Column, mark: Column, across: Column, edits: int, chars: int) -> Column:
     """For the lines of a block of one mark: array<struct<cls, n, earliest>>, links of each and the first place of the linked ones.
 
-    ``across``: only lines of different parts are compared.
+    ``own``: the lines whose own segment it is. ``across``: only lines of different parts are compared.
     """
     k = mark.bitwiseAND(F.lit(7).cast("bigint")).cast("int")
-    bound = F.array(F.struct(F.filter(block, lambda x: x["own"]).alias("i"), block.alias("p")))
+    bound = F.array(F.struct(F.filter(block, lambda x: F.array_contains(own, x["cls"])).alias("i"), block.alias("p")))
 
     def meet(v: Column) -> Column:
         return F.struct(v["i"].alias("i"), v["p"].alias("p"), F.transform(v["p"], lambda p: F.transform(v["i"], lambda i: (~across | (i["part"] != p["part"])) & _linked(i, p, k, edits, chars))).alias("m"))
@@ -252,8 +243,8 @@ def link_counts(own: DataFrame, edits: int = EDITS, chars: int = CHARS, block: i
     members = with_marks(long.select("cls", "line", "size", "first"), edits, chars).join(F.broadcast(shared) if n <= BROADCAST_ROWS else shared, "mark")
     members = members.withColumns({"part": F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"), "counts": counts(F.col("line"))})
     met = members.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    met = met.groupBy("mark", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y")).agg(F.collect_list(F.struct("cls", "line", "size", "first", "own", "part", "counts")).alias("lines"))
-    rows = met.select(F.explode(_tallied(F.col("lines"), F.col("mark"), F.col("x") != F.col("y"), edits, chars)).alias("r"))
+    met = met.groupBy("mark", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y")).agg(F.collect_set(F.struct("cls", "line", "size", "first", "part", "counts")).alias("lines"), F.collect_set(F.when(F.col("own"), F.col("cls"))).alias("own"))
+    rows = met.select(F.explode(_tallied(F.col("lines"), F.col("own"), F.col("mark"), F.col("x") != F.col("y"), edits, chars)).alias("r"))
     return rows.groupBy("r.cls").agg(F.sum("r.n").alias("n_links"), F.min("r.earliest").alias("earliest"))
 
 

@@ -6,10 +6,15 @@ kernel is normalised. A few landmark strings give the Nystroem map z(u) = K_LL^(
 vector machine (squared hinge) on z is f(u) = beta . k_L(u) + b. As each k(l, u) is a product of subsequence
 weights, f(u) is one sum over u's own subsequences of a table made once, over u's norm.
 
-Texts are bags of strings (words; letters written apart are joined). The strings that mark the labelled
-sentences are found from the bags: those far more common in toxic ones, picked greedily so that each covers
-toxic texts not yet covered. A text's score is a logistic of its highest f and of how many strings are
-positive, fitted on the same sample. Scoring is one narrow pass without a shuffle.
+The machine is trained on labelled sentences, each a bag of windows (its words; letters written apart are joined,
+long words cut into overlapping strings). First every window has the label of its sentence. Then, as a label
+says only that something in the sentence is toxic, the highest window stands for each toxic sentence, its others are
+left out, and the machine is fitted again. All windows of the labelled sentences take part, however often they
+occur. Landmarks are the windows that pull hardest on the machine: those with the greatest dual weight where it
+starts, half of them for either label.
+
+A sentence's score is a logistic of its highest f and of how many windows are positive, fitted on the same
+sample. Scoring is one narrow pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,24 +28,28 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arrayloom.llm._common import cut, label_sample, prepare, slices, utf8_of
+from arrayloom.llm._common import cut, prepare, slices, utf8_of
 
 DECAY, SPAN = 0.75, 7
 #: Classes of bytes: letters, digits and 27 classes for the bytes of other letters.
 CLASSES = 64
-#: Bytes of a string that are compared; longer ones are cut into overlapping strings of that size.
-LONGEST = 32
-TRAIN_ROWS, CANDIDATES, NEGATIVES, LANDMARKS = 6000, 2000, 6000, 64
+#: Bytes of a window; longer words are cut into overlapping windows of that size.
+WINDOW = 32
+#: The labelled rows that are learned from: so many, and so many bytes of text, at most; half of both for either label.
+TRAIN_ROWS, TRAIN_BYTES = 4000, 4 << 20
+#: Landmarks, and fits after the first.
+LANDMARKS, ROUNDS, PENALTY = 64, 2, 1e-4
 CACHE = 1 << 20
 TOXIC_AT = 0.7
 
 _CLASS = np.array([1 + b - 97 if 97 <= b <= 122 else 27 + b - 48 if 48 <= b <= 57 else 37 + b % 27 for b in range(256)], np.int64)
 _LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 _MARKS = string.punctuation.encode()
-_APART = re.compile(rb"(?<![^\s])(?:[a-z0-9]\s){2,}[a-z0-9](?![^\s])")
+_LETTER = rb"(?:[a-z0-9]|[\xc2-\xf4][\x80-\xbf]{1,3})"
+_APART = re.compile(rb"(?<!\S)(?:" + _LETTER + rb"\s){2,}" + _LETTER + rb"(?!\S)")
 
 
 def strings_of(text: bytes) -> list[bytes]:
@@ -49,6 +58,15 @@ def strings_of(text: bytes) -> list[bytes]:
     return _APART.sub(lambda m: b"".join(m[0].split()), plain).split()
 
 
+def cut_up(word: bytes) -> list[bytes]:
+    """The windows of a word."""
+    return [word] if len(word) <= WINDOW else [word[k : k + WINDOW] for k in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
+
+
+def windows(text: bytes) -> set[bytes]:
+    return {w for s in set(strings_of(text)) for w in cut_up(s)}
+
+
 @cache
 def _places(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (three columns) and weights of all subsequences of a string of ``size`` bytes."""
@@ -87,13 +105,14 @@ def features(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def kernel(a: list[bytes], b: list[bytes]) -> np.ndarray:
     """The normalised kernel of each string of ``a`` with each of ``b`` (0 for strings of under three bytes)."""
-    row, code, weight = features(a)
-    out = np.zeros((len(a), len(b)))
     other, code_b, weight_b = features(b)
-    for k in range(len(b)):
-        table = np.zeros(CLASSES**3)
-        table[code_b[other == k]] = weight_b[other == k]
-        out[:, k] = np.bincount(row, weight * table[code], len(a))
+    tables = np.zeros((len(b), CLASSES**3), np.float32 if len(b) > 8 else float)
+    tables[other, code_b] = weight_b
+    out = np.zeros((len(a), len(b)))
+    for k in range(0, len(a), 2048):
+        row, code, weight = features(a[k : k + 2048])
+        for j in range(len(b)):
+            out[k : k + 2048, j] = np.bincount(row, weight * tables[j][code], len(a[k : k + 2048]))
     return out
 
 
@@ -117,7 +136,7 @@ class Machine:
         if len(known) + len(new) > CACHE:
             known.clear()
             new = list(set().union(*bags))
-        parts = [[s] if len(s) <= LONGEST else [s[k : k + LONGEST] for k in range(0, len(s) - LONGEST // 2, LONGEST // 2)] for s in new]
+        parts = [cut_up(s) for s in new]
         for a in range(0, len(parts), 4096):
             some = parts[a : a + 4096]
             values = self.values([p for ps in some for p in ps])
@@ -136,48 +155,77 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.evidence(texts, known) @ self.logistic, -30, 30)))
 
 
-def fit_machine(positive: list[bytes], negative: list[bytes], landmarks: int = LANDMARKS, penalty: float = 1e-2) -> Machine:
-    """A squared-hinge machine on the Nystroem map; the landmarks are half positive strings, half negative."""
-    half = landmarks // 2
-    marks = positive[:half] + negative[: landmarks - len(positive[:half])]
-    values, vectors = np.linalg.eigh(kernel(marks, marks))
-    root = vectors / np.sqrt(np.maximum(values, 1e-6))
-    both = positive + negative
-    z = np.hstack([kernel(both, marks) @ root, np.ones((len(both), 1))])
-    y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-    weight = np.where(y > 0, 0.5 / max(len(positive), 1), 0.5 / max(len(negative), 1))
+@dataclass
+class Nystroem:
+    """The map z(u) = K_LL^(-1/2) k_L(u) of some landmarks."""
+
+    marks: list[bytes]
+
+    def __post_init__(self):
+        values, vectors = np.linalg.eigh(kernel(self.marks, self.marks))
+        self.root = vectors / np.sqrt(np.maximum(values, 1e-9))
+
+    def map(self, strings: list[bytes]) -> np.ndarray:
+        """z of each string, with a 1 behind it."""
+        return np.hstack([kernel(strings, self.marks) @ self.root, np.ones((len(strings), 1))])
+
+    def machine(self, w: np.ndarray) -> Machine:
+        row, code, share = features(self.marks)
+        return Machine(np.bincount(code, share * (self.root @ w[:-1])[row], CLASSES**3), float(w[-1]))
+
+
+def fit_hinge(z: np.ndarray, toxic: np.ndarray, clean: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
+    """The w that makes sum(toxic * max(0, 1 - f)**2 + clean * max(0, 1 + f)**2) / 2 + penalty * |w|**2 / 2 least, f = z w.
+
+    Row k of z counts toxic[k] times as positive and clean[k] times as negative; both are scaled to a sum of 1. The
+    last column of z, that of the bias, isn't penalised.
+    """
+    up, down = toxic / max(toxic.sum(), 1e-12), clean / max(clean.sum(), 1e-12)
     w = np.zeros(z.shape[1])
-    shrink = np.full(len(w), penalty / 100)
+    shrink = np.full(len(w), penalty)
     shrink[-1] = 1e-8
     for _ in range(50):  # Newton steps; the active set settles after a few
-        active = y * (z @ w) < 1
-        za, wa = z[active], weight[active, None]
-        new = np.linalg.solve((za * wa).T @ za + np.diag(shrink), (za * wa).T @ y[active])
+        f = z @ w
+        a, b = up * (f < 1), down * (f > -1)
+        new = np.linalg.solve((z * (a + b)[:, None]).T @ z + np.diag(shrink), z.T @ (a - b))
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
-    beta = root @ w[:-1]
-    row, code, share = features(marks)
-    table = np.bincount(code, share * beta[row], CLASSES**3)
-    return Machine(table, float(w[-1]))
-
-
-def pick(bags: dict[int, set[bytes]], most: int = 400, least: int = 3) -> list[bytes]:
-    """Strings in the order in which each covers most toxic texts not yet covered twice; ties by the string."""
-    left = {d: 2 for d in bags}
-    holders: dict[bytes, set[int]] = {}
-    for d, bag in bags.items():
-        for s in bag:
-            holders.setdefault(s, set()).add(d)
-    out: list[bytes] = []
-    while holders and len(out) < most:
-        gain, best = max((sum(1 for d in ds if left[d] > 0), s) for s, ds in holders.items())
-        if gain < least:
-            break
-        out.append(best)
-        for d in holders.pop(best):
-            left[d] -= 1
-    return out
+    return w
+
+
+def heaviest(strings: list[bytes], toxic: np.ndarray, clean: np.ndarray, n: int) -> list[bytes]:
+    """The n strings of the greatest dual weight at f = 0, half of them positive; ties by the string. Those under three bytes have no kernel."""
+    dual = toxic / max(toxic.sum(), 1) - clean / max(clean.sum(), 1)
+    able = sorted((k for k in range(len(strings)) if len(strings[k]) >= 3), key=lambda k: (-dual[k], strings[k]))
+    positive = [k for k in able[: n // 2] if dual[k] > 0]
+    negative = [k for k in able[::-1][: n - len(positive)] if dual[k] <= 0]
+    return [strings[k] for k in positive + negative]
+
+
+def learn(texts: list[bytes], labels: np.ndarray, rounds: int = ROUNDS, landmarks: int = LANDMARKS) -> Machine:
+    """A machine for labelled sentences (1 toxic, 0 clean)."""
+    bags = [sorted(windows(t)) for t in texts]
+    strings = sorted(set().union(*bags))
+    at = {s: k for k, s in enumerate(strings)}
+    owner = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    member = np.fromiter((at[s] for b in bags for s in b), np.int64, len(owner))
+    of_toxic = labels[owner] > 0
+    count = lambda x: np.bincount(member[x], minlength=len(strings)).astype(float)
+    toxic, clean = count(of_toxic), count(~of_toxic)
+    marks = heaviest(strings, toxic, clean, landmarks)
+    machine = Machine(np.zeros(CLASSES**3), 0.0)
+    if marks:
+        nystroem = Nystroem(marks)
+        z = nystroem.map(strings)
+        w = fit_hinge(z, toxic, clean)
+        for _ in range(rounds):
+            f, top = (z @ w)[member], np.full(len(bags), -np.inf)
+            np.maximum.at(top, owner, f)
+            w = fit_hinge(z, count(of_toxic & (f == top[owner])), clean)
+        machine = nystroem.machine(w)
+    machine.logistic = fit_logistic(machine.evidence(texts, {}), labels)
+    return machine
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -195,47 +243,31 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for i, label, text in zip(ids, labels, utf8_of(batch.column(2)), strict=True):
-            bag = [s for s in set(strings_of(text)) if 3 <= len(s) <= LONGEST]
-            yield pa.RecordBatch.from_arrays([pa.array([i] * len(bag), pa.int64()), pa.array([label] * len(bag), pa.int32()), pa.array(bag, pa.binary())], names=["doc_id", "label", "s"])
-
-
-def _evidence(machine: Machine):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = machine.evidence(utf8_of(batch.column(2)), {})
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["doc_id", "label", "high", "many"])
-
-    return run
-
+def labelled(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> DataFrame:
+    """doc_id, label, text of the rows learned from, one for each id: never those held out, and bounded for either label.
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine | None:
-    """Fit on at most ``rows`` labelled texts that aren't held out; None without texts of both labels."""
+    Of each label they are the first ``rows / 2`` ids in the order of a hash, as far as their texts sum to ``size / 2``
+    bytes. An id that labels both ways is toxic; of an id's texts the smallest counts.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic").cast("double") > 0).cast("int").alias("label")).where("doc_id is not null and label is not null")
+    known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
+    order = F.xxhash64(F.lit("train"), "doc_id")
+    some = [known.where(F.col("label") == k).orderBy(order, "doc_id").limit(rows // 2) for k in (0, 1)]
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = own.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    before = Window.partitionBy("label").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # of ``rows`` rows
+    summed = cut(texts).withColumn("bytes", F.sum(F.octet_length("text").cast("long")).over(before))
+    return summed.where(F.col("bytes") <= size // 2).drop("bytes")
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> Machine | None:
+    """Fit on the ``labelled`` rows; None without texts of both labels."""
     prepare(docs.sparkSession)
-    sample = label_sample(labels.where(~held_out(F.col("doc_id").cast("long"))).withColumn("toxic", (F.col("toxic") > 0).cast("int")), rows, "toxic")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = cut(sample.join(own, "doc_id").select("doc_id", "label", "text"))
-    n = {r.label: r.n for r in texts.groupBy("label").agg(F.countDistinct("doc_id").alias("n")).collect()}
-    if not n.get(0) or not n.get(1):
+    found = sorted(labelled(docs, labels, rows, size).select("doc_id", "label", "text").collect())
+    y = np.array([r.label for r in found])
+    if not len(y) or y.min() == y.max():
         return None
-    bags = cut(texts.mapInArrow(_bags, "doc_id long, label int, s binary").distinct())
-    counts = bags.groupBy("s").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
-    rate = lambda c, k: (F.col(c) + 0.5) / (n[k] + 1)
-    suspects = cut(counts.where((F.col("bad") >= 3) & (rate("bad", 1) >= 8 * rate("good", 0))).orderBy(F.desc("bad"), "s").limit(CANDIDATES))
-    negative = [bytes(r.s) for r in counts.where("good > 0").join(suspects, "s", "left_anti").orderBy(F.xxhash64("s"), "s").limit(NEGATIVES).collect()]
-    found: dict[int, set[bytes]] = {}
-    for r in bags.where("label = 1").join(suspects, "s").select("doc_id", "s").collect():
-        found.setdefault(r.doc_id, set()).add(bytes(r.s))
-    positive = pick(found)
-    if not positive or not negative:
-        return None
-    machine = fit_machine(positive, negative)
-    x = texts.mapInArrow(_evidence(machine), "doc_id long, label int, high double, many double").toPandas().sort_values(["doc_id", "high"])
-    machine.logistic = fit_logistic(np.column_stack([x["high"], x["many"], np.ones(len(x))]), x["label"].to_numpy())
-    return machine
+    return learn([r.text.encode() for r in found], y)
 
 
 _KNOWN: dict[bytes, dict[bytes, float]] = {}
@@ -254,13 +286,13 @@ def _scoring(machine: Machine, name: bytes):
     return run
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, at: float = TOXIC_AT) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, at: float = TOXIC_AT, size: int = TRAIN_BYTES) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs(doc_id, text)``.
 
     A null text is scored as the empty one; a null id is not held out; repeated rows are scored each; an
     empty table gives no rows. Without labelled texts of both kinds every score is 0.5.
     """
-    machine = train(docs, labels, rows)
+    machine = train(docs, labels, rows, size)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if machine is None:
         scored = own.select("doc_id", F.lit(0.5).alias("score"))
