@@ -6,15 +6,14 @@ kernel is normalised. A few landmark strings give the Nystroem map z(u) = K_LL^(
 vector machine (squared hinge) on z is f(u) = beta . k_L(u) + b. As each k(l, u) is a product of subsequence
 weights, f(u) is one sum over u's own subsequences of a table made once, over u's norm.
 
-The machine is trained on labelled sentences, each a bag of windows (its words; letters written apart are joined,
-long words cut into overlapping strings). First every window has the label of its sentence. Then, as a label
-says only that something in the sentence is toxic, the highest window stands for each toxic sentence, its others are
-left out, and the machine is fitted again. All windows of the labelled sentences take part, however often they
-occur. Landmarks are the windows that pull hardest on the machine: those with the greatest dual weight where it
-starts, half of them for either label.
-
-A sentence's score is a logistic of its highest f and of how many windows are positive, fitted on the same
-sample. Scoring is one narrow pass without a shuffle.
+The machine is trained on labelled sentences, each a bag of windows (its words, with a blank at both ends; letters
+written apart are joined, long words cut into overlapping strings). Every distinct window of a sentence has the
+label of its sentence, so a window that both kinds have pulls both ways and what only toxic ones have pulls up. All
+windows of the labelled sentences take part, however rare. Landmarks are windows of these sentences, those whose
+two counts differ most by a test of two shares: three quarters of them more common in toxic ones, the rest in others.
+
+A sentence's score is a logistic of its highest f and of how many of its windows lie above some levels of f, fitted
+on the same sentences. Scoring is one narrow pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -34,18 +33,19 @@ from pyspark.sql import functions as F
 from arrayloom.llm._common import cut, prepare, slices, utf8_of
 
 DECAY, SPAN = 0.75, 7
-#: Classes of bytes: letters, digits and 27 classes for the bytes of other letters.
+#: Classes of bytes: blanks, letters, digits and 27 classes for the bytes of other letters.
 CLASSES = 64
 #: Bytes of a window; longer words are cut into overlapping windows of that size.
 WINDOW = 32
 #: The labelled rows that are learned from: so many, and so many bytes of text, at most; half of both for either label.
-TRAIN_ROWS, TRAIN_BYTES = 4000, 4 << 20
-#: Landmarks, and fits after the first.
-LANDMARKS, ROUNDS, PENALTY = 64, 2, 1e-4
+TRAIN_ROWS, TRAIN_BYTES = 6000, 6 << 20
+LANDMARKS, PENALTY = 256, 1e-5
+#: Values of f above which a sentence's windows are counted.
+LEVELS = (0.0, 0.2, 0.3, 0.5)
 CACHE = 1 << 20
 TOXIC_AT = 0.7
 
-_CLASS = np.array([1 + b - 97 if 97 <= b <= 122 else 27 + b - 48 if 48 <= b <= 57 else 37 + b % 27 for b in range(256)], np.int64)
+_CLASS = np.array([1 + b - 97 if 97 <= b <= 122 else 27 + b - 48 if 48 <= b <= 57 else 0 if b == 32 else 37 + b % 27 for b in range(256)], np.int64)
 _LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 _MARKS = string.punctuation.encode()
 _LETTER = rb"(?:[a-z0-9]|[\xc2-\xf4][\x80-\xbf]{1,3})"
@@ -59,7 +59,8 @@ def strings_of(text: bytes) -> list[bytes]:
 
 
 def cut_up(word: bytes) -> list[bytes]:
-    """The windows of a word."""
+    """The windows of a word, with a blank where it begins and ends."""
+    word = b" " + word + b" "
     return [word] if len(word) <= WINDOW else [word[k : k + WINDOW] for k in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
 
 
@@ -105,24 +106,30 @@ def features(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def kernel(a: list[bytes], b: list[bytes]) -> np.ndarray:
     """The normalised kernel of each string of ``a`` with each of ``b`` (0 for strings of under three bytes)."""
-    other, code_b, weight_b = features(b)
-    tables = np.zeros((len(b), CLASSES**3), np.float32 if len(b) > 8 else float)
-    tables[other, code_b] = weight_b
+    other, code, weight = features(b)
+    codes, at = np.unique(code, return_inverse=True)
+    known = np.full(CLASSES**3, len(codes))  # codes of no string of b share the last, empty row
+    known[codes] = np.arange(len(codes))
+    table = np.zeros((len(codes) + 1, len(b)))
+    table[at, other] = weight
     out = np.zeros((len(a), len(b)))
-    for k in range(0, len(a), 2048):
-        row, code, weight = features(a[k : k + 2048])
-        for j in range(len(b)):
-            out[k : k + 2048, j] = np.bincount(row, weight * tables[j][code], len(a[k : k + 2048]))
+    for k in range(0, len(a), 512):
+        row, code, weight = features(a[k : k + 512])
+        some = known[code] < len(codes)
+        row, code, weight = row[some], known[code[some]], weight[some]
+        if len(row):
+            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            out[k + row[first]] = np.add.reduceat(table[code] * weight[:, None], first)
     return out
 
 
 @dataclass
 class Machine:
-    """Table over subsequences and bias of f, and the logistic over (highest f, log of 1 + positives)."""
+    """Table over subsequences and bias of f, and the logistic over a text's ``evidence``."""
 
     table: np.ndarray
     bias: float
-    logistic: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    logistic: np.ndarray = field(default_factory=lambda: np.zeros(2 + len(LEVELS)))
 
     def values(self, strings: list[bytes]) -> np.ndarray:
         row, code, weight = subsequences(strings)
@@ -130,7 +137,7 @@ class Machine:
         return np.bincount(row, weight * self.table[code], len(strings)) / np.maximum(norm, 1e-12) + self.bias
 
     def evidence(self, texts: list[bytes], known: dict[bytes, float]) -> np.ndarray:
-        """A row (highest f, log of 1 + number of distinct positive strings, 1) for each text."""
+        """For each text the highest f, the log of 1 + the distinct strings above each level, and 1; of no string f is the bias."""
         bags = [set(strings_of(t)) for t in texts]
         new = list(set().union(*bags).difference(known)) if bags else []
         if len(known) + len(new) > CACHE:
@@ -142,13 +149,15 @@ class Machine:
             values = self.values([p for ps in some for p in ps])
             best = np.maximum.reduceat(values, np.cumsum([0, *[len(ps) for ps in some[:-1]]]))
             known.update(zip(new[a : a + 4096], best.tolist(), strict=True))
-        out = np.tile([self.bias, 0.0, 1.0], (len(texts), 1))
+        out = np.zeros((len(texts), 2 + len(LEVELS)))
+        out[:, 0], out[:, -1] = self.bias, 1
         for k, bag in enumerate(bags):
             if bag:
-                found = list(map(known.__getitem__, bag))
-                out[k, 0] = max(found)
-                if out[k, 0] > 0:
-                    out[k, 1] = np.log1p(sum(1 for f in found if f > 0))
+                found = np.fromiter(map(known.__getitem__, bag), float, len(bag))
+                out[k, 0] = found.max()
+                if out[k, 0] > LEVELS[0]:
+                    found = found[found > LEVELS[0]]
+                    out[k, 1:-1] = [np.log1p(np.count_nonzero(found > level)) for level in LEVELS]
         return out
 
     def scores(self, texts: list[bytes], known: dict[bytes, float]) -> np.ndarray:
@@ -167,7 +176,10 @@ class Nystroem:
 
     def map(self, strings: list[bytes]) -> np.ndarray:
         """z of each string, with a 1 behind it."""
-        return np.hstack([kernel(strings, self.marks) @ self.root, np.ones((len(strings), 1))])
+        out = np.ones((len(strings), len(self.marks) + 1), np.float32)
+        for k in range(0, len(strings), 8192):
+            out[k : k + 8192, :-1] = kernel(strings[k : k + 8192], self.marks) @ self.root
+        return out
 
     def machine(self, w: np.ndarray) -> Machine:
         row, code, share = features(self.marks)
@@ -185,45 +197,40 @@ def fit_hinge(z: np.ndarray, toxic: np.ndarray, clean: np.ndarray, penalty: floa
     shrink = np.full(len(w), penalty)
     shrink[-1] = 1e-8
     for _ in range(50):  # Newton steps; the active set settles after a few
-        f = z @ w
-        a, b = up * (f < 1), down * (f > -1)
-        new = np.linalg.solve((z * (a + b)[:, None]).T @ z + np.diag(shrink), z.T @ (a - b))
+        left, right = np.diag(shrink), np.zeros(len(w))
+        for k in range(0, len(z), 8192):
+            part = z[k : k + 8192].astype(float)
+            f = part @ w
+            a, b = up[k : k + 8192] * (f < 1), down[k : k + 8192] * (f > -1)
+            left = left + (part * (a + b)[:, None]).T @ part
+            right += part.T @ (a - b)
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
     return w
 
 
-def heaviest(strings: list[bytes], toxic: np.ndarray, clean: np.ndarray, n: int) -> list[bytes]:
-    """The n strings of the greatest dual weight at f = 0, half of them positive; ties by the string. Those under three bytes have no kernel."""
-    dual = toxic / max(toxic.sum(), 1) - clean / max(clean.sum(), 1)
-    able = sorted((k for k in range(len(strings)) if len(strings[k]) >= 3), key=lambda k: (-dual[k], strings[k]))
-    positive = [k for k in able[: n // 2] if dual[k] > 0]
-    negative = [k for k in able[::-1][: n - len(positive)] if dual[k] <= 0]
-    return [strings[k] for k in positive + negative]
+def telling(strings: list[bytes], toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, n: int) -> list[bytes]:
+    """The n strings whose shares in toxic and clean sentences differ most (in standard errors), three quarters of them to toxic; ties by the string."""
+    share = (toxic + clean + 1) / (n_toxic + n_clean + 2)
+    apart = (toxic / n_toxic - clean / n_clean) / np.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_clean))
+    order = sorted(range(len(strings)), key=lambda k: (-apart[k], strings[k]))
+    return [strings[k] for k in dict.fromkeys(order[: n - n // 4] + order[::-1][: n // 4])]
 
 
-def learn(texts: list[bytes], labels: np.ndarray, rounds: int = ROUNDS, landmarks: int = LANDMARKS) -> Machine:
-    """A machine for labelled sentences (1 toxic, 0 clean)."""
+def learn(texts: list[bytes], labels: np.ndarray, landmarks: int = LANDMARKS) -> Machine:
+    """A machine for labelled sentences (1 toxic, 0 clean), of both kinds."""
     bags = [sorted(windows(t)) for t in texts]
     strings = sorted(set().union(*bags))
+    if not strings:
+        return Machine(np.zeros(CLASSES**3), 0.0)
     at = {s: k for k, s in enumerate(strings)}
-    owner = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    member = np.fromiter((at[s] for b in bags for s in b), np.int64, len(owner))
-    of_toxic = labels[owner] > 0
-    count = lambda x: np.bincount(member[x], minlength=len(strings)).astype(float)
-    toxic, clean = count(of_toxic), count(~of_toxic)
-    marks = heaviest(strings, toxic, clean, landmarks)
-    machine = Machine(np.zeros(CLASSES**3), 0.0)
-    if marks:
-        nystroem = Nystroem(marks)
-        z = nystroem.map(strings)
-        w = fit_hinge(z, toxic, clean)
-        for _ in range(rounds):
-            f, top = (z @ w)[member], np.full(len(bags), -np.inf)
-            np.maximum.at(top, owner, f)
-            w = fit_hinge(z, count(of_toxic & (f == top[owner])), clean)
-        machine = nystroem.machine(w)
+    member = np.fromiter((at[s] for b in bags for s in b), np.int64, sum(map(len, bags)))
+    of_toxic = np.repeat(labels, [len(b) for b in bags]) > 0
+    toxic, clean = (np.bincount(member[x], minlength=len(strings)).astype(float) for x in (of_toxic, ~of_toxic))
+    nystroem = Nystroem(telling(strings, toxic, clean, int((labels > 0).sum()), int((labels <= 0).sum()), landmarks))
+    machine = nystroem.machine(fit_hinge(nystroem.map(strings), toxic, clean))
     machine.logistic = fit_logistic(machine.evidence(texts, {}), labels)
     return machine
 

@@ -5,6 +5,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow.parquet as pq
 
 from arrayloom.llm import toxicity as X
 
@@ -31,7 +32,51 @@ def test_kernel():
 
 def test_strings():
     assert X.strings_of(b"You i-d-i-o-t, s t u p i d X y!") == [b"you", b"idiot", b"stupidxy"]
-    assert X.strings_of(b"") == []
+    assert X.strings_of("\u00e9 \u00e9 \u00ef a \u00e9t\u00e9".encode()) == ["\u00e9\u00e9\u00efa".encode(), "\u00e9t\u00e9".encode()]
+    assert X.strings_of(b"") == [] and X.windows(b" !") == set()
+    long = X.windows(b"x" * 100)
+    assert X.windows(b"a") == {b" a "} and all(len(w) <= X.WINDOW for w in long) and any(w[:1] == b" " for w in long) and any(w[-1:] == b" " for w in long)
+
+
+def exact_machine(strings, toxic, clean, penalty):
+    """The kernel machine f(u) = sum(a_i k(s_i, u)) + b over all strings, its loss made least by plain gradient steps on (K^(1/2) a, b)."""
+    k = np.array([[plain_kernel(a, b) for b in strings] for a in strings])
+    values, vectors = np.linalg.eigh(k)
+    z = np.hstack([vectors * np.sqrt(np.maximum(values, 0)), np.ones((len(k), 1))])
+    up, down, w = toxic / toxic.sum(), clean / clean.sum(), np.zeros(len(k) + 1)
+    shrink = np.r_[np.full(len(k), penalty), 1e-8]
+    step = 1 / np.linalg.eigvalsh((z * (up + down)[:, None]).T @ z + np.diag(shrink)).max()
+    last = w
+    for n in range(60_000):
+        ahead = w + n / (n + 3) * (w - last)
+        f = z @ ahead
+        last, w = w, ahead - step * (z.T @ (down * np.maximum(0, 1 + f) - up * np.maximum(0, 1 - f)) + shrink * ahead)
+    return z @ w
+
+
+def test_nystroem_against_the_exact_machine():
+    rng = random.Random(3)
+    strings = sorted({b" " + "".join(rng.choice("abcdeio") for _ in range(rng.randint(2, 7))).encode() + b" " for _ in range(60)})
+    toxic, clean = (np.array([float(rng.randint(0, 4)) for _ in strings]) for _ in range(2))
+    exact = exact_machine(strings, toxic, clean, 1e-2)
+    fit = lambda marks: (lambda m: m.machine(X.fit_hinge(m.map(strings), toxic, clean, 1e-2)).values(strings))(X.Nystroem(marks))
+    assert np.abs(fit(strings) - exact).max() < 2e-3 * np.abs(exact).max()
+    fewer = fit(X.telling(strings, toxic, clean, 60, 60, 40))
+    assert np.corrcoef(fewer, exact)[0, 1] > 0.9
+
+
+def test_held_out_rows_of_the_tables():
+    """Held-out labelled texts of the table: ranking and decisions."""
+    read = lambda name: pq.read_table(f"/root/testdata/sf0.1/{name}.parquet").to_pylist()
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in read("documents")}
+    rows = sorted((r["doc_id"], r["toxic"]) for r in read("labels") if r["toxic"] is not None)
+    held = lambda d: zlib.crc32(str(d).encode()) % 3 == 1
+    fit, test = [r for r in rows if not held(r[0])], [r for r in rows if held(r[0])]
+    fit = [r for r in fit if r[1]] + [r for r in fit if not r[1]][:800]
+    machine = X.learn([texts[d] for d, _ in fit], np.array([t for _, t in fit]), 128)
+    scores, y = machine.scores([texts[d] for d, _ in test], {}), np.array([t for _, t in test]) > 0
+    auc = (scores[y][:, None] > scores[~y][None, :]).mean() + (scores[y][:, None] == scores[~y][None, :]).mean() / 2
+    assert auc > 0.96 and (scores[~y] >= X.TOXIC_AT).mean() < 0.04 and (scores[y] >= X.TOXIC_AT).mean() > 0.8
 
 
 def corpus(n=900):
@@ -75,3 +120,14 @@ def test_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [tuple(r)[2:] for r in X.toxicity_scores(docs, none).collect()] == [(0.5, 0)]
     assert X.toxicity_scores(docs.where("false"), none).count() == 0
+
+
+def test_sample_is_bounded(spark):
+    """Repeated ids give one text, and both bounds hold for either label."""
+    docs = spark.createDataFrame([(d, "t" * 100 + str(k), "x") for d in range(60) for k in range(3)], "doc_id long, text string, bytes string")
+    labels = spark.createDataFrame([(d, d % 2) for d in range(60)] + [(0, 1), (2, None)], "doc_id long, toxic int")
+    got = X.labelled(docs, labels, rows=20, size=10_000).collect()
+    assert len(got) == len({r.doc_id for r in got}) == 20 and all(r.text == "t" * 100 + "0" for r in got)
+    assert {r.doc_id: r.label for r in X.labelled(docs, labels, rows=200, size=100_000).collect()}.get(0, 1) == 1
+    assert len(X.labelled(docs, labels, rows=200, size=1010).collect()) == 10
+    assert not any(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in got)
