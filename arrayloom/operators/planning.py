@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import product
+from itertools import accumulate, product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,13 +84,11 @@ def region_split(extents: list[int], strides: list[int], item: int, cap: int, bu
     From the fastest stride on, an axis is gathered while its stride is no more than the span so far, or the gap
     is at most ``cap`` and the joined span at most ``budget``.
     """
-    span, axes = item, sorted(range(len(extents)), key=lambda a: strides[a])
-    for k, a in enumerate(axes):
-        joined = (extents[a] - 1) * strides[a] + span
-        if extents[a] > 1 and not (strides[a] <= span or (strides[a] - span <= cap and joined <= budget)):
-            return sorted(axes[k:])
-        span = joined
-    return []
+    fastest = sorted(range(len(extents)), key=strides.__getitem__)
+    spans = list(accumulate(((extents[a] - 1) * strides[a] for a in fastest), initial=item))  # bytes from the first to the last value over the axes so far
+    gaps = [strides[a] - spans[k] if extents[a] > 1 else 0 for k, a in enumerate(fastest)]
+    apart = [gap > 0 and (gap > cap or spans[k + 1] > budget) for k, gap in enumerate(gaps)]
+    return sorted(fastest[apart.index(True) :]) if any(apart) else []
 
 
 def write_runs(extents: list[int], strides: list[int], item: int) -> tuple[int, list[int]]:

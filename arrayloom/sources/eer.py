@@ -47,30 +47,40 @@ class Timeline:
         return np.concatenate(parts) if parts else np.zeros((0, 2), np.uint32)
 
     def _strip(self, data: bytes, first_row: int, rows: int) -> np.ndarray:
-        run, h, v = self.run, self.h, self.v
-        stream, bits, pixels = int.from_bytes(data, "little"), 8 * len(data), self.width * rows
-        full, out, at, pixel = (1 << run) - 1, [], 0, 0
-        # a window of the stream is shifted through, so no shift is longer than it
-        window, begin = stream & ((1 << 4096) - 1), 0
-        while pixel < pixels and bits - at >= run:
-            if at - begin > 4000:
-                begin = at
-                window = (int.from_bytes(data[at // 8 : at // 8 + 520], "little")) >> (at % 8)
-            word = window >> (at - begin)
-            skip = word & full
-            pixel += skip
-            if pixel == pixels:
-                break
-            if pixel > pixels:
+        """(events, 2) of a strip, decoded as arrays: the codes' places first, then all runs and sub-positions at once.
+
+        A code is a run of pixels without an event; unless it is the longest run, an event with its sub-position follows.
+        """
+        none, event_bits, pixels = (1 << self.run) - 1, self.run + self.h + self.v, self.width * rows
+        bits = 8 * len(data)
+        if bits < self.run or not pixels:
+            return np.zeros((0, 2), np.uint32)
+        # what stands at each bit place, as a word of five bytes from the byte it lies in
+        padded = np.frombuffer(data + bytes(4), np.uint8).astype(np.uint64)
+        words = sum(padded[k : len(data) + k] << np.uint64(8 * k) for k in range(5))
+        places = np.arange(bits - self.run + 1)
+        at_place = lambda b, shift, n: (words[b >> 3] >> ((b & 7) + shift).astype(np.uint64)) & np.uint64((1 << n) - 1)
+        after = (places + np.where(at_place(places, 0, self.run) == none, self.run, event_bits)).tolist()
+        found, place = [], 0
+        while place < len(after):
+            found.append(place)
+            place = after[place]
+        codes = np.array(found)
+        skipped = at_place(codes, 0, self.run).astype(np.int64)
+        event = skipped != none
+        pixel = np.cumsum(skipped + event) - event  # of the event, or behind the run
+        over = np.flatnonzero(pixel >= pixels)
+        if len(over):
+            k = over[0]
+            if pixel[k] > pixels > pixel[k] - skipped[k]:
                 raise FormatError("events past the end of a strip")
-            if skip == full:
-                at += run
-                continue
-            if bits - at < run + h + v:
-                raise FormatError("a truncated code")
-            x = ((word >> run) & ((1 << h) - 1)) ^ (h & ((1 << h) - 1))
-            y = ((word >> (run + h)) & ((1 << v) - 1)) ^ (v & ((1 << v) - 1))
-            out.append(((first_row + pixel // self.width) << v | y, (pixel % self.width) << h | x))
-            pixel += 1
-            at += run + h + v
-        return np.array(out, np.uint32).reshape(-1, 2)
+            codes, event, pixel = codes[:k], event[:k], pixel[:k]
+        codes, pixel = codes[event], pixel[event]
+        if len(codes) and codes[-1] + event_bits > bits:
+            raise FormatError("a truncated code")
+        # Sub-positions are stored with these bits turned over.
+        turned = lambda n: n & ((1 << n) - 1)
+        x = at_place(codes, self.run, self.h).astype(np.int64) ^ turned(self.h)
+        y = at_place(codes, self.run + self.h, self.v).astype(np.int64) ^ turned(self.v)
+        row, column = np.divmod(pixel, self.width)
+        return np.column_stack([(first_row + row) << self.v | y, column << self.h | x]).astype(np.uint32)

@@ -287,3 +287,31 @@ def test_spark(spark, tmp_path):
     (tmp_path / "m.eer").write_bytes(eer_file(3, 6, 8, 7, 2, 2, 3, 65001))
     events = read_timeline(spark, [f"{tmp_path}/m.eer"], 1, 3)
     assert {r.t for r in events.collect()} == {1, 2} and events.count() == 20
+
+
+def test_eer_strips_round_trip():
+    """Random events of several widths, written as codes and read back; cut-off and overlong strips."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        line = object.__new__(Timeline)
+        line.run, line.h, line.v, line.width = (int(n) for n in (rng.integers(3, 10), rng.integers(0, 4), rng.integers(0, 4), rng.integers(1, 40)))
+        rows = int(rng.integers(1, 9))
+        pixels = np.flatnonzero(rng.random(line.width * rows) < rng.random())
+        x, y = rng.integers(0, 1 << line.h, len(pixels)), rng.integers(0, 1 << line.v, len(pixels))
+        longest, text = (1 << line.run) - 1, ""
+        turned = lambda n: n & ((1 << n) - 1)
+        number = lambda value, n: f"{value:0{n}b}"[::-1] if n else ""
+        gaps = np.diff(pixels, prepend=-1) - 1
+        for gap, a, b in zip([*gaps.tolist(), line.width * rows - 1 - int(pixels[-1] if len(pixels) else -1)], [*x.tolist(), None], [*y.tolist(), None], strict=True):
+            text += number(longest, line.run) * (gap // longest) + number(gap % longest, line.run)
+            if a is not None:
+                text += number(a ^ turned(line.h), line.h) + number(b ^ turned(line.v), line.v)
+        pack = lambda t: bytes(int(t[k : k + 8].ljust(8, "0")[::-1], 2) for k in range(0, len(t), 8))
+        want = np.column_stack([(3 + pixels // line.width) << line.v | y, (pixels % line.width) << line.h | x])
+        assert np.array_equal(line._strip(pack(text), 3, rows), want)
+        assert line._strip(b"", 3, rows).shape == (0, 2)
+    line.run, line.h, line.v, line.width = 8, 2, 2, 16
+    with pytest.raises(FormatError, match="truncated"):
+        line._strip(bytes([5]), 0, 1)
+    with pytest.raises(FormatError, match="past"):
+        line._strip(bytes([200, 0, 0]), 0, 1)
