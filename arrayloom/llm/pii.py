@@ -4,7 +4,8 @@ Detected entities (mail and IPv4 addresses, phone, card, social security and IBA
 are replaced by values of the same type and format, drawn from a keyed digest of the entity's canonical form:
 the same entity, however it is written, gets the same surrogate everywhere (coreference). Names keep gender
 and script: feminine titles get feminine given names and endings, Cyrillic and Greek names such ones. Numbers
-keep their punctuation, phones their country code, cards their first digit and a valid check digit.
+keep their punctuation, phones their country code, cards their first digit; valid check digits of cards and IBANs
+are valid again.
 
 Distinctness is checked over the corpus: entities whose surrogate another entity has, or that is itself an
 entity of the corpus, draw again with the next attempt until there is no collision. Only those entities are
@@ -26,14 +27,14 @@ PATTERNS = {
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "iban": r"(?<!\w)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w)",
-    "phone": r"(?<![\w.+-])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)\x20?[0-9]{3,4}[\x20.-]?[0-9]{3,4}|(?<=[0-9][\x20.-])[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){2,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\w-])",
+    "phone": r"(?<![\w.+-])(?:\+[0-9]{10,15}|(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)\x20?[0-9]{3,4}[\x20.-]?[0-9]{3,4}|(?<=[0-9][\x20.-])[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){2,4}|[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}|0[1-9](?:\x20[0-9]{2}){4}|0[0-9]{2,4}[\x20/-][0-9]{5,9}))(?![\w-])",
     "card": r"(?<![\w-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\w-])",
     "name": r"(?<!\p{L})(?:Mrs|Mr|Ms|Miss|Frau|Herr|Señora|Señor|Monsieur|Madame|Mme|Госпожа|Господин|Κυρία|Κύριος)\.?\x20\p{Lu}[\p{L}'-]+(?:\x20\p{Lu}[\p{L}'-]+)?",
 }
 KINDS = tuple(PATTERNS)
 ANY = "|".join(PATTERNS.values())
-#: What every entity has: an @, four digits with little between them, or a title. Texts without aren't searched further.
-HINT = r"@|[0-9](?:[\x20.()-]{0,2}[0-9]){3}|(?:M(?:rs?|s|iss|me|onsieur|adame)|Frau|Herr|Señora?|Госпо|Κύρι|Κυρί)\p{L}*\.?\x20\p{Lu}"
+#: What every entity has: an @, four digits with little between them, two capitals before two digits, or a title. Texts without aren't searched further.
+HINT = r"@|[0-9](?:[\x20.()/-]{0,2}[0-9]){3}|[A-Z]{2}[0-9]{2}|(?:M(?:rs?|s|iss|me|onsieur|adame)|Frau|Herr|Señora?|Госпо|Κύρι|Κυρί)\p{L}*\.?\x20\p{Lu}"
 NUMBERS = ("ssn", "phone", "card")
 FEMININE = r"^(?:Mrs|Ms|Miss|Frau|Señora|Madame|Mme|Госпожа|Κυρία)\b|^(?:Госпожа|Κυρία)"
 # Given names and syllables by script, endings by script and gender.
@@ -104,6 +105,18 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, b: a + b)
 
 
+def mod_97(canon: Column) -> Column:
+    """The rest of an IBAN by 97: its first four characters behind the others, letters as 10 to 35."""
+    turned = F.concat(F.substring(canon, F.lit(5), F.length(canon)), F.substring(canon, 1, 4))
+
+    def add(rest: Column, c: Column) -> Column:
+        digit = F.regexp_like(c, F.lit("[0-9]"))
+        value = F.when(digit, F.ascii(c) - 48).otherwise(F.ascii(F.upper(c)) - 55)
+        return (rest * F.when(digit, 10).otherwise(100) + value) % 97
+
+    return F.aggregate(F.filter(F.split(turned, "", -1), lambda c: c != ""), F.lit(0), add)
+
+
 def _name(canon: Column, hexes: Column, attempt: Column) -> Column:
     """A name as long (in words) as the canonical one, in its script, with its gender."""
     bits = F.split(canon, r"\|")
@@ -132,7 +145,10 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     body = F.concat(F.substring(canon, 1, 1), _like(F.substring(canon, F.lit(2), F.length(canon) - 2), hexes))
     check = ((10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
     card = F.when(luhn_sum(canon) % 10 == 0, F.concat(body, check)).otherwise(F.concat(body, F.substring(_like(canon, hexes), -1, 1)))
-    iban = F.concat(F.substring(canon, 1, 2), _like(F.substring(canon, F.lit(3), F.length(canon)), hexes))
+    country, account = F.substring(canon, 1, 2), _like(F.substring(canon, F.lit(5), F.length(canon)), hexes)
+    valid = F.lpad((98 - mod_97(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0")
+    # check digits that don't fit stay so
+    iban = F.concat(country, F.when(mod_97(canon) == 1, valid).otherwise(F.substring(canon, 3, 2)), account)
     return _pick(kind, {"email": mail, "ip": address, "ssn": _like(canon, hexes), "iban": iban, "phone": phone, "card": card, "name": _name(canon, hexes, attempt)})
 
 
@@ -184,7 +200,8 @@ def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text, n_email, n_ip, n_ssn, n_iban, n_phone, n_card, n_name for every row of ``docs(doc_id, text)``.
 
     ``text`` has all detected entities replaced; the counts are of replaced places. A null text stays null with
-    counts 0; null ids and repeated rows stay; an empty table gives no rows; other columns are ignored.
+    counts 0; null ids and repeated rows stay; texts of any length are read whole; an empty table gives no rows;
+    other columns are ignored.
     """
     if not key:
         raise ValueError("a key is needed")
