@@ -4,28 +4,29 @@ A 64-bit code is cut into m segments, each indexed by its value. If two codes di
 bits, some segment differs in at most r. So looking up all segment values within radius r finds every code up to
 that distance: the radius grows until the k-th best distance found, each counted exactly, is covered.
 
-The distinct codes are dealt to blocks of bounded size; each block indexes its codes and gives its own exact
-top-k of every query, of which the best k are the result. Queries are sent in blocks of bounded size, too, one
-pass over the codes for each. Equal codes are one entry with its k smallest ids, so a vector that a third of
-all rows share is one entry.
+The index is one table of all codes, a row for each segment and value, and the lookup an equi-join with it. In
+the round of radius r a query asks for the values exactly r bits away; a code comes out in the round of its closest
+segment and for the first of those that are as close, so once in all, and only if it is no further than the k-th
+found so far. Queries whose k-th distance is covered leave; the others go on. Values that very many codes share are
+dealt to parts, each of which is asked. Equal codes are one entry with its k smallest ids, so a vector that a third
+of all rows share is one entry.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import cache
+from functools import reduce
 from itertools import combinations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arrayloom.llm._common import cut, prepare
+from arrayloom.llm._common import cut, cut_counted
 
 BITS, TOP = 64, 10
-#: Distinct codes of a block, and queries that are sent at once.
-BLOCK, QUERIES = 16_384, 4096
+#: Distinct codes from which segments of 16 and of 32 bits are looked up: about one code a value then.
+MORE_FROM = {16: 1 << 12, 32: 1 << 24}
+#: Codes of a segment's value that are looked up at once.
+PART = 50_000
 
 
 def sign_code(vector: Column) -> Column:
@@ -34,95 +35,76 @@ def sign_code(vector: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseXOR(b))
 
 
-@cache
-def masks(width: int, radius: int) -> np.ndarray:
-    """All values of ``width`` bits of which ``radius`` are set."""
-    return np.array([sum(1 << b for b in bits) for bits in combinations(range(width), radius)], np.int64)
-
-
-class Index:
-    """Codes of a block by the values of their segments."""
-
-    def __init__(self, codes: np.ndarray, least: np.ndarray, counts: np.ndarray, width: int):
-        self.codes, self.least, self.counts, self.width = codes.view(np.uint64), least, counts, width
-        self.segments = BITS // width
-        self.tables = []
-        for s in range(self.segments):
-            part = self.part(self.codes, s)
-            self.tables.append((np.argsort(part, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(part, minlength=1 << width))])))
-
-    def part(self, codes: np.ndarray, s: int) -> np.ndarray:
-        return ((codes >> np.uint64(s * self.width)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
-
-    def top(self, query: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The entries with the k rows of least distance (ties by their smallest id), and the distances."""
-        q = np.array([query], np.int64).view(np.uint64)
-        need, seen = min(k, int(self.counts.sum())), np.zeros(len(self.codes), bool)
-        found, distance = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for radius in range(self.width + 1):
-            for s, (order, starts) in enumerate(self.tables):
-                keys = self.part(q, s)[0] ^ masks(self.width, radius)
-                low, n = starts[keys], starts[keys + 1] - starts[keys]
-                low, n = low[n > 0], n[n > 0]
-                at = order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                at = at[~seen[at]]
-                seen[at] = True
-                found = np.concatenate([found, at])
-                distance = np.concatenate([distance, np.bitwise_count(self.codes[at] ^ q[0])])
-            covered = self.segments * (radius + 1) - 1
-            if self.counts[found[distance <= covered]].sum() >= need:
-                break
-        best = np.lexsort((self.least[found], distance))[:k]
-        return found[best], distance[best]
-
-
-def _searching(queries: np.ndarray, k: int, width: int | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def search() -> Iterator[pa.RecordBatch]:
-            code, least, n = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(3))
-            index = Index(code, least, n, width or (16 if len(code) > 2048 else 8))
-            for q in queries.tolist():
-                at, d = index.top(q, k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), q)), pa.array(code[at]), pa.array(least[at]), pa.array(d.astype(np.int32))], names=["q", "code", "least", "d"])
-
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= BLOCK:
-                yield from search()
-                held = []
-        if sum(b.num_rows for b in held):
-            yield from search()
-
-    return run
-
-
-def hamming_top_k(rows: DataFrame, queries: DataFrame, k: int = TOP, width: int | None = None) -> DataFrame:
+def masks(width: int, radius: int) -> Column:
+    """All values of ``width`` bits of which ``radius`` are set, as a constant array."""
+    return F.split(F.lit(",".join(str(sum(1 << b for b in bits)) for bits in combinations(range(width), radius))), ",").cast("array<bigint>")
+
+
+def segment(code: Column, s: int, width: int) -> Column:
+    return F.shiftrightunsigned(code, s * width).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+
+
+def _segments(code: Column, width: int) -> Column:
+    return F.array(*[F.struct(F.lit(s).alias("s"), segment(code, s, width).alias("value")) for s in range(BITS // width)])
+
+
+def _first_met(q: Column, code: Column, s: Column, radius: int, width: int) -> Column:
+    """Whether segment s is the first of those in which the codes are closest, and they differ there in ``radius`` bits."""
+    apart = [F.bit_count(segment(q.bitwiseXOR(code), k, width)) for k in range(BITS // width)]
+    return reduce(lambda x, y: x & y, (F.when(s > k, n > radius).when(s < k, n >= radius).otherwise(True) for k, n in enumerate(apart)))
+
+
+def _closest(found: DataFrame, need: int) -> DataFrame:
+    """Of each query the entries that may hold the ``need`` rows of least distance, ties by id: ``need`` entries at most."""
+    kept = found.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy("d", "least"))).where(F.col("nth") <= need)
+    before = F.sum("n").over(Window.partitionBy("q").orderBy("d").rangeBetween(Window.unboundedPreceding, -1))
+    return kept.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < need).drop("nth", "before")
+
+
+def closest_codes(codes: DataFrame, queries: DataFrame, need: int, width: int, part: int = PART) -> DataFrame:
+    """(q, code, least, n, d): for each of ``queries(q)`` the ``codes(code, least, n)`` that hold its ``need`` closest rows."""
+    m = BITS // width
+    index = codes.select("code", "least", "n", F.explode(_segments(F.col("code"), width)).alias("at")).select("code", "least", "n", "at.s", "at.value")
+    sizes = index.groupBy("s", "value").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    hot, many = cut_counted(sizes.where("parts > 1"))
+    one = lambda df: df.join(hot, ["s", "value"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))) if many else df.withColumn("parts", F.lit(1))
+    index = cut(one(index).withColumn("part", F.pmod(F.xxhash64("code"), F.col("parts")).cast("int")).drop("parts"))
+    waiting, best = cut(queries.select("q", F.lit(BITS).alias("bound"))), None
+    for radius in range(width + 1):
+        asked = waiting.select("q", "bound", F.explode(_segments(F.col("q"), width)).alias("at")).select("q", "bound", "at.s", F.col("at.value").alias("own"))
+        asked = one(asked.withColumn("mask", F.explode(masks(width, radius))).select("q", "bound", "s", F.col("own").bitwiseXOR(F.col("mask")).alias("value")))
+        asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        d = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
+        met = asked.join(index, ["s", "value", "part"]).where((d <= F.col("bound")) & _first_met(F.col("q"), F.col("code"), F.col("s"), radius, width))
+        found = met.select("q", "code", "least", "n", d.alias("d"))
+        best = cut(_closest(found if best is None else best.unionByName(found), need))
+        sure = F.sum(F.when(F.col("d") < m * (radius + 1), F.col("n")).otherwise(0))
+        state = best.groupBy("q").agg(sure.alias("sure"), F.sum("n").alias("found"), F.max("d").alias("most"))
+        open_ = waiting.select("q").join(state, "q", "left").where(F.coalesce("sure", F.lit(0)) < need)
+        waiting = cut(open_.select("q", F.when(F.col("found") >= need, F.col("most")).otherwise(BITS).alias("bound")))
+        if waiting.isEmpty():
+            break
+    return best
+
+
+def hamming_top_k(rows: DataFrame, queries: DataFrame, k: int = TOP, width: int | None = None, part: int = PART) -> DataFrame:
     """(query_id, rank, neighbor_id, distance): the k rows of least distance to each query, ties by id.
 
     Both frames have (id, code). Every row is searched, a query's own too. Rows with a null id or code are
     left out, as are such queries; repeated rows are ranked each, repeated queries once. Fewer than k rows
-    are all returned; no rows or no queries give none.
+    are all returned; no rows or no queries give none. ``width``: bits of a segment (a divisor of 64; by default
+    from the number of codes).
     """
-    if k < 1:
-        raise ValueError("k must be positive")
-    prepare(rows.sparkSession)
+    if k < 1 or width is not None and BITS % width:
+        raise ValueError("k must be positive, and a width a divisor of 64")
     known = rows.select(F.col("id").cast("long").alias("id"), F.col("code").cast("long").alias("code")).where("id is not null and code is not null")
     asked = cut(queries.select(F.col("id").cast("long").alias("query_id"), F.col("code").cast("long").alias("q")).where("query_id is not null and q is not null").distinct())
     # at most k ids of a code matter; the limit works before the shuffle, too
     entries = cut(known.withColumn("nth", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("nth") <= k))
-    codes = cut(entries.groupBy("code").agg(F.min("id").alias("least"), F.count("*").alias("n")))
-    blocks = codes.repartition(max(1, -(-codes.count() // BLOCK)))
-    wanted = asked.select("q").distinct()
-    passes = max(1, -(-wanted.count() // QUERIES))
-    best = None
-    for p in range(passes):
-        part = wanted if passes == 1 else wanted.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == p)
-        sent = np.array(sorted(r.q for r in part.collect()), np.int64)  # about QUERIES codes
-        found = blocks.mapInArrow(_searching(sent, k, width), "q long, code long, least long, d int")
-        best = found if best is None else best.unionByName(found)
-    best = best.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy("d", "least"))).where(F.col("nth") <= k)
+    codes, n = cut_counted(entries.groupBy("code").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    # k rows there may not be: the search ends when all are found
+    need = min(k, int(codes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
+    best = closest_codes(codes, asked.select("q").distinct(), max(need, 1), width or max([8, *(w for w, least in MORE_FROM.items() if n > least)]), part)
     found = best.join(entries.select("code", "id"), "code")
     top = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))).where(F.col("rank") <= k)
     return asked.join(top, "q").select("query_id", "rank", F.col("id").alias("neighbor_id"), F.col("d").alias("distance"))

@@ -33,14 +33,14 @@ def codes(n, seed):
     return rows + [(n + j, signed(bases[0])) for j in range(40)] + [(3, signed(bases[1])), (3, signed(bases[1]))]
 
 
-@pytest.mark.parametrize("width,k", [(None, 5), (16, 10), (8, 1)])
-def test_against_all_rows(spark, width, k):
+@pytest.mark.parametrize("width,k,part", [(None, 5, 50_000), (16, 10, 3), (32, 1, 50_000)])
+def test_against_all_rows(spark, width, k, part):
     rows = codes(250, 1)
     queries = [r for r in rows if r[0] % 40 == 0]
     odd = [(None, 5), (7000, None)]
     df = spark.createDataFrame([(*r, 1) for r in rows + odd], "id long, code long, d int")
     q = spark.createDataFrame(queries + odd + queries[:1], "id long, code long")
-    assert sorted(map(tuple, hamming_top_k(df, q, k, width).collect())) == brute(rows, queries, k)
+    assert sorted(map(tuple, hamming_top_k(df, q, k, width, part).collect())) == brute(rows, queries, k)
 
 
 def test_few_rows_and_none(spark):
