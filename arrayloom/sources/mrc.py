@@ -27,14 +27,12 @@ def score(name: str, head: bytes) -> int | None:
 
 
 def byte_order(head: bytes) -> str:
-    stated = STAMPS.get(head[212:214])
-    for order in [stated] if stated else []:
-        if struct.unpack_from(order + "i", head, 12)[0] in (*MODES, 3, 101):
-            return order
-    for order in "<>":
+    """As the stamp says, if the mode makes sense that way; else the first order in which it does."""
+    stated = STAMPS.get(bytes(head[212:214]))
+    for order in dict.fromkeys([*([stated] if stated else []), "<", ">"]):
         if struct.unpack_from(order + "i", head, 12)[0] in MODES:
             return order
-    raise UnsupportedError("no byte order gives a known mode")
+    raise FormatError("no byte order gives a known mode")
 
 
 def open_mrc(name: str, data: bytes) -> ImageFile:

@@ -77,47 +77,96 @@ def register(fmt: Format) -> None:
 
 
 def select(probe: Probe) -> Format:
-    scored = [(s, -k, f) for k, f in enumerate(FORMATS) if (s := f.score(probe)) is not None]
-    if not scored:
-        raise (UnsupportedError if probe.exists else ImageFileError)(f"{probe.path}: no format reads it" if probe.exists else f"{probe.path} isn't there")
-    return max(scored, key=lambda x: x[:2])[2]
+    return _best(FORMATS, probe, "no format reads it")
+
+
+def contents(path: str):
+    """A file's bytes, mapped: only the pages that are looked at are read, so a header costs a header."""
+    import mmap
+
+    with open(path, "rb") as f:
+        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if os.fstat(f.fileno()).st_size else b""
 
 
 def open_image(path: str, data: bytes | None = None) -> ImageFile:
-    """An image file by its path, or by its path and bytes that were read otherwise."""
+    """An image file by its path (read as far as it is asked for), or by its path and bytes that were read otherwise."""
     probe = Probe.of(path, data)
     fmt = select(probe)
-    if data is None and not probe.is_directory:
-        with open(path, "rb") as f:
-            data = f.read()
-    return fmt.open(path, data)
+    return fmt.open(path, contents(path) if data is None and not probe.is_directory else data)
+
+
+@dataclass(frozen=True)
+class TimelineFormat:
+    """``score(probe)`` is a suitability or None; ``open(path, data)`` gives a timeline: pages, height, width, h, v, frame(t)."""
+
+    name: str
+    score: Callable[[Probe], int | None]
+    open: Callable[[str, bytes], eer.Timeline]
+
+
+TIMELINES: list[TimelineFormat] = [TimelineFormat("eer", lambda p: eer.score(p.name, _plain(p)), eer.Timeline)]
+
+
+def register_timeline(fmt: TimelineFormat) -> None:
+    """Add a format of event timelines, behind those there are."""
+    TIMELINES.append(fmt)
+
+
+def _best(formats: list, probe: Probe, error: str):
+    scored = [(s, -k, f) for k, f in enumerate(formats) if (s := f.score(probe)) is not None]
+    if not scored:
+        raise (UnsupportedError if probe.exists else ImageFileError)(f"{probe.path}: {error if probe.exists else 'it is not there'}")
+    return max(scored, key=lambda x: x[:2])[2]
 
 
 def open_timeline(path: str, data: bytes | None = None) -> eer.Timeline:
-    probe = Probe.of(path, data)
-    if eer.score(probe.name, probe.head) is None:
-        raise (UnsupportedError if probe.exists else ImageFileError)(f"{path}: not an event timeline")
-    if data is None:
-        with open(path, "rb") as f:
-            data = f.read()
-    return eer.Timeline(path, data)
+    return _best(TIMELINES, Probe.of(path, data), "no format reads it as an event timeline").open(path, contents(path) if data is None else data)
 
 
-def write_image(path: str, array, core_rank: int) -> None:
-    """A file of the format that its name asks for; written beside and renamed."""
-    import uuid
+@dataclass(frozen=True)
+class WriteFormat:
+    """``score(name)`` is a suitability or None for a name in lower case; ``write(path, array, core_rank)`` makes the whole file."""
+
+    name: str
+    score: Callable[[str], int | None]
+    write: Callable[[str, object, int], None]
+
+
+def _by_bytes(encode: Callable[[str, object, int], bytes]) -> Callable[[str, object, int], None]:
+    """Writes the bytes beside the path and renames them into place."""
+
+    def write(path: str, array, core_rank: int) -> None:
+        import uuid
+
+        data = encode(path.lower(), array, core_rank)
+        beside = f"{path}.{uuid.uuid4().hex}"
+        with open(beside, "wb") as f:
+            f.write(data)
+        os.replace(beside, path)
+
+    return write
+
 
+def _ends(*endings: str) -> Callable[[str], int | None]:
+    return lambda name: NORMAL if name.endswith(endings) else None
+
+
+WRITERS: list[WriteFormat] = [
+    WriteFormat("zarr", _ends(".zarr"), zarr.write_zarr),
+    WriteFormat("mrc", _ends(".mrc", ".mrcs", ".map"), _by_bytes(mrc.write_mrc)),
+    WriteFormat("tiff", _ends(".tif", ".tiff"), _by_bytes(lambda name, array, core_rank: tiff.write_tiff(array, core_rank))),
+]
+
+
+def register_writer(fmt: WriteFormat) -> None:
+    """Add a format that writes, behind those there are."""
+    WRITERS.append(fmt)
+
+
+def write_image(path: str, array, core_rank: int) -> None:
+    """A file of the format that its name asks for."""
     name = path.rstrip("/").lower()
-    if name.endswith(".zarr"):
-        return zarr.write_zarr(path, array, core_rank)
-    if name.endswith((".mrc", ".mrcs", ".map")):
-        data = mrc.write_mrc(name, array, core_rank)
-    elif name.endswith((".tif", ".tiff")):
-        data = tiff.write_tiff(array, core_rank)
-    else:
+    scored = [(s, -k, f) for k, f in enumerate(WRITERS) if (s := f.score(name)) is not None]
+    if not scored:
         raise UnsupportedError(f"{path}: no format writes it")
-    beside = f"{path}.{uuid.uuid4().hex}"
-    with open(beside, "wb") as f:
-        f.write(data)
-    os.replace(beside, path)
-    return None
+    max(scored, key=lambda x: x[:2])[2].write(path, array, core_rank)

@@ -2,12 +2,16 @@
 
 Single files are read with Spark's ``binaryFile`` and decoded in Arrow batches, so any store that Spark reads will do;
 ``spark.read.format("arrayloom")`` reads files and ZARR directories from mounted paths, in partitions of a file and a
-range of its images. Images are rows (key, idx, shape, dtype, data): little-endian values in C order.
+range of its images; files are mapped, so planning reads headers and a task the bytes of its images. Images are rows (key, idx, shape, dtype, data): little-endian values in C order.
 """
 
 from __future__ import annotations
 
+import os
+import shutil
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +29,7 @@ EVENTS = "key string, t bigint, y bigint, x bigint"
 
 
 def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Whole files by any store that Spark reads."""
     return spark.read.format("binaryFile").load(paths).select("path", "content")
 
 
@@ -148,27 +153,55 @@ class _Reader(DataSourceReader):
             yield tuple(tensor(partition.path, k, array, self.dtype or f.dtype).values())
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    """A task's file: where it lies, and what it shall be called."""
+
+    staged: str | None = None
+    name: str | None = None
+
+
 class _Writer(DataSourceWriter):
-    """One file a task: ``path/part-<n><extension>``."""
+    """One file a task, ``path/part-<task>-<job><extension>``: written to a folder of the job, renamed into place once all have ended.
 
-    def __init__(self, options: dict):
-        self.folder, self.extension = options["path"], options.get("extension", ".mrcs")
+    Appending leaves earlier files; overwriting removes them once the new ones are written. A job that fails leaves nothing.
+    """
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
-        import os
+    def __init__(self, options: dict, overwrite: bool):
+        self.folder, self.extension, self.core_rank = options["path"].rstrip("/"), options.get("extension", ".mrcs"), int(options.get("core_rank", 2))
+        self.job, self.overwrite = uuid.uuid4().hex[:12], overwrite
+        self.staging = f"{self.folder}/_staged-{self.job}"
 
+    def write(self, rows: Iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
         found = sorted(rows, key=lambda r: (r.key, r.idx is None, r.idx or 0))
-        if found:
-            os.makedirs(self.folder, exist_ok=True)
-            stack = np.stack([np.frombuffer(r.data, numpy_type(r.dtype)).reshape(r.shape) for r in found])
-            write_image(f"{self.folder}/part-{TaskContext.get().partitionId():05d}{self.extension}", stack, 2)
-        return WriterCommitMessage()
+        if not found:
+            return _Written()
+        os.makedirs(self.staging, exist_ok=True)
+        stack = np.stack([np.frombuffer(r.data, numpy_type(r.dtype)).reshape(r.shape) for r in found])
+        context = TaskContext.get()
+        staged = f"{self.staging}/{context.partitionId()}-{context.taskAttemptId()}{self.extension}"
+        write_image(staged, stack, self.core_rank)
+        return _Written(staged, f"part-{context.partitionId():05d}-{self.job}{self.extension}")
+
+    def commit(self, messages: list) -> None:
+        os.makedirs(self.folder, exist_ok=True)
+        before = [n for n in os.listdir(self.folder) if n.startswith("part-")] if self.overwrite else []
+        for m in messages:
+            if m is not None and m.staged:
+                os.replace(m.staged, f"{self.folder}/{m.name}")
+        for name in before:
+            path = f"{self.folder}/{name}"
+            shutil.rmtree(path) if os.path.isdir(path) else os.remove(path)
+        shutil.rmtree(self.staging, ignore_errors=True)
+
+    def abort(self, messages: list) -> None:
+        shutil.rmtree(self.staging, ignore_errors=True)
 
 
 class ImageSource(DataSource):
-    """``spark.read.format("arrayloom")``; options: dtype, idx_begin, idx_end, images_per_partition, extension."""
+    """``spark.read.format("arrayloom")``; options: dtype, idx_begin, idx_end, images_per_partition, extension, core_rank."""
 
     @classmethod
     def name(cls) -> str:
@@ -181,7 +214,7 @@ class ImageSource(DataSource):
         return _Reader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(dict(self.options))
+        return _Writer(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:

@@ -43,7 +43,7 @@ def test_mrc_odd_headers():
     with pytest.raises(FormatError):
         mrc.open_mrc("a.map", bytes(head) + array.tobytes())
     struct.pack_into(">i", head, 12, 3)
-    with pytest.raises(UnsupportedError):
+    with pytest.raises(FormatError):  # in neither order a mode that is known
         mrc.open_mrc("a.map", bytes(head))
     with pytest.raises(UnsupportedError):
         mrc.write_mrc("a.mrc", np.zeros((1, 2, 2), "f4"), 2)
