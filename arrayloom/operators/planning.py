@@ -23,46 +23,39 @@ def merge_ranges(ranges: DataFrame, tolerance: int, tie: str) -> DataFrame:
     return runs.groupBy("key", "__run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.count("*").alias("parts")).drop("__run")
 
 
-def _merged(items: list[tuple[int, int]], tolerance: int, budget: int, grid: int, size: int) -> list[tuple[int, int, int]]:
-    out: list[list[int]] = []
-    for begin, end in items:
-        begin, end = begin - begin % grid, min(end, size)
-        if out and begin <= out[-1][1] + tolerance and max(end, out[-1][1]) - out[-1][0] <= max(budget, out[-1][1] - out[-1][0]):
-            out[-1][1] = max(end, out[-1][1])
-            out[-1][2] += 1
-        else:
-            out.append([begin, end, 1])
-    return [tuple(x) for x in out]
-
-
 def budgeted_ranges(ranges: DataFrame, tolerance: int, budget: int, grid: int = 1, size: int = (1 << 63) - 1) -> DataFrame:
     """``merge_ranges`` under a byte budget: a join that makes a range larger than both the budget and what it was is not made.
 
     Begins are aligned down to ``grid``, ends cut at the file's ``size``. The rule depends on the order, so it is a
-    fold over a file's ranges, streamed from sorted partitions.
+    fold over a file's ranges, streamed from sorted partitions: only the open range of a file is held.
     """
+    own = ranges.select("key", F.col("begin").cast("bigint"), F.col("end").cast("bigint"))
 
     def fold(batches):
         import pyarrow as pa
 
-        key, items = None, []
-
-        def flush():
-            rows = _merged(items, tolerance, budget, grid, size)
-            return pa.RecordBatch.from_pydict({"key": pa.array([key] * len(rows), pa.string()), "begin": pa.array([r[0] for r in rows], pa.int64()), "end": pa.array([r[1] for r in rows], pa.int64()), "parts": pa.array([r[2] for r in rows], pa.int64())})
-
+        kind, open_ = None, None
         for batch in batches:
-            for k, b, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if items and k != key:
-                    yield flush()
-                    items = []
-                key = k
-                items.append((b, e))
-        if items:
-            yield flush()
-
-    own = ranges.select(F.col("key").cast("string"), F.col("begin").cast("bigint"), F.col("end").cast("bigint"))
-    return own.repartition("key").sortWithinPartitions("key", "begin", "end").mapInArrow(fold, "key string, begin long, end long, parts long")
+            kind, done = batch.schema.field(0).type, []
+            for key, begin, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                begin, end = begin - begin % grid, min(end, size)
+                if open_ is not None and open_[0] == key and begin <= open_[2] + tolerance:
+                    longer = max(end, open_[2])
+                    if longer - open_[1] <= max(budget, open_[2] - open_[1]):
+                        open_ = (key, open_[1], longer, open_[3] + 1)
+                        continue
+                done += [] if open_ is None else [open_]
+                open_ = (key, begin, end, 1)
+            yield rows(pa, kind, done)
+        if open_ is not None:
+            yield rows(pa, kind, [open_])
+
+    def rows(pa, kind, found):
+        columns = list(zip(*found, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["key", "begin", "end", "parts"])
+
+    kind = own.schema["key"].dataType.simpleString()
+    return own.repartition("key").sortWithinPartitions("key", "begin", "end").mapInArrow(fold, f"key {kind}, begin long, end long, parts long")
 
 
 def steps(sizes: list[int], budget: int) -> list[list[int]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +32,25 @@ def read_patches(centres: DataFrame, rows: DataFrame, extents: tuple[int, int],
     equi-joins on (key, y), one for each line; the W values are cut out of the line.
     """
     height, width = extents
-    left = F.col("x") - width // 2
-    need = centres.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("line_y", F.col("y") + F.col("row") - height // 2)
-    lines = rows.select(F.col("key"), F.col("y").alias("line_y"), "line")
-    met = need.join(lines, ["key", "line_y"], "left")
-    return met.select("slot", "row", patch_line(F.col("line"), left, width, fill).alias("values"), _inside(F.col("line"), left, width).alias("inside"))
+    boxes = read_boxes(centres, rows, {"y": height, "x": width}, fill)
+    return boxes.select("slot", F.col("y_at").alias("row"), "values", "inside")
+
+
+def read_boxes(centres: DataFrame, rows: DataFrame, extents: dict[str, int], fill: float = 0.0) -> DataFrame:
+    """Boxes of any rank: ``centres(slot, key, <axes>)`` with a row for each line of their box.
+
+    ``extents`` names the axes and the box, the slowest first; ``rows(key, <all axes but the last>, line)`` holds the
+    image's lines. A box is one equi-join for each of its lines; the row has the line's place in the box (``<axis>_at``),
+    its values, padded with ``fill``, and how many of them lie inside the image.
+    """
+    *lead, last = extents
+    need = centres
+    for a in lead:
+        need = need.withColumn(f"{a}_at", F.explode(F.sequence(F.lit(0), F.lit(extents[a] - 1)))).withColumn(f"{a}_line", F.col(a) + F.col(f"{a}_at") - extents[a] // 2)
+    known = rows.select("key", *[F.col(a).alias(f"{a}_line") for a in lead], "line")
+    met = need.join(known, ["key", *[f"{a}_line" for a in lead]], "left")
+    left = F.col(last) - extents[last] // 2
+    return met.select("slot", *[f"{a}_at" for a in lead], patch_line(F.col("line"), left, extents[last], fill).alias("values"), _inside(F.col("line"), left, extents[last]).alias("inside"))
 
 
 def patch_line(line: Column, left: Column, width: int, fill: float) -> Column:
@@ -87,11 +103,31 @@ def violations(regions: DataFrame, axes: list[str]) -> DataFrame:
 
     For each axis ``a`` the columns are a_off, a_len, a_size (file) and a_at, a_room (array).
     """
+    return regions.where(outside(axes))
+
+
+def outside(axes: list[str]) -> Column:
     bad = F.lit(False)
     for a in axes:
         c = lambda s, a=a: F.col(f"{a}_{s}")
         bad = bad | (c("off") < 0) | (c("off") + c("len") > c("size")) | (c("at") < 0) | (c("at") + c("len") > c("room"))
-    return regions.where(bad)
+    return bad
+
+
+def strict(regions: DataFrame, axes: list[str]) -> DataFrame:
+    """The regions as they are; one that isn't inside its file and array raises an error when the rows are computed."""
+    missing = [f"{a}_{s}" for a in axes for s in ("off", "len", "size", "at", "room") if f"{a}_{s}" not in regions.columns]
+    if missing:
+        raise ValueError(f"regions of another rank: {missing}")
+    return regions.where(F.when(outside(axes), F.raise_error(F.lit("a region outside its file or array")).cast("boolean")).otherwise(True))
+
+
+def sanitize(regions: DataFrame, axes: list[str], by: Callable[[DataFrame, list[str]], DataFrame] = strict) -> DataFrame:
+    """Regions as a sanitizer leaves them: ``strict``, ``clip`` or any function of regions and axes that keeps the columns."""
+    out = by(regions, axes)
+    if set(regions.columns) - set(out.columns):
+        raise ValueError("a sanitizer must keep the regions' columns")
+    return out
 
 
 def clip(regions: DataFrame, axes: list[str]) -> DataFrame:

@@ -84,3 +84,24 @@ class Timeline:
         y = at_place(codes, self.run + self.h, self.v).astype(np.int64) ^ turned(self.v)
         row, column = np.divmod(pixel, self.width)
         return np.column_stack([(first_row + row) << self.v | y, column << self.h | x]).astype(np.uint32)
+
+
+def encoded(frames: list[np.ndarray], height: int, width: int, run: int = 7, h: int = 2, v: int = 2) -> bytes:
+    """A file of the frames' events (row and column in quanta, no two in a pixel), each frame one strip: for stand-ins and tests."""
+    pages = []
+    for events in frames:
+        row, column = np.asarray(events, np.int64).reshape(-1, 2).T
+        pixel = (row >> v) * width + (column >> h)
+        order = np.argsort(pixel)
+        if len(np.unique(pixel)) < len(pixel) or len(pixel) and pixel[order[-1]] >= height * width:
+            raise ValueError("two events in a pixel, or one past the grid")
+        gaps = np.diff(pixel[order], prepend=-1, append=height * width) - 1
+        full, rest = np.divmod(gaps, (1 << run) - 1)
+        turned = lambda n: n & ((1 << n) - 1)
+        at = [np.append((c[order] & ((1 << n) - 1)) ^ turned(n), 0) for c, n in ((column, h), (row, v))]
+        codes = (rest | at[0] << run | at[1] << (run + h)).tolist()
+        sizes = [run + h + v] * (len(codes) - 1) + [run]
+        text = "".join("1" * (run * n) + f"{code & ((1 << size) - 1):0{size}b}"[::-1] for n, code, size in zip(full.tolist(), codes, sizes, strict=True))
+        raw = int(text[::-1], 2).to_bytes(-(-len(text) // 8), "little")
+        pages.append(({tiff.WIDTH: width, tiff.HEIGHT: height, tiff.BITS: 1, tiff.COMPRESSION: STATED, tiff.SAMPLES: 1, tiff.ROWS: height} | dict(zip(STATED_TAGS, (run, h, v), strict=True)), raw))
+    return tiff.file_of(pages)

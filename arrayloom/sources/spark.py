@@ -8,6 +8,7 @@ range of its images; files are mapped, so planning reads headers and a task the
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import uuid
 from collections.abc import Iterator
@@ -89,6 +90,18 @@ def read_timeline(spark: SparkSession, paths: list[str], begin: int = 0, end: in
     return _files(spark, paths).mapInArrow(run, EVENTS)
 
 
+def timelines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """A row for each timeline: key, frames, height and width in pixels, positions to a pixel along both."""
+
+    def run(batches):
+        for batch in batches:
+            for key, data in _rows(batch):
+                line = open_timeline(key, data)
+                yield pa.RecordBatch.from_pylist([{"key": key, "frames": len(line.pages), "height": line.height, "width": line.width, "quanta_y": 1 << line.v, "quanta_x": 1 << line.h}])
+
+    return _files(spark, paths).mapInArrow(run, "key string, frames bigint, height bigint, width bigint, quanta_y bigint, quanta_x bigint")
+
+
 def pixels(stack: DataFrame) -> DataFrame:
     """(key, idx, y, x, value) of a stack of images."""
 
@@ -103,9 +116,11 @@ def pixels(stack: DataFrame) -> DataFrame:
     return stack.select("key", "idx", "shape", "dtype", "data").mapInArrow(run, "key string, idx bigint, y bigint, x bigint, value double")
 
 
-def write_stacks(stack: DataFrame, core_rank: int = 2) -> DataFrame:
+def write_stacks(stack: DataFrame, core_rank: int | None = None) -> DataFrame:
     """Write each key's images, ordered by idx, to the file of that name (a mounted path); key and images of each file.
 
+    ``core_rank``: trailing axes of one image; by default all that the rows' images have.
+
     One task writes a file whole and renames it into place, so a task that is run again leaves one file.
     """
 
@@ -113,7 +128,8 @@ def write_stacks(stack: DataFrame, core_rank: int = 2) -> DataFrame:
         rows = sorted(group.to_pylist(), key=lambda r: (r["idx"] is None, r["idx"]))
         arrays = [np.frombuffer(r["data"], numpy_type(r["dtype"])).reshape(r["shape"]) for r in rows]
         single = len(rows) == 1 and rows[0]["idx"] is None
-        write_image(rows[0]["key"], arrays[0] if single else np.stack(arrays), core_rank)
+        path = re.sub(r"^file:/*", "/", rows[0]["key"])
+        write_image(path, arrays[0] if single else np.stack(arrays), core_rank or arrays[0].ndim)
         return pa.table({"key": [rows[0]["key"]], "images": pa.array([len(rows)], pa.int64())})
 
     return stack.select("key", "idx", "shape", "dtype", "data").groupBy("key").applyInArrow(write, "key string, images bigint")

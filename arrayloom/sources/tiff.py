@@ -246,3 +246,17 @@ def write_tiff(array: np.ndarray, core_rank: int) -> bytes:
         link = len(out)
         out += bytes(room)
     return bytes(out)
+
+
+def file_of(pages: list[tuple[dict[int, int], bytes]]) -> bytes:
+    """A classic file of pages with plain tags and one strip each."""
+    out = bytearray(b"II*\0" + bytes(4))
+    link = 4
+    for tags, strip in pages:
+        every = {**tags, OFFSETS: len(out), COUNTS: len(strip)}
+        out += strip + bytes(-len(strip) % 2)
+        struct.pack_into("<I", out, link, len(out))
+        out += struct.pack("<H", len(every)) + b"".join(struct.pack("<HHII", tag, 4, 1, value) for tag, value in sorted(every.items()))
+        link = len(out)
+        out += bytes(4)
+    return bytes(out)

@@ -6,7 +6,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from arrayloom.queries import ORACLE_SQL, QUERIES
+from pyspark.sql import functions as F
+
+from arrayloom.operators import planning as P
+from arrayloom.operators import reads as R
+from arrayloom.queries import ORACLE_SQL, QUERIES, hours
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -38,12 +42,43 @@ def test_against_sql(spark, sf_dir, duck, name):
 
 
 def test_budgeted_ranges(spark, sf_dir):
-    from arrayloom.operators.planning import _merged
-
+    """Against one file's ranges after the other, over the table; a few cases of the rule."""
+
+    def plain(ranges, tolerance, budget, grid, size):
+        out = []
+        for begin, end in sorted(ranges):
+            begin, end = begin // grid * grid, min(end, size)
+            last = out[-1] if out else None
+            if last and begin - last[1] <= tolerance and (max(end, last[1]) - last[0] <= budget or end <= last[1]):
+                out[-1] = (last[0], max(end, last[1]), last[2] + 1)
+            else:
+                out.append((begin, end, 1))
+        return out
+
+    assert plain([(0, 10), (12, 20), (15, 40), (85, 99)], 2, 25, 1, 90) == [(0, 20, 2), (15, 40, 1), (85, 90, 1)]
+    rows = hours(spark, sf_dir).selectExpr("user_id as key", "micros as begin", "micros + 1800000000 as end").collect()
+    by_key = {}
+    for r in rows:
+        by_key.setdefault(r.key, []).append((r.begin, r.end))
+    want = sorted((k, *x) for k, some in by_key.items() for x in plain(some, 7_200_000_000, 36_000_000_000, 1_000_000, 1 << 62))
     got = QUERIES["range_merge_budgeted"](spark, sf_dir)
-    assert got.count() >= QUERIES["range_merge"](spark, sf_dir).count() > 0
-    assert _merged([(0, 10), (12, 20), (15, 40), (85, 99)], 2, 25, 1, 90) == [(0, 20, 2), (15, 40, 1), (85, 90, 1)]
-    assert _merged([(0, 50), (10, 30)], 0, 5, 1, 1000) == [(0, 50, 2)]
+    assert sorted(map(tuple, got.collect())) == want and dict(got.dtypes)["key"] == "bigint"
+    cases = spark.createDataFrame([("a", 0, 10), ("a", 12, 20), ("a", 15, 40), ("a", 85, 99), ("b", 0, 50), ("b", 10, 30)], "key string, begin long, end long")
+    assert sorted(map(tuple, P.budgeted_ranges(cases, 2, 25, 1, 90).collect())) == [("a", 0, 20, 2), ("a", 15, 40, 1), ("a", 85, 90, 1), ("b", 0, 50, 2)]
+    assert P.budgeted_ranges(cases.where("false"), 2, 25).count() == 0
+
+
+def test_sanitizers(spark):
+    good = spark.createDataFrame([(0, 4, 10, 0, 5)], "y_off long, y_len long, y_size long, y_at long, y_room long")
+    bad = good.withColumn("y_off", F.lit(8).cast("long"))
+    assert R.sanitize(good, ["y"]).count() == 1 and R.sanitize(bad, ["y"], R.clip).first().y_len == 2
+    with pytest.raises(Exception, match="outside"):
+        R.sanitize(bad, ["y"]).collect()
+    with pytest.raises(ValueError):
+        R.sanitize(good, ["y", "x"])
+    with pytest.raises(ValueError):
+        R.sanitize(good, ["y"], lambda df, axes: df.drop("y_at"))
+    assert R.sanitize(bad, ["y"], lambda df, axes: df.where("y_off < 5")).count() == 0
 
 
 def test_entry(spark):
