@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from itertools import accumulate, product
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arrayloom.plans.lineage import running_sum
+from arrayloom.plans.lineage import add, placed, running_by, running_sum
 
 
 def div(a: Column, b: Column | int) -> Column:
@@ -15,12 +15,15 @@ def div(a: Column, b: Column | int) -> Column:
 
 
 def merge_ranges(ranges: DataFrame, tolerance: int, tie: str) -> DataFrame:
-    """(key, begin, end, parts): ranges of a file joined where the next begins within ``tolerance`` of the end so far."""
-    order = Window.partitionBy("key").orderBy("begin", tie)
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = ranges.withColumn("__new", (before.isNull() | (F.col("begin") > before + tolerance)).cast("int"))
-    runs = opens.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("key", "__run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.count("*").alias("parts")).drop("__run")
+    """(key, begin, end, parts): ranges of a file joined where the next begins within ``tolerance`` of the end so far.
+
+    A file's ranges are spread over the tasks, however many they are.
+    """
+    rows, part, row = placed(ranges.select("key", "begin", "end", F.col(tie).alias("tie")), [F.col("key"), F.col("begin"), F.col("tie")])
+    rows = running_by(rows, part, row, "key", F.col("end"), F.max, F.greatest, "before")
+    opens = rows.withColumn("opens", (F.col("before").isNull() | (F.col("begin") > F.col("before") + tolerance)).cast("bigint"))
+    runs = running_by(opens, part, row, "key", F.col("opens"), F.sum, add, "run", inclusive=True)
+    return runs.groupBy("key", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.count("*").alias("parts")).drop("run")
 
 
 def budgeted_ranges(ranges: DataFrame, tolerance: int, budget: int, grid: int = 1, size: int = (1 << 63) - 1) -> DataFrame:
@@ -99,7 +102,8 @@ def linear_offset(places: Column, strides: Column) -> Column:
 
 def number_regions(regions: DataFrame, key: str = "key", slot: str = "slot") -> DataFrame:
     """Regions grouped by file, in the order of their slots: ``place`` in the file's plan."""
-    return regions.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(slot)) - 1)
+    rows, part, row = placed(regions.drop("place"), [F.col(key), F.col(slot)])
+    return running_by(rows, part, row, key, F.lit(1).cast("bigint"), F.sum, add, "place").drop(part, row)
 
 
 def runs(held: DataFrame, length: int, key: str, order: str) -> DataFrame:

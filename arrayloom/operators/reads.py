@@ -7,17 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arrayloom.plans.lineage import unused
+
 
 def read_batch(locations: DataFrame, stack: DataFrame, strict: bool = True) -> DataFrame:
     """``locations(slot, key, idx)`` with the columns of ``stack(key, idx, ...)``, a row for each slot.
 
     Duplicates are read each. With ``strict`` an unmatched location raises when the rows are computed.
     """
-    found = locations.join(stack.withColumn("__found", F.lit(True)), ["key", "idx"], "left")
+    mark = unused("found", locations, stack)
+    found = locations.join(stack.withColumn(mark, F.lit(True)), ["key", "idx"], "left")
     if strict:
         message = F.concat(F.lit("no such image: "), F.col("key"), F.lit(" "), F.col("idx").cast("string"))
-        found = found.withColumn("__found", F.when(F.col("__found").isNull(), F.raise_error(message).cast("boolean")).otherwise(True)).where("__found")
-    return found.drop("__found")
+        found = found.where(F.when(F.col(mark).isNull(), F.raise_error(message).cast("boolean")).otherwise(True))
+    return found.drop(mark)
 
 
 def check_batch(locations: DataFrame) -> DataFrame:
@@ -95,7 +98,8 @@ def merge_one(many: DataFrame, one: DataFrame, on: str) -> tuple[DataFrame, Data
 
 def fill_missing(grid: DataFrame, stored: DataFrame, on: list[str], value: str, fill: Column) -> DataFrame:
     """Every cell of the grid with its stored value, else the fill value."""
-    return grid.join(stored.select(*on, F.col(value).alias("__value")), on, "left").withColumn(value, F.coalesce("__value", fill)).drop("__value")
+    held = unused("held", grid, stored)
+    return grid.join(stored.select(*on, F.col(value).alias(held)), on, "left").withColumn(value, F.coalesce(held, fill)).drop(held)
 
 
 def violations(regions: DataFrame, axes: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arrayloom.plans.lineage import numbered
+from arrayloom.plans.lineage import numbered, unused
 
 
 def order_key(row: Column, seed: int, epoch: int) -> Column:
@@ -18,7 +18,8 @@ def epoch_order(rows: DataFrame, seed: int | None, epoch: int = 0, row: str = "r
     """``rows`` with the place (``pos``) of each in an epoch; in their own order without a seed."""
     if seed is None:
         return numbered(rows, [F.col(row)])
-    return numbered(rows.withColumn("__key", order_key(F.col(row), seed, epoch)), [F.col("__key"), F.col(row)]).drop("__key")
+    key = unused("key", rows)
+    return numbered(rows.withColumn(key, order_key(F.col(row), seed, epoch)), [F.col(key), F.col(row)]).drop(key)
 
 
 def exact_order(size: int, seed: int, epoch: int) -> np.ndarray:
@@ -32,9 +33,9 @@ def shard(ordered: DataFrame, size: int, shards: int) -> DataFrame:
         raise ValueError("there must be a shard")
     padded = -(-size // shards) * shards
     again = F.when(F.col("pos") + size < padded, F.sequence(F.col("pos"), F.lit(padded - 1).cast("bigint"), F.lit(max(size, 1)).cast("bigint"))).otherwise(F.array("pos"))
-    each = ordered.withColumn("__p", F.explode(again))
-    p = F.col("__p")
-    return each.withColumn("shard", F.pmod(p, F.lit(shards).cast("bigint"))).withColumn("at", F.call_function("div", p, F.lit(shards).cast("bigint"))).drop("__p")
+    name = unused("p", ordered)
+    each, p = ordered.withColumn(name, F.explode(again)), F.col(name)
+    return each.withColumn("shard", F.pmod(p, F.lit(shards).cast("bigint"))).withColumn("at", F.call_function("div", p, F.lit(shards).cast("bigint"))).drop(name)
 
 
 def batches(ordered: DataFrame, size: int, batch_size: int, drop_last: bool = False, pos: str = "pos") -> DataFrame:

@@ -1,5 +1,8 @@
 """Client-side reads, datasets, loaders; the cache; the streaming twin."""
 
+import random
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from arrayloom.operators import planning as P
 from arrayloom.operators import reads as R
 from arrayloom.operators.sampling import exact_order
 from arrayloom.plans.cache import Scratch, fingerprint, fnv1a, held
+from arrayloom.plans.lineage import numbered
 from arrayloom.streaming.events import count_images, fraction_counts
 from tests.test_sources import eer_file
 
@@ -131,12 +135,53 @@ def test_cache(spark, tmp_path):
     assert cache.rows() is None
     assert sorted(r.value for r in cache.store(wanted, source, files).collect()) == ["a0", "a1", "a2", "b0"]
     changed, newer = source.withColumn("value", F.upper("value")), files.withColumn("mtime", F.when(F.col("key") == "b", 2).otherwise(1).cast("long"))
+    reader = cache.rows()  # planned before the next fill, run after it
     assert sorted(r.value for r in cache.store(wanted, changed, newer).collect()) == ["B0", "a0", "a1", "a2"]
+    assert sorted(r.value for r in reader.collect()) == ["a0", "a1", "a2", "b0"]
     other = Scratch(spark, f"{tmp_path}/scratch", "0" * 16, 1)
     other.store(wanted, source, files)
     assert cache.rows() is None and other.rows().count() == 4
 
 
+def test_cache_keeps_what_was_read_last(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 0, 0)], "key string, idx long, run long")
+    source, files = rows.selectExpr("key", "idx", "'v' as value"), spark.createDataFrame([("a", 1)], "key string, mtime long")
+    caches = [Scratch(spark, f"{tmp_path}/s", c * 16) for c in "ab"]
+    for c in caches:
+        c.store(rows, source, files)
+    time.sleep(1.1)
+    caches[0].rows()  # written first, read last
+    third = Scratch(spark, f"{tmp_path}/s", "c" * 16)
+    third.store(rows, source, files)
+    third.budget = sum(t[2] for t in third._tables()) - 1
+    assert [p.rsplit("/", 1)[1][0] for p in third.evict()] == ["b"] and caches[0].rows().count() == 1
+
+
+def test_folds_of_a_hot_key(spark):
+    """A key with nearly all rows, over many partitions, and columns of the helpers' own names."""
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot"] * 9 + ["a", "b"]), k, rng.randrange(5000), rng.randrange(60)) for k in range(700)]
+    df = spark.createDataFrame(rows, "key string, slot long, begin long, size long").withColumns({"part": F.lit(1), "own": F.lit(2), "carried": F.lit(3), "row_in_part": F.lit(4), "before": F.lit(5)})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = P.number_regions(df)
+        want, seen = {}, {}
+        for key, slot, *_ in sorted(rows):
+            want[slot] = seen[key] = seen.get(key, -1) + 1
+        assert {r.slot: r.place for r in got.collect()} == want and set(got.columns) == {*df.columns, "place"}
+        assert {r.slot: r.pos for r in numbered(df, [F.col("slot")]).collect()} == {k: k for k in range(700)}
+        merged = P.merge_ranges(df.withColumn("end", F.col("begin") + F.col("size")), 3, "slot")
+        plain = []
+        for key, _, begin, size in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+            if plain and plain[-1][0] == key and begin <= plain[-1][2] + 3:
+                plain[-1] = (key, plain[-1][1], max(plain[-1][2], begin + size), plain[-1][3] + 1)
+            else:
+                plain.append((key, begin, begin + size, 1))
+        assert sorted(map(tuple, merged.select("key", "begin", "end", "parts").collect())) == sorted(plain)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_streaming(spark, tmp_path):
     rows = spark.range(200).select(F.timestamp_seconds(F.col("id") * 60).alias("ts"), (F.col("id") % 39).alias("t"), (F.col("id") % 6).alias("y"), (F.col("id") % 4).alias("x"))
     rows.write.parquet(f"{tmp_path}/in")
