@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arrayloom.plans import lineage
 from arrayloom.plans.lineage import cut, shared_folder
 
 #: Rows of one Arrow batch and text bytes handled at once in a Python worker.
@@ -22,8 +23,14 @@ SLICE_BYTES = 2 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make the package importable in Python workers and keep Arrow batches small (long texts)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Make the package importable in Python workers and keep Arrow batches small (long texts).
+
+    The session's limit on an Arrow batch's rows is lowered to ``ARROW_ROWS`` where it is higher, as it holds when a
+    frame is run, not when it is made; it stays so.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_arrayloom_shipped", False):
         return
@@ -92,10 +99,7 @@ def with_arrays(batch: pa.RecordBatch, names: list[str], arrays: list[pa.Array])
 
 def unused(df: DataFrame, name: str) -> str:
     """A column name that the frame doesn't have."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+    return lineage.unused(name, df)
 
 
 def label_sample(labels: DataFrame, rows: int, label: str, id_col: str = "doc_id") -> DataFrame:

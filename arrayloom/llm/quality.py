@@ -138,13 +138,16 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, where: str = "true") -> Ordinal:
-    """Fit on at most ``rows`` labelled documents (those whose ids have the smallest hashes); whole texts."""
+    """Fit on at most ``rows`` labelled documents (those whose ids have the smallest hashes); whole texts.
+
+    An id that is given repeatedly is one document with its smallest text, a null text the empty one.
+    """
     prepare(docs.sparkSession)
     sample = label_sample(labels.where(where), rows, "quality")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = sample.join(texts, "doc_id").select("doc_id", "label", "text").mapInArrow(_featurise, "doc_id long, label int, x binary").toArrow()
-    # in the order of the ids; of an id that is given repeatedly one row
-    order = found.select(["doc_id", "label"]).append_column("at", pa.array(np.arange(found.num_rows))).to_pandas().sort_values(["doc_id", "at"]).drop_duplicates("doc_id")
+    some = sample.join(texts, "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    found = some.mapInArrow(_featurise, "doc_id long, label int, x binary").toArrow()  # ``rows`` rows of some 8 KB
+    order = found.select(["doc_id", "label"]).append_column("at", pa.array(np.arange(found.num_rows))).to_pandas().sort_values("doc_id")
     labels_found, half = order["label"].to_numpy(), 2 * BUCKETS
     if len(set(labels_found.tolist())) < 2:
         return neutral([int(g) for g in set(labels_found.tolist())])

@@ -1,6 +1,7 @@
 """The segment join against comparing all pairs of lines."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,8 +39,16 @@ def brute(rows, edits=2, chars=10):
     for (d, _, k), line in places.items():
         if d is not None and line:
             first[line] = min(first.get(line, (d, k)), (d, k))
-    near_to = lambda a, b: abs(len(a) - len(b)) <= edits and distance(a, b) <= min(edits, min(len(a), len(b)) // chars)
-    links = {line: [o for o in first if o != line and near_to(o, line)] for line in first}
+    letters = {line: Counter(line) for line in first}
+
+    def near_to(a, b):
+        # an edit takes one letter and puts one, so few pairs are worth a distance
+        return a != b and abs(len(a) - len(b)) <= edits and ((letters[a] - letters[b]) + (letters[b] - letters[a])).total() <= 2 * edits and distance(a, b) <= min(edits, min(len(a), len(b)) // chars)
+
+    by_size = {}
+    for line in first:
+        by_size.setdefault(len(line), []).append(line)
+    links = {line: [o for n in range(len(line) - edits, len(line) + edits + 1) for o in by_size.get(n, ()) if near_to(o, line)] for line in first}
     out = {}
     for (d, t, k), line in places.items():
         again = line in first and d is not None and (d, k) > first[line]

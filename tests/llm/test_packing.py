@@ -3,7 +3,9 @@
 import random
 from collections import defaultdict
 
-from arrayloom.llm.packing import Bins, pack, pack_block
+from arrayloom.llm.packing import Bins, pack, pack_block, text_items
+from arrayloom.llm.queries import piece_model
+from arrayloom.llm.token_counts import Counter
 
 
 def plain(items, capacity):
@@ -64,3 +66,18 @@ def test_over_blocks(spark):
             some = [r[name] for r in held if r[name] is not None]
             assert len(some) == len(set(some))
     assert pack(df.where("false")).count() == 0
+
+
+def test_items_of_odd_texts(spark):
+    long = "some words " * 40_000
+    rows = [(1, None, "a", 5), (2, "", "a", 5), (3, "Some  words", None, 5), (4, "some words\n", "b", 5), (5, long, "b", 5), (None, " \t", "c", 5), (5, long, "b", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    counter = Counter(piece_model())
+    found = text_items(docs, piece_model())
+    got = sorted(((r.doc_id, r["size"]) for r in found.collect()), key=str)
+    assert got == sorted(((d, counter.count(t or "") + 1) for d, t, *_ in rows), key=str)
+    clusters = {r.doc_id: r.cluster for r in found.collect()}
+    assert clusters[3] == clusters[4] is not None and clusters[1] is clusters[2] is clusters[None] is None
+    pieces = pack(found).collect()
+    assert sum(r.piece_tokens for r in pieces) == sum(n for _, n in got) and max(r.piece_tokens for r in pieces) == 2048
+    assert text_items(docs.where("false"), piece_model()).count() == 0

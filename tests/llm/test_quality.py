@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 
 from arrayloom.llm import quality as Q
 
@@ -47,3 +48,28 @@ def test_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [r.keep for r in Q.quality_scores(docs, none).collect()] == [True]
     assert Q.quality_scores(docs.where("false"), none).count() == 0
+
+
+def test_repeated_ids_and_very_long_texts(spark):
+    """An id that is given a thousand times is learned from once; a text of a megabyte is rated whole."""
+    rows, labels = corpus(200)
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(3, "zzz")] * 1000, "doc_id long, text string")
+    known = spark.createDataFrame([x for x in labels if x[0] < 200], "doc_id long, quality int")
+    plain = Q.train(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), known)
+    assert np.allclose(Q.train(docs, known).thresholds, plain.thresholds)
+    long = spark.createDataFrame([(1, rows[0][1]), (2, (rows[0][1] + " ") * 20_000), (3, (rows[2][1] + " ") * 20_000)], "doc_id long, text string")
+    got = [r.expected_grade for r in Q.rate(long, plain).orderBy("doc_id").collect()]
+    assert len(got) == 3 and got[2] != got[1]
+
+
+def test_held_out_rows_of_the_tables(spark):
+    """Labelled texts that the fit didn't see: good documents stay, bad ones go."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = Q.train(docs, labels, 2000, "doc_id % 2 = 0")
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in pq.read_table(f"{folder}/documents.parquet").to_pylist()}
+    test = [(r["doc_id"], r["quality"]) for r in pq.read_table(f"{folder}/labels.parquet").to_pylist() if r["doc_id"] % 2]
+    _, tail = model.rate([texts[d] for d, _ in test], model.grades[-1])
+    good = np.array([q for _, q in test]) > 0
+    assert (tail[good][:, None] > tail[~good][None, :]).mean() > 0.98
+    assert (tail[good] < Q.KEEP_AT).mean() < 0.01 and (tail[~good] < Q.KEEP_AT).mean() > 0.8
