@@ -1,12 +1,14 @@
 """The corpus pipeline: documents are rated, lines and documents deduplicated, decontaminated and packed.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and read again as the next
-one's ``docs``. All but the last return the columns of ``documents``; the last returns a row for each packed piece.
+one's ``docs``. All but the last return the columns of ``documents`` (and any others, as they are); the last returns a
+row for each packed piece. A null text is an empty one; empty texts go only where the classifier rejects them; rows with a
+null id are rated and packed, else kept as they are; repeated rows are judged alike, and all copies of an id's text stay
+or go together; an empty table gives no rows; texts of any length are read whole.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from arrayloom.llm import decontaminate, line_dedup, packing, quality, setsketch
 from arrayloom.llm._common import table
 from arrayloom.llm.queries import piece_model
+from arrayloom.plans.lineage import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -59,8 +62,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each stage's result written to the shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="arrayloom-pipeline")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
