@@ -115,6 +115,12 @@ def read_eer_events(spark, sf_dir):
     return read_timeline(spark, [_timeline(spark, sf_dir)], 100, 300).select("t", "y", "x")
 
 
+@query(f"WITH {HOURS_SQL} SELECT DISTINCT t, y, x FROM e WHERE t >= 50 AND t < 700")
+def read_eer_ranges(spark, sf_dir):
+    register(spark)
+    return spark.read.format("arrayloom_events").options(begin=50, end=700, frames_per_partition=100).load(_timeline(spark, sf_dir)).select("t", "y", "x")
+
+
 @query(f"""WITH {HOURS_SQL}, d AS (SELECT DISTINCT t, y, x FROM e)
     SELECT ((t + 1) * 7 - 1) // 720 AS f, y // 2 AS y, x // 2 AS x, count(*) AS n FROM d GROUP BY ALL""")
 def fractionate_eer(spark, sf_dir):

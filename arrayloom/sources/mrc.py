@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 
@@ -17,6 +18,8 @@ NAMES = {"i1": "int8", "u1": "uint8", "i2": "int16", "f4": "float32", "c8": "com
 STAMPS = {b"\x44\x44": "<", b"\x44\x41": "<", b"\x11\x11": ">"}
 IMOD_STAMP = 1146047817
 VOLUME_STACKS = range(401, 631)
+#: Bytes of a gzip file that are inflated at once.
+PART = 1 << 16
 EXTENSIONS = (".mrc", ".mrcs", ".map", ".st", ".rec", ".ali")
 
 
@@ -35,8 +38,9 @@ def byte_order(head: bytes) -> str:
     raise FormatError("no byte order gives a known mode")
 
 
-def open_mrc(name: str, data: bytes) -> ImageFile:
-    """``name`` decides between one image and a stack of one."""
+def open_mrc(name: str, data: bytes, upto: Callable[[int], bytes] | None = None) -> ImageFile:
+    """``name`` decides between one image and a stack of one. ``upto(n)`` gives the first n bytes, where ``data`` is the header alone."""
+    upto = upto or (lambda n: data)
     if len(data) < HEADER or data[208:211] != b"MAP":
         raise FormatError("not an MRC header")
     order = byte_order(data)
@@ -72,27 +76,42 @@ def open_mrc(name: str, data: bytes) -> ImageFile:
     def load(index: int | None) -> np.ndarray:
         size = values if index is None else values // extents[0]
         first = begin + (0 if index is None else index * size * kind.itemsize)
-        if first + size * kind.itemsize > len(data):
+        held = upto(first + size * kind.itemsize)
+        if first + size * kind.itemsize > len(held):
             raise FormatError("the MRC file is truncated")
-        array = np.frombuffer(data, kind, size, first).reshape(extents if index is None else extents[1:])
+        array = np.frombuffer(held, kind, size, first).reshape(extents if index is None else extents[1:])
         return little(array.transpose(turn if index is None else [t - lead for t in turn[lead:]]))
 
     return ImageFile("mrc", tuple(extents[t] for t in turn), core, NAMES[code], load)
 
 
+class Inflated:
+    """What a gzip file holds, inflated as far as it is asked for; members may follow one another."""
+
+    def __init__(self, data: bytes):
+        self.rest, self.out, self.member = memoryview(data), bytearray(), zlib.decompressobj(31)
+
+    def upto(self, n: int) -> bytes:
+        """The first n bytes, or all there are."""
+        while len(self.out) < n and len(self.rest):
+            try:
+                self.out += self.member.decompress(self.rest[:PART])
+            except zlib.error as e:
+                if not self.out:
+                    raise FormatError(f"gzip: {e}") from e
+                self.rest = self.rest[:0]  # what follows the last member isn't one
+                break
+            left = len(self.member.unused_data)
+            self.rest = self.rest[min(PART, len(self.rest)) - left :]
+            if self.member.eof:
+                self.member = zlib.decompressobj(31)
+        return bytes(self.out[:n])
+
+
 def open_gzip(name: str, data: bytes) -> ImageFile:
-    """A gzipped MRC file; members may follow one another, what follows the last value isn't looked at."""
-    out, rest = bytearray(), data
-    while rest:
-        member = zlib.decompressobj(31)
-        try:
-            out += member.decompress(rest)
-        except zlib.error as e:
-            if not out:
-                raise FormatError(f"gzip: {e}") from e
-            break
-        rest = member.unused_data if member.eof else b""
-    image = open_mrc(name.removesuffix(".gz"), bytes(out))
+    """A gzipped MRC file; what follows the last value that is read isn't looked at."""
+    inflated = Inflated(data)
+    image = open_mrc(name.removesuffix(".gz"), inflated.upto(HEADER), inflated.upto)
     image.format = "mrc.gz"
     return image
 

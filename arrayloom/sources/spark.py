@@ -233,7 +233,49 @@ class ImageSource(DataSource):
         return _Writer(dict(self.options), overwrite)
 
 
+class _EventReader(DataSourceReader):
+    def __init__(self, options: dict):
+        import glob
+
+        self.paths, self.frames = sorted(glob.glob(options["path"])) or [options["path"]], int(options.get("frames_per_partition", 64))
+        self.begin, self.end = int(options.get("begin", 0)), options.get("end")
+
+    def partitions(self) -> list[InputPartition]:
+        out = []
+        for path in self.paths:
+            n = len(open_timeline(path).pages)
+            stop = n if self.end is None else int(self.end)
+            if not 0 <= self.begin <= stop <= n:
+                raise IndexError("the stretch reaches out of the acquisition")
+            out += [_Range(path, t, min(t + self.frames, stop)) for t in range(self.begin, stop, self.frames)]
+        return out
+
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        line = open_timeline(partition.path)
+        for t in range(partition.begin, partition.end):
+            at = line.frame(t).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([partition.path] * len(at), pa.string()), pa.array(np.full(len(at), t)), pa.array(at[:, 0]), pa.array(at[:, 1])], names=["key", "t", "y", "x"])
+
+
+class EventSource(DataSource):
+    """``spark.read.format("arrayloom_events")``: timelines on mounted paths, in partitions of a file and a range of its frames.
+
+    Options: begin and end (the stretch of frames that is read at all), frames_per_partition.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "arrayloom_events"
+
+    def schema(self) -> str:
+        return EVENTS
+
+    def reader(self, schema) -> DataSourceReader:
+        return _EventReader(dict(self.options))
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ImageSource)
+    spark.dataSource.register(EventSource)
 
 

@@ -10,6 +10,7 @@ import struct
 import uuid
 import zlib
 from itertools import product
+from typing import BinaryIO
 
 import numpy as np
 
@@ -215,41 +216,46 @@ class Array:
         parts = ([self.prefix] if self.prefix else []) + [str(p) for p in place]
         return self.separator.join(parts) if parts else "0"
 
-    def get(self, place: tuple[int, ...]) -> np.ndarray | None:
-        """A chunk, or None where it isn't stored."""
+    def get(self, place: tuple[int, ...], low: tuple[int, ...] | None = None, high: tuple[int, ...] | None = None) -> np.ndarray | None:
+        """A chunk, or None where it isn't stored; of a shard only what the box [low, high) within it needs is read and decoded."""
         try:
             with open(os.path.join(self.path, *self.key(place).split("/")), "rb") as f:
-                data = f.read()
+                if self.inner:
+                    return self._shard(f, low or (0,) * len(self.chunk), high or self.chunk)
+                return self.codecs.decode(f.read(), self.chunk)
         except FileNotFoundError:
             return None
-        return self._shard(data) if self.inner else self.codecs.decode(data, self.chunk)
 
-    def _shard(self, data: bytes) -> np.ndarray:
+    def _shard(self, f: BinaryIO, low: tuple[int, ...], high: tuple[int, ...]) -> np.ndarray:
         config = self.codecs.shard
         counts = tuple(c // i for c, i in zip(self.chunk, self.inner, strict=True))
         checked = any(c["name"] == "crc32c" for c in config["index_codecs"])
         size = 16 * math.prod(counts) + 4 * checked
-        raw = data[:size] if config.get("index_location", "end") == "start" else data[len(data) - size :]
-        if len(raw) != size:
+        length = os.fstat(f.fileno()).st_size
+        if length < size:
             raise FormatError("a truncated shard")
+        f.seek(0 if config.get("index_location", "end") == "start" else length - size)
+        raw = f.read(size)
         raw = _decode("crc32c", {}, raw) if checked else raw
         index, inner = np.frombuffer(raw, "<u8").reshape(*counts, 2), Codecs(config["codecs"], self.kind)
         out = np.full(self.chunk, self.fill, self.kind)
-        for place in np.ndindex(*counts):
+        for place in product(*(range(a // i, -(-z // i)) for a, z, i in zip(low, high, self.inner, strict=True))):
             at, n = (int(x) for x in index[place])
             if (at, n) != (ABSENT, ABSENT):
-                out[tuple(slice(p * i, (p + 1) * i) for p, i in zip(place, self.inner, strict=True))] = inner.decode(data[at : at + n], self.inner)
+                f.seek(at)
+                out[tuple(slice(p * i, (p + 1) * i) for p, i in zip(place, self.inner, strict=True))] = inner.decode(f.read(n), self.inner)
         return out
 
     def read(self, begin: tuple[int, ...], end: tuple[int, ...]) -> np.ndarray:
         """The box [begin, end): only the chunks that it meets are opened."""
         out = np.full([e - b for b, e in zip(begin, end, strict=True)], self.fill, self.kind)
         for place in product(*(range(b // c, -(-e // c)) for b, e, c in zip(begin, end, self.chunk, strict=True))):
-            held = self.get(place)
+            low = tuple(max(b - p * c, 0) for b, p, c in zip(begin, place, self.chunk, strict=True))
+            high = tuple(min(e - p * c, c) for e, p, c in zip(end, place, self.chunk, strict=True))
+            held = self.get(place, low, high)
             if held is not None:
-                low = [max(b, p * c) for b, p, c in zip(begin, place, self.chunk, strict=True)]
-                high = [min(e, (p + 1) * c) for e, p, c in zip(end, place, self.chunk, strict=True)]
-                out[tuple(slice(a - b, z - b) for a, z, b in zip(low, high, begin, strict=True))] = held[tuple(slice(a - p * c, z - p * c) for a, z, p, c in zip(low, high, place, self.chunk, strict=True))]
+                target = tuple(slice(p * c + a - b, p * c + z - b) for p, c, a, z, b in zip(place, self.chunk, low, high, begin, strict=True))
+                out[target] = held[tuple(slice(a, z) for a, z in zip(low, high, strict=True))]
         return out
 
 
