@@ -10,8 +10,8 @@ on the full sets.
 Only distinct sets ("classes") are compared. Inside a shared band no pairs are spread out: first each class
 meets the smallest class of each of its bands, and what is linked is contracted. The classes of bands that
 still hold several components are dealt to blocks of bounded size, each two of which meet in one task (blocks
-of one component don't meet); there, sets that share too little with all others are put aside, the rest
-are compared in full, and only links between components come out.
+of one component don't meet): with their registers first, by the estimate, then, of those that it leaves open,
+with their full sets. Only links between components come out.
 
 Classes and shingles are 64-bit hashes: of N distinct sets about N**2 / 2**65 pairs are taken for one another.
 """
@@ -19,7 +19,7 @@ Classes and shingles are 64-bit hashes: of N distinct sets about N**2 / 2**65 pa
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -235,36 +235,75 @@ def block_links(roots: list[int], sets: list[np.ndarray], percent: int) -> set[t
     return out
 
 
-def _blocking(percent: int):
-    """Over rows sorted by ``pair``: the links of each run of rows of one pair of blocks."""
+def _runs(work: Callable[[int, list], pa.RecordBatch | None]):
+    """Over rows sorted by ``pair``: ``work(pair, rows)`` for each run of rows of one pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, roots, sets = None, [], []
-
-        def links() -> pa.RecordBatch:
-            found = sorted(block_links(roots, sets, percent))
-            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
-
+        pair, rows = None, []
         for batch in batches:
-            for p, r, members in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if p != pair and sets:
-                    yield links()
-                    roots, sets = [], []
+            for p, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if p != pair and rows:
+                    out = work(pair, rows)
+                    if out is not None:
+                        yield out
+                    rows = []
                 pair = p
-                roots.append(r)
-                sets.append(np.frombuffer(members, np.uint64))
-        if sets:
-            yield links()
+                rows.append(row)
+        out = work(pair, rows) if rows else None
+        if out is not None:
+            yield out
 
     return run
 
 
-def _meet_in_blocks(members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+def may_link(roots: np.ndarray, sketches: np.ndarray, n: np.ndarray, sketch: Sketch) -> np.ndarray:
+    """Which classes of a block may link with one of another component, by the estimate of each two of them.
+
+    Registers of two sets are equal at least as often as the sets are similar, so few equal ones rule a pair out
+    before its likelihood is asked for.
+    """
+    least = sketch.least_estimate * sketch.registers
+    out = np.zeros(len(roots), bool)
+    for k in range(len(roots)):
+        size = 100 * np.minimum(n, n[k]) >= sketch.percent * np.maximum(n, n[k])
+        some = np.flatnonzero(size & (roots != roots[k]))
+        some = some[some > k]
+        equal = (sketches[some] == sketches[k]).sum(axis=1)
+        some, equal = some[equal >= least], equal[equal >= least]
+        if len(some):
+            greater = (sketches[some] < sketches[k]).sum(axis=1)
+            j = likeliest(greater, sketch.registers - equal - greater, equal, np.full(len(some), float(n[k])), n[some].astype(float))
+            found = some[j >= sketch.least_estimate]
+            out[found] = True
+            out[k] |= len(found) > 0
+    return out
+
+
+def _ruling_out(sketch: Sketch):
+    def work(pair: int, rows: list) -> pa.RecordBatch | None:
+        cls, roots, sketches, n = zip(*rows, strict=True)
+        able = may_link(np.array(roots), np.frombuffer(b"".join(sketches), np.uint16).reshape(len(rows), -1), np.array(n), sketch)
+        kept = np.flatnonzero(able)
+        return pa.RecordBatch.from_arrays([pa.array([pair] * len(kept), pa.int64()), pa.array([cls[k] for k in kept], pa.int64()), pa.array([roots[k] for k in kept], pa.int64())], names=["pair", "cls", "root"]) if len(kept) else None
+
+    return _runs(work)
+
+
+def _blocking(percent: int):
+    def work(pair: int, rows: list) -> pa.RecordBatch:
+        found = sorted(block_links([r for r, _ in rows], [np.frombuffer(m, np.uint64) for _, m in rows], percent))
+        return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
+
+    return _runs(work)
+
+
+def _meet_in_blocks(members: DataFrame, sets: DataFrame, sketch: Sketch, block: int = BLOCK) -> DataFrame:
     """(u, v): links between different components among the classes of ``members(key, cls, root)``.
 
     Components that share a key form a group; only classes of one group can link. A group's classes are dealt
     to blocks of about ``block``, those of a large component to blocks of their own, and each two blocks meet
-    in one task, but for blocks of the same component.
+    in one task, but for blocks of the same component. They meet with their registers first; only classes whose
+    estimate with one of another component leaves a link open meet again with their full sets.
     """
     centre = members.groupBy("key").agg(F.min("root").alias("v"))
     groups = components(members.select("key", F.col("root").alias("u")).join(centre, "key").select("u", "v"))
@@ -279,8 +318,10 @@ def _meet_in_blocks(members: DataFrame, sets: DataFrame, percent: int, block: in
     blocks = dealt.select("g", "own", "block").distinct()
     two = blocks.alias("x").join(blocks.alias("y"), F.expr("x.g = y.g and x.block <= y.block and not coalesce(x.own = y.own, false)"))
     two = two.select(F.xxhash64("x.block", "y.block").alias("pair"), F.explode(F.array_distinct(F.array("x.block", "y.block"))).alias("block"))
-    rows = dealt.select("cls", "root", "block").join(two, "block").join(sets.select("cls", "members"), "cls").select("pair", "root", "members")
-    return rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(_blocking(percent), "u long, v long")
+    rows = dealt.select("cls", "root", "block").join(two, "block").join(sets.select("cls", "sketch", "n"), "cls").select("pair", "cls", "root", "sketch", "n")
+    open_ = cut(rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(_ruling_out(sketch), "pair long, cls long, root long"))
+    full = open_.join(sets.select("cls", "members"), "cls").select("pair", "root", "members")
+    return full.repartition("pair").sortWithinPartitions("pair").mapInArrow(_blocking(sketch.percent), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
@@ -311,7 +352,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     labels = _contract(sets.select("cls", F.col("cls").alias("root")), _links(_stars(alone), sets, sketch))
     still_open = cut(_open(members, labels).select("key", "cls", "root"))
     if not still_open.isEmpty():
-        labels = _contract(labels, _meet_in_blocks(still_open, sets, percent))
+        labels = _contract(labels, _meet_in_blocks(still_open, sets, sketch))
     smallest = labels.join(first, "cls").groupBy("root").agg(F.min("first_id").alias("component_id"))
     wide = labels.join(smallest, "root").select("cls", "component_id")
     found = first.join(wide, "cls", "left").select("cls", F.coalesce("component_id", "first_id").alias("component_id"))

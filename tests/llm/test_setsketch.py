@@ -59,7 +59,7 @@ def test_against_all_pairs(spark, words, percent):
     assert len({r[2] for r in want}) < len(want) - 100
     if words == 5:  # many blocks a group
         meet = S._meet_in_blocks
-        S._meet_in_blocks = lambda m, s, p: meet(m, s, p, block=4)
+        S._meet_in_blocks = lambda m, s, k: meet(m, s, k, block=4)
         try:
             assert sorted(map(tuple, S.near_duplicates(docs, words, percent).collect()), key=str) == want
         finally:
@@ -92,3 +92,22 @@ def test_registers_merge_and_estimate():
     assert (np.maximum(x, y) == both).all()
     j = S.likeliest(np.array([(x > y).sum()]), np.array([(x < y).sum()]), np.array([(x == y).sum()]), np.array([2000.0]), np.array([2500.0]))
     assert abs(j[0] - 0.5) < 0.06
+
+
+def test_estimate_leaves_all_links_open():
+    rng = np.random.default_rng(3)
+    sketch, base = S.Sketch(), rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(400) > share], rng.integers(0, 1 << 63, int(400 * share), dtype=np.uint64)])) for share in rng.uniform(0, 0.2, 60)]
+    sets += [np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) for _ in range(40)]
+    roots, n = np.arange(len(sets)), np.array([len(s) for s in sets])
+    open_ = S.may_link(roots, S.registers(sets, sketch.registers), n, sketch)
+    linked = {k for pair in S.block_links(list(range(len(sets))), sets, 85) for k in pair}
+    assert len(linked) > 20 and all(open_[k] for k in linked) and not open_[60:].any()
+    assert not S.may_link(np.zeros(len(sets)), S.registers(sets, sketch.registers), n, sketch).any()
+
+
+def test_very_long_texts(spark):
+    words = [f"w{k % 50_021}x{k % 977}" for k in range(120_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-9])), (3, " ".join(words[::-1])), (4, "again " * 100_000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1][1] == got[2][1] == 1 and got[3][1] == 3 and got[4] == (1, 4) and got[1][0] > 100_000
