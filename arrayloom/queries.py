@@ -23,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-SEED, EPOCH, STACK, HOURS = 7, 3, 500, 720
+SEED, EPOCH, HOURS = 7, 3, 720
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -131,27 +131,21 @@ def core_extents(spark, sf_dir):
 # Reads as joins
 
 
-@query(f"""SELECT o_orderkey AS slot, vec_id AS idx, {SCALED_SUM.format("embedding")} AS pixel_sum
-    FROM orders JOIN embeddings ON vec_id = (o_custkey * 7) % {STACK}""")
-def read_batch(spark, sf_dir):
-    wanted = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("slot"), F.lit("stack").alias("key"), F.pmod(F.col("o_custkey") * 7, big(STACK)).alias("idx"))
-    images = stack(spark, sf_dir).select("key", "idx", scaled_sum(F.col("line")).alias("pixel_sum"))
-    return R.read_batch(wanted, images).select("slot", "idx", "pixel_sum")
-
-
 @query(f"""SELECT o_orderkey AS slot, vec_id AS idx, {SCALED_SUM.format("embedding")} AS pixel_sum
     FROM orders JOIN embeddings ON vec_id = (o_orderkey * 7) % (SELECT count(*) FROM embeddings)""")
-def read_batch_whole(spark, sf_dir):
+def read_batch(spark, sf_dir):
     images = stack(spark, sf_dir).select("key", "idx", scaled_sum(F.col("line")).alias("pixel_sum"))
     size = big(max(1, images.count()))
     wanted = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("slot"), F.lit("stack").alias("key"), F.pmod(F.col("o_orderkey") * 7, size).alias("idx"))
     return R.read_batch(wanted, images).select("slot", "idx", "pixel_sum")
 
 
-@query(f"""SELECT o_orderkey AS slot, o_custkey % 10 AS idx, {SCALED.format("embedding[1]")} AS first_pixel FROM orders JOIN embeddings ON vec_id = o_custkey % 10""")
+@query(f"""SELECT o_orderkey AS slot, vec_id AS idx, {SCALED.format("embedding[1]")} AS first_pixel
+    FROM orders JOIN embeddings ON vec_id = (o_custkey * 3) % (SELECT count(*) FROM embeddings)""")
 def read_batch_dups(spark, sf_dir):
-    wanted = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("slot"), F.lit("stack").alias("key"), (F.col("o_custkey") % 10).alias("idx"))
     images = stack(spark, sf_dir).select("key", "idx", scaled(F.get("line", 0)).alias("first_pixel"))
+    size = big(max(1, images.count()))
+    wanted = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("slot"), F.lit("stack").alias("key"), F.pmod(F.col("o_custkey") * 3, size).alias("idx"))
     return R.read_batch(wanted, images).select("slot", "idx", "first_pixel")
 
 
@@ -188,10 +182,11 @@ def patch_crop(spark, sf_dir):
 
 
 @query(f"""SELECT a.vec_id AS "row", CAST({SCALED.format("a.embedding[1]")} AS VARCHAR) || ',' || CAST({SCALED.format("b.embedding[1]")} AS VARCHAR) AS "values"
-    FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 13 + 1) % {STACK}""")
+    FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 13 + 1) % (SELECT count(*) FROM embeddings)""")
 def multi_location(spark, sf_dir):
     at = lambda i: F.struct(F.lit("stack").alias("key"), i.alias("idx"))
-    rows = stack(spark, sf_dir).select(F.col("idx").alias("row"), F.array(at(F.col("idx")), at(F.pmod(F.col("idx") * 13 + 1, big(STACK)))).alias("locations"))
+    size = big(max(1, stack(spark, sf_dir).count()))
+    rows = stack(spark, sf_dir).select(F.col("idx").alias("row"), F.array(at(F.col("idx")), at(F.pmod(F.col("idx") * 13 + 1, size))).alias("locations"))
     images = stack(spark, sf_dir).select("key", "idx", scaled(F.get("line", 0)).alias("v"))
     return R.read_multi(rows, images, "locations", "v").select("row", F.array_join(F.col("values").cast("array<string>"), ",").alias("values"))
 
@@ -202,32 +197,17 @@ def slice_axis(spark, sf_dir):
 
 
 @query("""WITH n AS (SELECT count(*) AS n FROM orders),
-    r AS (SELECT i AS pos, CASE WHEN i % 3 = 0 THEN i * 11 % n WHEN i % 3 = 1 THEN n - 1 - i ELSE 5 END AS "row" FROM n, (SELECT unnest(generate_series(0, 999)) AS i))
-    SELECT pos, o_orderkey, o_custkey FROM r JOIN orders ON o_orderkey = "row" """)
+    r AS (SELECT o_orderkey AS pos, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey * 11 % n ELSE n - 1 - o_orderkey END AS "row" FROM orders, n)
+    SELECT pos, o.o_orderkey, o.o_custkey FROM r JOIN orders AS o ON o.o_orderkey = "row" """)
 def subset_rows(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").withColumn("row", F.col("o_orderkey"))
     n, i = orders.count(), F.col("id")
-    asked = spark.range(1000).select(i.alias("pos"), F.when(i % 3 == 0, F.pmod(i * 11, big(n))).when(i % 3 == 1, -1 - i).otherwise(5).alias("row"))
-    return R.take(orders, R.normalise_rows(asked, n)).select("pos", "o_orderkey", "o_custkey")
-
-
-@query("""SELECT (SELECT count(*) FROM orders) - 1 - o_orderkey AS pos, o_orderkey, o_custkey FROM orders""")
-def subset_rows_whole(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").withColumn("row", F.col("o_orderkey"))
-    n = orders.count()
-    asked = spark.range(n).select(F.col("id").alias("pos"), (-1 - F.col("id")).alias("row"))
+    asked = spark.range(n).select(i.alias("pos"), F.when(i % 3 == 0, F.pmod(i * 11, big(max(1, n)))).otherwise(-1 - i).alias("row"))
     return R.take(orders, R.normalise_rows(asked, n)).select("pos", "o_orderkey", "o_custkey")
 
 
-@query(f"""SELECT vec_id AS idx, {SCALED.format("embedding[1]")} AS v, vec_id % 3 = 0 AS cached FROM embeddings WHERE vec_id % 2 = 0""")
-def scratch_overlay(spark, sf_dir):
-    images = stack(spark, sf_dir).select("key", "idx", scaled(F.get("line", 0)).alias("v"))
-    wanted = images.where(F.col("idx") % 2 == 0).select("key", "idx")
-    return R.overlay(wanted, images.where(F.col("idx") % 3 == 0), images, ["key", "idx"]).select("idx", "v", "cached")
-
-
 @query(f"""SELECT vec_id AS idx, {SCALED.format("embedding[1]")} AS v, vec_id % 3 = 0 AS cached FROM embeddings""")
-def scratch_overlay_whole(spark, sf_dir):
+def scratch_overlay(spark, sf_dir):
     images = stack(spark, sf_dir).select("key", "idx", scaled(F.get("line", 0)).alias("v"))
     return R.overlay(images.select("key", "idx"), images.where(F.col("idx") % 3 == 0), images, ["key", "idx"]).select("idx", "v", "cached")
 
@@ -249,19 +229,10 @@ def extract_merge(spark, sf_dir):
     return joined.unionByName(unknown.withColumn("s_name", F.lit(None).cast("string"))).select("l_suppkey", "s_name", "particles")
 
 
-@query(f"""WITH g AS (SELECT y, x FROM (SELECT unnest(generate_series(0, 31)) AS y), (SELECT unnest(generate_series(0, 15)) AS x)),
-    s AS (SELECT vec_id // 16 AS y, vec_id % 16 AS x, {SCALED.format("embedding[1]")} AS v FROM embeddings WHERE vec_id % 5 <> 0 AND vec_id < 512)
-    SELECT y, x, coalesce(v, -7) AS v FROM g LEFT JOIN s USING (y, x)""")
-def chunk_fill(spark, sf_dir):
-    grid = spark.range(32).select(F.col("id").alias("y"), F.explode(F.sequence(big(0), big(15))).alias("x"))
-    stored = table(spark, sf_dir, "embeddings").where((F.col("vec_id") % 5 != 0) & (F.col("vec_id") < 512)).select(P.div(F.col("vec_id"), 16).alias("y"), (F.col("vec_id") % 16).alias("x"), scaled(F.get("embedding", 0)).alias("v"))
-    return R.fill_missing(grid, stored, ["y", "x"], "v", big(-7))
-
-
 @query(f"""WITH g AS (SELECT y, x FROM (SELECT unnest(generate_series(0, (SELECT max(vec_id) FROM embeddings) // 16 + 1)) AS y), (SELECT unnest(generate_series(0, 15)) AS x)),
     s AS (SELECT vec_id // 16 AS y, vec_id % 16 AS x, {SCALED.format("embedding[1]")} AS v FROM embeddings)
     SELECT y, x, coalesce(v, -7) AS v FROM g LEFT JOIN s USING (y, x)""")
-def chunk_fill_whole(spark, sf_dir):
+def chunk_fill(spark, sf_dir):
     stored = table(spark, sf_dir, "embeddings").select(P.div(F.col("vec_id"), 16).alias("y"), (F.col("vec_id") % 16).alias("x"), scaled(F.get("embedding", 0)).alias("v"))
     last = stored.agg(F.max("y").alias("y")).first()["y"]
     # a row of chunks beyond the last is missing whole
