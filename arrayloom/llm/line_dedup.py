@@ -28,6 +28,8 @@ from arrayloom.llm._common import cut, cut_counted, unused, written
 EDITS, CHARS = 2, 10
 #: Lines of a mark that are compared at once, and shared marks up to which their table is broadcast (beyond, it is shuffled).
 BLOCK, BROADCAST_ROWS = 128, 200_000
+#: What is known of a line in a block.
+MEMBER = ("cls", "line", "size", "first", "part")
 #: Frequent characters whose counts are compared before the lines are.
 COUNTED = " etaoinsrhldcumfpgwy"
 #: Columns of the band after which a distance that can't stay within the edits is given up.
@@ -194,7 +196,9 @@ def _tallied(block: Column, own: Column, mark: Column, across: Column, edits: in
     ``own``: the lines whose own segment it is. ``across``: only lines of different parts are compared.
     """
     k = mark.bitwiseAND(F.lit(7).cast("bigint")).cast("int")
-    bound = F.array(F.struct(F.filter(block, lambda x: F.array_contains(own, x["cls"])).alias("i"), block.alias("p")))
+    # counted here, behind the shuffle: in one stage with the marks it would make a method too large to be compiled
+    counted = F.transform(block, lambda x: F.struct(*[x[c].alias(c) for c in MEMBER], counts(x["line"]).alias("counts")))
+    bound = F.transform(F.array(counted), lambda b: F.struct(F.filter(b, lambda x: F.array_contains(own, x["cls"])).alias("i"), b.alias("p")))
 
     def meet(v: Column) -> Column:
         return F.struct(v["i"].alias("i"), v["p"].alias("p"), F.transform(v["p"], lambda p: F.transform(v["i"], lambda i: (~across | (i["part"] != p["part"])) & _linked(i, p, k, edits, chars))).alias("m"))
@@ -241,9 +245,9 @@ def link_counts(own: DataFrame, edits: int = EDITS, chars: int = CHARS, block: i
     marks = with_marks(long.select("line", "size"), edits, chars).groupBy("mark").agg(F.count("*").alias("n"), F.max("own").alias("indexed"))
     shared, n = cut_counted(marks.where("n > 1 and indexed").select("mark", F.ceil(F.col("n") / block).cast("int").alias("parts")))
     members = with_marks(long.select("cls", "line", "size", "first"), edits, chars).join(F.broadcast(shared) if n <= BROADCAST_ROWS else shared, "mark")
-    members = members.withColumns({"part": F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"), "counts": counts(F.col("line"))})
+    members = members.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     met = members.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    met = met.groupBy("mark", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y")).agg(F.collect_set(F.struct("cls", "line", "size", "first", "part", "counts")).alias("lines"), F.collect_set(F.when(F.col("own"), F.col("cls"))).alias("own"))
+    met = met.groupBy("mark", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y")).agg(F.collect_set(F.struct(*MEMBER)).alias("lines"), F.collect_set(F.when(F.col("own"), F.col("cls"))).alias("own"))
     rows = met.select(F.explode(_tallied(F.col("lines"), F.col("own"), F.col("mark"), F.col("x") != F.col("y"), edits, chars)).alias("r"))
     return rows.groupBy("r.cls").agg(F.sum("r.n").alias("n_links"), F.min("r.earliest").alias("earliest"))
 

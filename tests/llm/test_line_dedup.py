@@ -90,23 +90,23 @@ def test_against_all_pairs(spark, edits, chars, block):
     assert got == {line: len(many) for line, many in links.items() if many} and sum(got.values()) > 50
     report = sorted((tuple(r) for r in line_report(docs, edits, chars).collect()), key=str)
     assert report == sorted(((d, *row) for (d, _), row in want.items()), key=str)
-    texts = sorted(((r.doc_id, r.text) for r in drop_lines(docs, edits, chars).collect()), key=str)
+    dropped = drop_lines(docs, edits, chars)
+    texts = sorted(((r.doc_id, r.text) for r in dropped.collect()), key=str)
     expect = sorted(((d, t if t is None or len(want[d, t][5]) == want[d, t][0] else "\n".join(t.split("\n")[k] for k in want[d, t][5])) for d, t in rows if want[d, t or ""][5] and (len(want[d, t or ""][5]) == want[d, t or ""][0] or any(t.split("\n")[k].strip() for k in want[d, t or ""][5]))), key=str)
     assert texts == expect
-    assert drop_lines(docs, edits, chars).columns == docs.columns
+    assert dropped.columns == docs.columns
 
 
 def test_large_group(spark):
     """A group of lines that are all near one another: a row for each line, not for each pair, and all links counted."""
     base = "the quick brown fox jumps over the lazy dog near the river bank"
-    lines = [base[:k] + c + base[k + 1 :] for k in range(0, 40) for c in "57932"]
+    lines = [base[:k] + c + base[k + 1 :] for k in range(0, 30) for c in "579"]
     docs = spark.createDataFrame([(d, line) for d, line in enumerate(lines)], "doc_id long, text string")
     own = distinct_lines(docs)
     names = {r.cls: r.line for r in own.collect()}
     got = {names[r.cls]: r.n_links for r in link_counts(own, block=16).collect()}
     some = sorted(set(lines))
     assert got == {a: sum(a != b and distance(a, b) <= 2 for b in some) for a in some}
-    assert [r.near for r in line_report(docs).orderBy("doc_id").selectExpr("n_near as near").collect()].count(0) == 1
 
 
 def test_empty(spark):
