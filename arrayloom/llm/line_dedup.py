@@ -22,12 +22,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arrayloom.llm._common import cut, cut_counted, unused, written
+from arrayloom.llm._common import cut, cut_counted, shuffles_dropped, unused, written
 
 #: Edits that two lines may differ by at most, and the characters that allow one.
 EDITS, CHARS = 2, 10
 #: Lines of a mark that are compared at once, and shared marks up to which their table is broadcast (beyond, it is shuffled).
 BLOCK, BROADCAST_ROWS = 128, 200_000
+#: Words of 64 bits that the filter of more shared marks has at most: four marks a word up to four million of them.
+WORDS, MARKS_A_WORD = 1 << 20, 4
 #: What is known of a line in a block.
 MEMBER = ("cls", "line", "size", "first", "part")
 #: Frequent characters whose counts are compared before the lines are.
@@ -164,6 +166,32 @@ def with_marks(lines: DataFrame, edits: int, chars: int) -> DataFrame:
     return each.select(*lines.columns, mark.alias("mark"), ((F.col("less") == 0) & (F.col("shift") == 0)).alias("own"))
 
 
+def _word(mark: Column, words: int) -> Column:
+    """The word of the filter that a mark is in; ``words``: a power of two."""
+    return F.shiftrightunsigned(mark, 21).bitwiseAND(F.lit(words - 1).cast("bigint"))
+
+
+def _bits(mark: Column) -> Column:
+    """The bits that a mark sets in its word: three at most."""
+    each = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(mark, k).bitwiseAND(F.lit(63).cast("bigint")).cast("int")) for k in (3, 9, 15)]
+    return reduce(lambda x, y: x.bitwiseOR(y), each)
+
+
+def among(marked: DataFrame, shared: DataFrame, n: int) -> DataFrame:
+    """The rows of ``marked`` whose mark is one of the ``n`` of ``shared``, and parts.
+
+    A few shared marks are broadcast. Of more, a filter of bounded size is, so that the join shuffles the lines at
+    shared marks and about one in a hundred others, not each line at each of its marks.
+    """
+    if n <= BROADCAST_ROWS:
+        return marked.join(F.broadcast(shared), "mark")
+    words = min(WORDS, 1 << max(0, (-(-n // MARKS_A_WORD) - 1).bit_length()))
+    held = shared.groupBy(_word(F.col("mark"), words).alias("word")).agg(F.bit_or(_bits(F.col("mark"))).alias("bits"))
+    # an inner join: a semi join would be pushed below the marks, which then were made several times
+    maybe = marked.join(F.broadcast(held), (_word(F.col("mark"), words) == F.col("word")) & (F.col("bits").bitwiseAND(_bits(F.col("mark"))) == _bits(F.col("mark"))))
+    return maybe.select(*marked.columns).join(shared, "mark")
+
+
 def _occurs(i: Column, p: Column, k: Column, edits: int) -> Column:
     """Whether segment k of line i stands in the longer line p where an untouched one can."""
     begin, after = _begin(i["size"], k, edits), _begin(i["size"], k + 1, edits)
@@ -229,7 +257,8 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     """cls, line, size, first (place), places of the distinct lines, written to the shared folder."""
     lines = lines_of(docs).where("cls is not null")
     own = lines.groupBy("line").agg(F.min(_place()).alias("first"), F.count("*").alias("places"))
-    return written(own.select(F.xxhash64("line").alias("cls"), "line", F.length("line").alias("size"), "first", "places"))
+    with shuffles_dropped(docs.sparkSession):
+        return written(own.select(F.xxhash64("line").alias("cls"), "line", F.length("line").alias("size"), "first", "places"))
 
 
 def link_counts(own: DataFrame, edits: int = EDITS, chars: int = CHARS, block: int = BLOCK) -> DataFrame:
@@ -243,8 +272,9 @@ def link_counts(own: DataFrame, edits: int = EDITS, chars: int = CHARS, block: i
         raise ValueError("edits must be 1 to 7, and fewer than the characters that allow one")
     long = own.where(F.col("size") >= chars)
     marks = with_marks(long.select("line", "size"), edits, chars).groupBy("mark").agg(F.count("*").alias("n"), F.max("own").alias("indexed"))
-    shared, n = cut_counted(marks.where("n > 1 and indexed").select("mark", F.ceil(F.col("n") / block).cast("int").alias("parts")))
-    members = with_marks(long.select("cls", "line", "size", "first"), edits, chars).join(F.broadcast(shared) if n <= BROADCAST_ROWS else shared, "mark")
+    with shuffles_dropped(own.sparkSession):
+        shared, n = cut_counted(marks.where("n > 1 and indexed").select("mark", F.ceil(F.col("n") / block).cast("int").alias("parts")))
+    members = among(with_marks(long.select("cls", "line", "size", "first"), edits, chars), shared, n)
     members = members.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     met = members.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     met = met.groupBy("mark", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y")).agg(F.collect_set(F.struct(*MEMBER)).alias("lines"), F.collect_set(F.when(F.col("own"), F.col("cls"))).alias("own"))
@@ -262,7 +292,9 @@ def judged(docs: DataFrame, edits: int = EDITS, chars: int = CHARS) -> DataFrame
     linked = own.select("cls", "first").join(link_counts(own, edits, chars), "cls")
     repeated = own.where("places > 1").select("cls", "first", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("decimal(31,0)").alias("earliest"))
     found = linked.unionByName(repeated).groupBy("cls").agg(F.min("first").alias("first"), F.max("n_links").alias("n_links"), F.min("earliest").alias("earliest"))
-    out = lines_of(docs).select("doc_id", "text_hash", "line_no", "cls").join(cut(found), "cls", "left")
+    with shuffles_dropped(docs.sparkSession):
+        found = cut(found)
+    out = lines_of(docs).select("doc_id", "text_hash", "line_no", "cls").join(found, "cls", "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
     return out.select("doc_id", "text_hash", "line_no", yes(_place() > F.col("first")).alias("again"), yes(F.col("earliest") < F.col("first")).alias("near"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 

@@ -1,11 +1,13 @@
 """The segment join against comparing all pairs of lines."""
 
 import random
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from arrayloom.llm import line_dedup
 from arrayloom.llm.line_dedup import distinct_lines, drop_lines, line_report, link_counts, within
 
 
@@ -138,3 +140,56 @@ def test_very_long_lines(spark):
     rows = [(1, long + "end"), (2, long + "enx\nshort"), (3, "a\n" * 20_000)]
     got = {r.doc_id: (r.n_lines, r.n_again, r.n_near) for r in line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (1, 0, 0), 2: (2, 0, 1), 3: (20_001, 19_999, 0)}
+
+
+def shuffled_mb(spark):
+    """MB that the session's stages have written for shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() / 1e6 for s in (stages.apply(k) for k in range(stages.size()))}
+
+
+def test_many_shared_marks(spark, monkeypatch):
+    """Too many shared marks for a broadcast: the same links, and not every line is shuffled at each of its marks."""
+    rng = random.Random(5)
+    lines = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)) for _ in range(4_000)]
+    lines += [line[:150] + "#" + line[150:] for line in lines[:300]]
+    own = distinct_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    want = sorted(map(tuple, link_counts(own).collect()))
+    assert len(want) == 600
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_mb(spark)
+        assert sorted(map(tuple, link_counts(own).collect())) == want
+        moved = sum(mb for stage, mb in shuffled_mb(spark).items() if stage not in before)
+        assert moved < 4  # 7.1 with all lines at all marks
+        # a filter that is too small lets everything pass, and changes no result
+        monkeypatch.setattr(line_dedup, "WORDS", 1, raising=False)
+        assert sorted(map(tuple, link_counts(own).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_shuffle_files_go_before_the_end(spark):
+    """The shuffle that the distinct lines came by is not kept beside those that follow."""
+    rng = random.Random(6)
+    rows = [(d, "\n".join("".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(5))) for d in range(1_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = manager.getAllFiles()
+        return {f.getPath(): f.length() for f in (found.apply(k) for k in range(found.size())) if f.getName().startswith("shuffle_")}
+
+    before, cleans = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    own = distinct_lines(docs)
+    for _ in range(50):
+        left = sum(n for path, n in files().items() if path not in before)
+        if left < 100_000:
+            break
+        time.sleep(0.2)
+    assert left < 100_000 and own.count() == 5_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == cleans
