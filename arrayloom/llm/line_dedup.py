@@ -10,8 +10,9 @@ of a band of 2t + 1 diagonals, on what lies between the common beginning and the
 of frequent characters are as close as the edits can bring them.
 
 Lines are joined once each (distinct lines), so copies cost nothing. Marks are counted before any text moves;
-the lines of a mark meet in blocks of bounded size, and what comes out is a row for each line with its number of
-links, so no pair of lines is ever a row. A line is dropped if an earlier place (by doc_id, then place in the text)
+the lines of a mark meet in blocks of bounded size, in as many passes as it takes for a pass to move about as many
+characters as all lines have, and what comes out is a row for each line with its number of links, so no pair of
+lines is ever a row. A line is dropped if an earlier place (by doc_id, then place in the text)
 has the same line or one within the distance. Lines are told apart by 64-bit hashes of their trimmed text.
 """
 
@@ -30,6 +31,10 @@ EDITS, CHARS = 2, 10
 BLOCK, BROADCAST_ROWS = 128, 200_000
 #: Words of 64 bits that the filter of more shared marks has at most: four marks a word up to four million of them.
 WORDS, MARKS_A_WORD = 1 << 20, 4
+#: Characters that a pass may move in any case, and what is counted for a moved line besides its own.
+PASS_CHARS, ROW_CHARS = 1 << 26, 64
+#: Shared marks of a pass at most: the filter then has eight a word.
+PASS_MARKS = 1 << 23
 #: What is known of a line in a block.
 MEMBER = ("cls", "line", "size", "first", "part")
 #: Frequent characters whose counts are compared before the lines are.
@@ -266,18 +271,53 @@ def link_counts(own: DataFrame, edits: int = EDITS, chars: int = CHARS, block: i
 
     Marks that two lines share are counted first. Only their lines are brought together, in blocks of about
     ``block``; the blocks of a mark meet two at a time, each meeting in a task of its own, and give a row for
-    each line that has links there, not for each pair.
+    each line that has links there, not for each pair. Where the lines of all shared marks have more characters
+    than the table, meetings are dealt to passes; a pass's shuffle files go when its rows are written.
     """
     if not 1 <= edits < 8 or chars <= edits:
         raise ValueError("edits must be 1 to 7, and fewer than the characters that allow one")
     long = own.where(F.col("size") >= chars)
-    marks = with_marks(long.select("line", "size"), edits, chars).groupBy("mark").agg(F.count("*").alias("n"), F.max("own").alias("indexed"))
+    # the lines of a mark are of nearly one size, below zero if it is a line's own: one column says both
+    sized = F.when(F.col("own"), -F.col("size")).otherwise(F.col("size"))
+    marks = with_marks(long.select("line", "size"), edits, chars).groupBy("mark").agg(F.count("*").alias("n"), F.min(sized).alias("sized"))
+    parts = F.ceil(F.col("n") / block).cast("int")
+    moved = (F.col("n") * parts * (ROW_CHARS - F.col("sized"))).cast("double")
     with shuffles_dropped(own.sparkSession):
-        shared, n = cut_counted(marks.where("n > 1 and indexed").select("mark", F.ceil(F.col("n") / block).cast("int").alias("parts")))
-    members = among(with_marks(long.select("cls", "line", "size", "first"), edits, chars), shared, n)
+        shared, n = cut_counted(marks.where("n > 1 and sized < 0").select("mark", parts.alias("parts"), moved.alias("moved")))
+    passes = _passes(own, shared, n)
+    marked = with_marks(long.select("cls", "line", "size", "first"), edits, chars)
+    if passes == 1:
+        return _met(marked, shared.select("mark", "parts"), n, edits, chars)
+    rows = []
+    for k in range(passes):
+        with shuffles_dropped(own.sparkSession):
+            here = shared.where((F.col("parts") > 1) | (_pass(F.lit(0), F.lit(0), passes) == k)).select("mark", "parts")
+            rows.append(written(_met(marked, here, here.count(), edits, chars, (k, passes))))
+    return reduce(DataFrame.unionByName, rows).groupBy("cls").agg(F.sum("n_links").alias("n_links"), F.min("earliest").alias("earliest"))
+
+
+def _passes(own: DataFrame, shared: DataFrame, n: int) -> int:
+    """Passes in which no more than the characters of ``own`` are moved, nor more marks than the filter can tell apart."""
+    if not n:
+        return 1
+    moved, all_chars = shared.agg(F.sum("moved")).first()[0], own.agg(F.sum(F.col("size").cast("long"))).first()[0]
+    return max(1, -(-int(moved) // max(all_chars, PASS_CHARS)), -(-n // PASS_MARKS))
+
+
+def _pass(x: Column, y: Column, passes: int) -> Column:
+    """The pass in which parts x and y of a mark meet."""
+    return F.pmod(F.xxhash64("mark", x.cast("int"), y.cast("int")), F.lit(passes).cast("bigint"))
+
+
+def _met(marked: DataFrame, shared: DataFrame, n: int, edits: int, chars: int, only: tuple[int, int] | None = None) -> DataFrame:
+    """cls, n_links, earliest of the meetings at the ``n`` marks of ``shared``; ``only``: those of one pass, and the number of passes."""
+    members = among(marked, shared, n)
     members = members.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     met = members.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    met = met.groupBy("mark", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y")).agg(F.collect_set(F.struct(*MEMBER)).alias("lines"), F.collect_set(F.when(F.col("own"), F.col("cls"))).alias("own"))
+    x, y = F.least("part", "other"), F.greatest("part", "other")
+    if only:
+        met = met.where(_pass(x, y, only[1]) == only[0])
+    met = met.groupBy("mark", x.alias("x"), y.alias("y")).agg(F.collect_set(F.struct(*MEMBER)).alias("lines"), F.collect_set(F.when(F.col("own"), F.col("cls"))).alias("own"))
     rows = met.select(F.explode(_tallied(F.col("lines"), F.col("own"), F.col("mark"), F.col("x") != F.col("y"), edits, chars)).alias("r"))
     return rows.groupBy("r.cls").agg(F.sum("r.n").alias("n_links"), F.min("r.earliest").alias("earliest"))
 

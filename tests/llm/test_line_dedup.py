@@ -193,3 +193,34 @@ def test_shuffle_files_go_before_the_end(spark):
         time.sleep(0.2)
     assert left < 100_000 and own.count() == 5_000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == cleans
+
+
+def test_near_copies_of_all_lines(spark, monkeypatch):
+    """Lines that all have near copies share most marks: no stage moves more than about the lines' own characters."""
+    rng = random.Random(7)
+    lines = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)) for _ in range(3_000)]
+    lines += [line[:k] + "#" + line[k + 1 :] for line in lines for k in (rng.randrange(300),)]
+    own = distinct_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    monkeypatch.setattr(line_dedup, "PASS_CHARS", 1, raising=False)
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_mb(spark)
+        firsts = {r.cls: int(r["first"]) >> 31 for r in own.collect()}
+        got = {firsts[r.cls]: (r.n_links, int(r.earliest) >> 31) for r in link_counts(own).collect()}
+        assert got == {k: (1, (k + 3_000) % 6_000) for k in range(6_000)}
+        assert max(mb for stage, mb in shuffled_mb(spark).items() if stage not in before) < 1.3 * 1.8  # 1.8 MB of lines
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_passes_over_parts(spark, monkeypatch):
+    """The parts of a frequent mark meet in different passes: each link counts once, in one of them."""
+    base = "the quick brown fox jumps over the lazy dog near the river bank"
+    lines = [base[:k] + c + base[k + 1 :] for k in range(0, 24) for c in "5"]
+    own = distinct_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    names = {r.cls: r.line for r in own.collect()}
+    want = {a: sum(a != b and distance(a, b) <= 2 for b in lines) for a in lines}
+    monkeypatch.setattr(line_dedup, "_passes", lambda *_: 2)
+    assert {names[r.cls]: r.n_links for r in link_counts(own, block=8).collect()} == want
