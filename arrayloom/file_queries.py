@@ -17,9 +17,9 @@ from arrayloom import jobs
 from arrayloom.operators import planning as P
 from arrayloom.operators import reads as R
 from arrayloom.plans.cache import Scratch, fingerprint, held
-from arrayloom.queries import HOURS_SQL, SCALED, SCALED_SUM, big, hours, query, scaled, scaled_sum, stack, table
+from arrayloom.queries import HOURS_SQL, SCALED, SCALED_SUM, big, hours, query, scaled_sum, stack, table
 from arrayloom.sources.eer import encoded
-from arrayloom.sources.spark import describe, pixels, read_stack, read_timeline, register, write_stacks
+from arrayloom.sources.spark import describe, pixels, read_stack, read_timeline, register, values, write_lines
 
 STACKS_SQL = f"""SELECT 'e' || (vec_id % 3) AS name, row_number() OVER (PARTITION BY vec_id % 3 ORDER BY vec_id) - 1 AS idx, {SCALED_SUM.format("embedding")} AS pixel_sum FROM embeddings"""
 
@@ -37,13 +37,13 @@ def _written(spark: SparkSession, sf_dir: str, extension: str, dtype: str = "flo
     """The stacks' files, written by Spark tasks."""
     folder = _folder(spark)
     each = _numbered(spark, sf_dir).select(F.concat(F.lit(f"{folder}/"), "name", F.lit(extension)).alias("key"), "idx", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("row"), "embedding")
-    images = jobs.assembled(each.select("key", "idx", "row", F.slice("embedding", F.col("row") * 8 + 1, 8).cast("array<double>").alias("values")), dtype)
-    return sorted(r.key for r in write_stacks(images).collect())  # three names
+    done = write_lines(each.select("key", "idx", "row", F.slice("embedding", F.col("row") * 8 + 1, 8).alias("values")), dtype)
+    return sorted(r.key for r in done.collect())  # three names
 
 
 def _sums(images: DataFrame) -> DataFrame:
-    name = F.regexp_extract("key", r"([^/.]*)\.[^/]*$", 1).alias("name")
-    return pixels(images).groupBy(name, "idx").agg(F.sum(scaled(F.col("value"))).alias("pixel_sum"))
+    name = F.substring_index(F.substring_index("key", "/", -1), ".", 1).alias("name")
+    return values(images).select(name, "idx", scaled_sum(F.col("values")).alias("pixel_sum"))
 
 
 @query(STACKS_SQL)
@@ -80,7 +80,7 @@ def read_zarr_ranges(spark, sf_dir):
     FROM embeddings, (SELECT unnest(['mrc', 'tiff']) AS format) AS k GROUP BY vec_id % 3, k.format""")
 def describe_files(spark, sf_dir):
     found = describe(spark, [*_written(spark, sf_dir, ".mrcs"), *_written(spark, sf_dir, ".tif")])
-    return found.select(F.regexp_extract("key", r"([^/.]*)\.[^/]*$", 1).alias("name"), "format", F.array_join(F.col("extents").cast("array<string>"), ",").alias("extents"), "core_rank", "dtype")
+    return found.select(F.substring_index(F.substring_index("key", "/", -1), ".", 1).alias("name"), "format", F.array_join(F.col("extents").cast("array<string>"), ",").alias("extents"), "core_rank", "dtype")
 
 
 @query(STACKS_SQL)
@@ -138,12 +138,11 @@ def extract_particles(spark, sf_dir):
     """Boxes of 6 x 5 pixels cut out of two micrographs' files, written as stacks and read back by their locations."""
     folder = _folder(spark)
     lines = table(spark, sf_dir, "embeddings").select(F.concat(F.lit(f"{folder}/m"), (F.col("vec_id") % 2).cast("string"), F.lit(".mrc")).alias("key"), F.lit(None).cast("bigint").alias("idx"), P.div(F.col("vec_id"), 2).alias("row"), F.col("embedding").cast("array<double>").alias("values"))
-    paths = sorted(r.key for r in write_stacks(jobs.assembled(lines)).collect())  # two files
+    paths = sorted(r.key for r in write_lines(lines).collect())  # two files
     centres = table(spark, sf_dir, "events").select(F.col("event_id").alias("slot"), F.concat(F.lit(f"{folder}/m"), (F.col("event_id") % 2).cast("string"), F.lit(".mrc")).alias("key"), F.pmod("user_id", big(150)).alias("y"), F.pmod("event_id", big(64)).alias("x"))
     boxes = jobs.mounted(spark, f"{folder.rsplit('/', 1)[1]}/boxes")
     done = jobs.extract_particles(spark, centres, paths, boxes, (6, 5))
-    sums = pixels(read_stack(spark, [f"{boxes}/m{k}.mrcs" for k in range(len(paths))])) if done.count() else None
-    sums = sums.groupBy(jobs.plain_path("key").alias("key"), "idx").agg(F.sum(scaled(F.col("value"))).alias("box_sum"))
+    sums = values(read_stack(spark, [f"{boxes}/m{k}.mrcs" for k in range(len(paths))])).select(jobs.plain_path("key").alias("key"), "idx", scaled_sum(F.col("values")).alias("box_sum"))
     return done.join(sums, ["key", "idx"]).select("slot", F.regexp_replace("location", "@.*/boxes/", "@boxes/").alias("location"), "box_sum")
 
 

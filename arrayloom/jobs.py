@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arrayloom.functions.types import numerical_type, numpy_type
-from arrayloom.operators.planning import number_regions
 from arrayloom.operators.reads import read_patches
-from arrayloom.plans.lineage import shared_folder
+from arrayloom.plans.lineage import add, placed, running_by, shared_folder
 from arrayloom.sources.image import cast
-from arrayloom.sources.spark import STACK, read_stack, read_timeline, tensor, timelines, write_stacks
+from arrayloom.sources.registry import open_image
+from arrayloom.sources.spark import BATCH_PIXELS, STACK, Piece, plain, put_together, read_stack, read_timeline, several, tensor, timelines, write_stacks
 
 
 def mounted(spark: SparkSession, name: str) -> str:
@@ -36,7 +37,7 @@ def plain_path(key: str):
 
 def renamed(key: str, folder: str, extension: str):
     """A column of paths in ``folder`` with the names of ``key``, but for the extension."""
-    return F.concat(F.lit(f"{folder}/"), F.regexp_extract(key, r"([^/]*?)(\.[^./]*)?$", 1), F.lit(extension))
+    return F.concat(F.lit(f"{folder}/"), F.regexp_replace(F.substring_index(key, "/", -1), r"\.[^.]*$", ""), F.lit(extension))
 
 
 def convert(spark: SparkSession, paths: list[str], folder: str, extension: str, dtype: str | None = None) -> DataFrame:
@@ -90,10 +91,15 @@ def lines(stack: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                image = np.frombuffer(r["data"], numpy_type(r["dtype"])).reshape(r["shape"]).astype(np.float64)
-                values = pa.ListArray.from_arrays(pa.array(np.arange(0, image.size + 1, image.shape[1] or 1, dtype=np.int32)), pa.array(image.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array([r["key"]] * len(image), pa.string()), pa.array(np.arange(len(image))), values], names=["key", "y", "line"])
+            for first, images, _ in several(batch):
+                n, height, width = images.shape
+                step = max(1, BATCH_PIXELS // max(width, 1))
+                for k in range(n):
+                    key = batch.column(0)[first + k]
+                    for top in range(0, height, step):
+                        part = images[k, top : top + step].astype(np.float64)
+                        ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * width)
+                        yield pa.RecordBatch.from_arrays([pa.repeat(key, len(part)), pa.array(np.arange(top, top + len(part))), pa.ListArray.from_arrays(ends, pa.array(part.ravel()))], names=["key", "y", "line"])
 
     return stack.select("key", "shape", "dtype", "data").mapInArrow(run, "key string, y bigint, line array<double>")
 
@@ -116,12 +122,59 @@ def extract_particles(spark: SparkSession, particles: DataFrame, paths: list[str
 
     Centres are cut to whole pixels and land at half the box; what lies outside an image holds ``fill``. The boxes of an
     image are numbered by slot; ``location`` is ``<number from 1>@<path of the stack>``.
+
+    Particles are sorted by image and slot once; their boxes are cut out of mapped files as they stream by and written
+    as pieces of the stacks, so neither an image's lines nor its boxes are dealt out or held. Images that aren't on
+    mounted paths are joined by their lines.
     """
     centres = particles.select("slot", plain_path("key").alias("key"), F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"))
-    placed = number_regions(centres, "key", "slot").withColumnRenamed("place", "idx")
+    rows, part, row = placed(centres, [F.col("key"), F.col("slot")])
+    numbers = running_by(rows, part, row, "key", F.lit(1).cast("bigint"), F.sum, add, "idx").drop(part, row)
     out = renamed("key", folder, extension)
-    cut_out = read_patches(centres, lines(read_stack(spark, paths)).withColumn("key", plain_path("key")), box, fill)
-    boxes = cut_out.join(placed.select("slot", out.alias("key"), "idx"), "slot").select("key", "idx", "row", "values")
-    done = write_stacks(assembled(boxes))
-    return placed.select("slot", out.alias("key"), "idx").join(done.select("key"), "key").select("slot", "key", "idx", F.concat((F.col("idx") + 1).cast("string"), F.lit("@"), F.col("key")).alias("location"))
+    if all(re.match(r"(file:)?/", p) and os.path.isfile(plain(p)) for p in paths):
+        own = rows.select(out.alias("out"), "key", F.col(part).cast("bigint").alias("part"), "y", "x")
+        put_together(own, cut_out(frozenset(plain(p) for p in paths), box, fill))
+    else:
+        patches = read_patches(centres, lines(read_stack(spark, paths)).withColumn("key", plain_path("key")), box, fill)
+        write_stacks(assembled(patches.join(numbers.select("slot", out.alias("key"), "idx"), "slot").select("key", "idx", "row", "values")))
+    return numbers.select("slot", out.alias("key"), "idx").select("slot", "key", "idx", F.concat((F.col("idx") + 1).cast("string"), F.lit("@"), F.col("key")).alias("location"))
+
+
+def cut_out(known: frozenset[str], box: tuple[int, int], fill: float) -> Callable:
+    """Pieces of stacks from batches (out, key, part, y, x): the boxes around the rows' places in images of rank 2 among ``known``."""
+
+    def image_of(path: str) -> np.ndarray:
+        if path not in known:  # all of it is outside
+            return np.zeros((0, 0), np.float32)
+        f = open_image(path)
+        if f.count > 1 or f.core_rank != 2:
+            raise ValueError(f"{path} isn't one image of rank 2")
+        return f.read(0 if f.count else None)
 
+    def run(batches):
+        path, image = None, None
+        for batch in batches:
+            keys = batch.column(1).dictionary_encode()
+            codes = keys.indices.to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero(codes[1:] != codes[:-1]) + 1, [len(codes)]])
+            top, left = (batch.column(k).to_numpy() - n // 2 for k, n in zip((3, 4), box, strict=True))
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                if path != (now := keys.dictionary[int(codes[a])].as_py()):
+                    path, image = now, image_of(now)
+                step = max(1, BATCH_PIXELS // max(box[0] * box[1], 1))
+                for k in range(int(a), int(b), step):
+                    end = min(k + step, int(b))
+                    yield Piece(batch.column(0)[k].as_py(), (batch.column(2)[k].as_py(), 0), boxes_of(image, top[k:end], left[k:end], box, fill), "float32")
+
+    return run
+
+
+def boxes_of(image: np.ndarray, top: np.ndarray, left: np.ndarray, box: tuple[int, int], fill: float) -> np.ndarray:
+    """The boxes with their first pixel at (top, left), as float32; ``fill`` outside of the image."""
+    y, x = top[:, None] + np.arange(box[0]), left[:, None] + np.arange(box[1])
+    inside = ((y >= 0) & (y < image.shape[0]))[:, :, None] & ((x >= 0) & (x < image.shape[1]))[:, None, :]
+    out = np.full(inside.shape, fill, np.float64)
+    if image.size:
+        y, x = np.clip(y, 0, image.shape[0] - 1), np.clip(x, 0, image.shape[1] - 1)
+        np.copyto(out, image[y[:, :, None], x[:, None, :]], where=inside)
+    return cast(out, np.dtype(np.float32))

@@ -14,7 +14,8 @@ from arrayloom.errors import FormatError
 class ImageFile:
     """extents (slowest first), the trailing axes of one image, the element type and a reader of one image.
 
-    ``load(i)`` gives image i, or the whole array for None.
+    ``load(i)`` gives image i, or the whole array for None. ``several(begin, end)`` gives images that follow one another
+    at once; a format that can't is read image by image. ``single_pass`` says that a file can't be entered in its middle.
     """
 
     format: str
@@ -22,6 +23,8 @@ class ImageFile:
     core_rank: int
     dtype: str
     load: Callable[[int | None], np.ndarray] = field(repr=False)
+    several: Callable[[int, int], np.ndarray] | None = field(default=None, repr=False)
+    single_pass: bool = False
 
     def __post_init__(self) -> None:
         if not 1 <= self.core_rank <= len(self.extents):
@@ -41,6 +44,12 @@ class ImageFile:
             raise IndexError(f"image {index} of {self.count}")
         return self.load(index)
 
+    def reads(self, begin: int, end: int) -> np.ndarray:
+        """The images [begin, end), at least one, along a leading axis."""
+        if not 0 <= begin < end <= self.count:
+            raise IndexError(f"images {begin} to {end} of {self.count}")
+        return self.several(begin, end) if self.several else np.stack([self.load(k) for k in range(begin, end)])
+
 
 def little(array: np.ndarray) -> np.ndarray:
     """The array in C order and little-endian."""
