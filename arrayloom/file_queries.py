@@ -6,7 +6,6 @@ Stand-ins: an embedding is an image of 8 x 8, those with one remainder of vec_id
 
 from __future__ import annotations
 
-import gzip
 import uuid
 
 import numpy as np
@@ -53,13 +52,7 @@ def read_mrc_stacks(spark, sf_dir):
 
 @query(STACKS_SQL)
 def read_gzipped_stacks(spark, sf_dir):
-    paths = []
-    for path in _written(spark, sf_dir, ".mrcs"):
-        with open(path, "rb") as f, gzip.open(f"{path}.gz", "wb") as out:
-            while part := f.read(1 << 20):
-                out.write(part)
-        paths.append(f"{path}.gz")
-    return _sums(read_stack(spark, paths))
+    return _sums(read_stack(spark, jobs.zipped(spark, _written(spark, sf_dir, ".mrcs"))))
 
 
 @query(STACKS_SQL)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,8 +16,12 @@ from arrayloom.functions.types import numerical_type, numpy_type
 from arrayloom.operators.reads import read_patches
 from arrayloom.plans.lineage import add, placed, running_by, shared_folder
 from arrayloom.sources.image import cast
-from arrayloom.sources.registry import open_image
-from arrayloom.sources.spark import BATCH_PIXELS, STACK, Piece, plain, put_together, read_stack, read_timeline, several, tensor, timelines, write_stacks
+from arrayloom.sources.mrc import BLOCK, END, packed_blocks
+from arrayloom.sources.registry import copied, open_image
+from arrayloom.sources.spark import BATCH_PIXELS, RANGES, STACK, Piece, plain, put_together, read_stack, read_timeline, several, tensor, timelines, write_stacks
+
+#: Bytes that a task packs at most.
+ZIPPED = 4 << 20
 
 
 def mounted(spark: SparkSession, name: str) -> str:
@@ -46,6 +51,37 @@ def convert(spark: SparkSession, paths: list[str], folder: str, extension: str,
     return write_stacks(images.withColumn("key", renamed("key", folder, extension)))
 
 
+def zipped(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Each file (on a mounted path) as ``<path>.gz``, whose members tell their lengths: tasks pack ranges of bytes, readers enter at any block."""
+    known, job = [os.path.abspath(plain(p)) for p in paths], f".{uuid.uuid4().hex[:12]}"
+    step = ZIPPED // BLOCK * BLOCK
+    parts = [(k, at) for k, path in enumerate(known) for at in range(0, max(os.path.getsize(path), 1), step)]
+
+    def pack(batches):
+        for batch in batches:
+            for n in batch.column(0).to_pylist():
+                k, at = parts[n]
+                with open(known[k], "rb") as f:
+                    f.seek(at)
+                    raw = packed_blocks(f.read(step))
+                beside = f"{known[k]}{job}.{uuid.uuid4().hex}"
+                with open(beside, "wb") as out:
+                    out.write(raw)
+                yield pa.RecordBatch.from_pylist([{"file": k, "at": at, "beside": beside}])
+
+    def join(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: r["at"])
+        path = known[rows[0]["file"]]
+        os.replace(copied(path, b"", [r["beside"] for r in rows], [END]), f"{path}.gz")
+        return pa.table({"file": pa.array([rows[0]["file"]], pa.int64()), "pieces": [[r["beside"] for r in rows]]})
+
+    packed = spark.range(0, len(parts), 1, min(max(len(parts), 1), RANGES)).mapInArrow(pack, "file bigint, at bigint, beside string")
+    for r in packed.groupBy("file").applyInArrow(join, "file bigint, pieces array<string>").toLocalIterator():
+        for piece in r.pieces:
+            os.remove(piece)
+    return [f"{path}.gz" for path in known]
+
+
 def render(counts: DataFrame, extents: DataFrame, dtype: str = "uint32") -> DataFrame:
     """Counts (key, f, y, x, n) as images of a stack, a row for each of ``extents(key, f, height, width)``, zeros elsewhere.
 

@@ -176,37 +176,40 @@ def chosen_writer(path: str) -> WriteFormat:
     return max(scored, key=lambda x: x[:2])[2]
 
 
+def copied(path: str, head: bytes, pieces: list[str], tail=()) -> str:
+    """A file beside ``path`` of ``head``, the pieces' bytes and what ``tail`` gives."""
+    import shutil
+    import uuid
+
+    beside = f"{path}.{uuid.uuid4().hex}"
+    with open(beside, "wb") as out:
+        out.write(head)
+        for piece in pieces:
+            with open(piece, "rb") as f:
+                shutil.copyfileobj(f, out, 4 << 20)
+        for more in tail:
+            out.write(more)
+    return beside
+
+
 def write_pieces(path: str, shape: tuple[int, ...], dtype, core_rank: int, pieces: list[str], strips: list[int] | None = None) -> None:
     """A file of the format that its name asks for, of raw values that lie in ``pieces`` one behind the other.
 
     MRC and plain TIFF files are the pieces' bytes behind a header; ``strips`` has the sizes where they are packed for
     TIFF already. Other formats map the values and are written as ``write_image`` does.
     """
-    import shutil
-    import uuid
-
     import numpy as np
 
-    def copied(head: bytes, tail) -> str:
-        beside = f"{path}.{uuid.uuid4().hex}"
-        with open(beside, "wb") as out:
-            out.write(head)
-            for piece in pieces:
-                with open(piece, "rb") as f:
-                    shutil.copyfileobj(f, out, 4 << 20)
-            for more in tail:
-                out.write(more)
-        return beside
-
     dtype, name = np.dtype(dtype).newbyteorder("="), path.rstrip("/").lower()
     chosen = chosen_writer(path)
     if chosen.name == "mrc":
-        os.replace(copied(mrc.header(name, shape, dtype, core_rank), ()), path)
+        os.replace(copied(path, mrc.header(name, shape, dtype, core_rank), pieces), path)
     elif chosen.name == "tiff" and (strips is not None or dtype.kind in "fc"):
         tiff.check(shape, dtype, core_rank)
-        os.replace(copied(*tiff.frame(shape, dtype, strips)), path)
+        head, directories = tiff.frame(shape, dtype, strips)
+        os.replace(copied(path, head, pieces, directories), path)
     else:
-        raw = copied(b"", ())
+        raw = copied(path, b"", pieces)
         try:
             empty = not os.path.getsize(raw)
             chosen.write(path, np.zeros(shape, dtype) if empty else np.memmap(raw, dtype.newbyteorder("<"), "r", 0, shape), core_rank)

@@ -1,11 +1,13 @@
 """Jobs over files: what is read, cut and written by ranges, against the whole arrays."""
 
+import gzip
 import os
 
 import numpy as np
 import pytest
 
 from arrayloom import jobs
+from arrayloom.sources import mrc
 from arrayloom.sources import spark as source
 from arrayloom.sources.registry import open_image, write_image
 
@@ -79,3 +81,37 @@ def test_images_are_written_by_lines(spark, tmp_path, whole_partitions):
     assert np.array_equal(open_image(f"{tmp_path}/a.mrc").read(), tall.astype("f4")) and np.array_equal(open_image(f"{tmp_path}/b.mrcs").read(), stack.astype("f4"))
     with pytest.raises(Exception, match="several shapes"):
         source.write_lines(lines.where("key like '%mrcs' AND NOT (idx = 3 AND row = 2)")).collect()
+
+
+def test_zipped_stacks_are_entered_at_any_block(spark, tmp_path, monkeypatch):
+    """Files packed in parts are read by ranges and by anyone's gzip; a stack of one member is inflated once and not held."""
+    monkeypatch.setattr(jobs, "ZIPPED", 3 * mrc.BLOCK)
+    monkeypatch.setattr(source, "RANGE_IMAGES", 100)
+    array = np.random.default_rng(6).random((1500, 16, 16)).astype("f4")
+    paths = [f"{tmp_path}/a.mrcs", f"{tmp_path}/b.mrcs"]
+    for path, part in zip(paths, (array, array[:3])):
+        write_image(path, part, 2)
+    packed = jobs.zipped(spark, paths)
+    assert packed == [f"{p}.gz" for p in paths] and sorted(os.listdir(tmp_path)) == ["a.mrcs", "a.mrcs.gz", "b.mrcs", "b.mrcs.gz"]
+    for path in paths:
+        with open(path, "rb") as f, gzip.open(f"{path}.gz") as g:
+            assert f.read() == g.read()
+    stack = source.read_stack(spark, packed)
+    assert stack.rdd.getNumPartitions() == 15 + 1  # one for each file before
+    assert {(r.key[-9:-8], r.idx): bytes(r.data) for r in stack.collect()} == {(n, k): a.tobytes() for n, part in (("a", array), ("b", array[:3])) for k, a in enumerate(part)}
+    image = open_image(packed[0])
+    assert np.array_equal(image.read(1499), array[1499]) and np.array_equal(image.read(), array)
+
+
+def test_one_gzip_stream_is_read_onward(monkeypatch):
+    """Images are inflated without copying all that lies before them; what was read is dropped, and inflated anew for a step back."""
+    monkeypatch.setattr(mrc, "KEPT", 1 << 16)
+    array = np.random.default_rng(6).random((1500, 16, 16)).astype("f4")
+    held = []
+    inner = mrc.Inflated
+    monkeypatch.setattr(mrc, "Inflated", lambda data: held.append(inner(data)) or held[0])
+    image = mrc.open_gzip("a.mrcs.gz", gzip.compress(mrc.write_mrc("a.mrcs", array, 2)))
+    assert image.single_pass
+    for k in range(0, 1500, 50):
+        assert np.array_equal(image.reads(k, k + 50), array[k : k + 50]) and len(held[0].out) < 500_000
+    assert np.array_equal(image.read(3), array[3]) and np.array_equal(image.reads(1400, 1410), array[1400:1410]) and np.array_equal(image.read(), array)
