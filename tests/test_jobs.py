@@ -2,12 +2,14 @@
 
 import gzip
 import os
+import struct
 
 import numpy as np
 import pytest
 
 from arrayloom import jobs
-from arrayloom.sources import mrc
+from arrayloom.errors import FormatError, UnsupportedError
+from arrayloom.sources import mrc, tiff
 from arrayloom.sources import spark as source
 from arrayloom.sources.registry import open_image, write_image
 
@@ -115,3 +117,26 @@ def test_one_gzip_stream_is_read_onward(monkeypatch):
     for k in range(0, 1500, 50):
         assert np.array_equal(image.reads(k, k + 50), array[k : k + 50]) and len(held[0].out) < 500_000
     assert np.array_equal(image.read(3), array[3]) and np.array_equal(image.reads(1400, 1410), array[1400:1410]) and np.array_equal(image.read(), array)
+
+
+def test_odd_stacks_are_read_by_ranges(spark, tmp_path, monkeypatch):
+    """A big-endian stack behind an extended header, volumes, one image and a cut-off file."""
+    monkeypatch.setattr(source, "RANGE_IMAGES", 4)
+    array = np.arange(10 * 3 * 4, dtype=">i2").reshape(10, 3, 4)
+    head = bytearray(mrc.write_mrc("a.mrcs", array.astype("<i2"), 2)[:1024])
+    for at in (0, 4, 8, 12, 28, 32, 36, 64, 68, 72, 88, 108):
+        struct.pack_into(">i", head, at, struct.unpack_from("<i", head, at)[0])
+    struct.pack_into(">i", head, 92, 160)
+    head[212:214] = b"\x11\x11"
+    (tmp_path / "a.mrcs").write_bytes(bytes(head) + bytes(160) + array.tobytes())
+    volumes = np.arange(6 * 2 * 3 * 4, dtype="f4").reshape(6, 2, 3, 4)
+    write_image(f"{tmp_path}/b.mrc", volumes, 3)
+    write_image(f"{tmp_path}/c.mrc", volumes[0, 0], 2)
+    stack = source.read_stack(spark, [f"{tmp_path}/{n}" for n in ("a.mrcs", "b.mrc", "c.mrc")], "float64")
+    assert stack.rdd.getNumPartitions() == 3 + 2 + 1  # one for each file before
+    got = {(r.key[-6:].strip("/"), r.idx): np.frombuffer(r.data).reshape(r["shape"]) for r in stack.collect()}
+    want = {("a.mrcs", k): a for k, a in enumerate(array)} | {("b.mrc", k): a for k, a in enumerate(volumes)} | {("c.mrc", None): volumes[0, 0]}
+    assert set(got) == set(want) and all(np.array_equal(got[k], want[k]) for k in want)
+    (tmp_path / "d.mrcs").write_bytes((tmp_path / "a.mrcs").read_bytes()[:-1])
+    with pytest.raises(Exception, match="truncated"):
+        source.read_stack(spark, [f"{tmp_path}/d.mrcs"]).collect()
