@@ -140,3 +140,28 @@ def test_odd_stacks_are_read_by_ranges(spark, tmp_path, monkeypatch):
     (tmp_path / "d.mrcs").write_bytes((tmp_path / "a.mrcs").read_bytes()[:-1])
     with pytest.raises(Exception, match="truncated"):
         source.read_stack(spark, [f"{tmp_path}/d.mrcs"]).collect()
+
+
+@pytest.mark.parametrize("dtype,classic,strip", [("f8", 1 << 31, 1 << 18), ("f4", 100, 1 << 18), ("f8", 1 << 31, 100), ("u1", 100, 20), ("u2", 1 << 31, 1 << 18)])
+def test_tiff_directories_are_followed_at_once(tmp_path, dtype, classic, strip, monkeypatch):
+    """Many pages, classic and large, of one strip and several: opening parses few of them; an odd page among them is found."""
+    monkeypatch.setattr(tiff, "CLASSIC", classic)
+    monkeypatch.setattr(tiff, "STRIP_BYTES", strip)
+    monkeypatch.setattr(tiff, "PAGES", 300)
+    array = (np.arange(1000 * 5 * 7) % 251).reshape(1000, 5, 7).astype(dtype)
+    raw = tiff.write_tiff(array, 2)
+    assert (raw[2] == 43) == (classic == 100)
+    parsed, inner = [], tiff.Pages.__getitem__
+    monkeypatch.setattr(tiff.Pages, "__getitem__", lambda self, k: parsed.append(k) or inner(self, k))
+    f = tiff.open_tiff("a.tif", raw)
+    assert f.extents == array.shape and len(parsed) < 5  # all of them before
+    assert all(np.array_equal(f.read(k), array[k]) for k in (0, 1, 299, 300, 301, 998, 999)) and np.array_equal(f.read(), array)
+    at = tiff.pages(raw)[1].at
+    odd = bytearray(raw)
+    place = int(at[700]) + (8 if classic == 100 else 2)
+    assert struct.unpack_from("<H", odd, place)[0] == tiff.WIDTH
+    struct.pack_into("<I", odd, place + (12 if classic == 100 else 8), 6)
+    with pytest.raises(UnsupportedError, match="different"):
+        tiff.open_tiff("a.tif", bytes(odd))
+    with pytest.raises(FormatError):
+        tiff.open_tiff("a.tif", raw[: int(at[700]) + 3])
