@@ -146,5 +146,5 @@ def extract_particles(spark, sf_dir):
 def boxes_of_volume(spark, sf_dir):
     centres = table(spark, sf_dir, "events").select(F.col("event_id").alias("slot"), F.lit("stack").alias("key"), F.pmod("user_id", big(8)).alias("z"), F.pmod("event_id", big(20)).alias("y"), F.pmod("event_id", big(64)).alias("x"))
     rows = stack(spark, sf_dir).select("key", P.div(F.col("idx"), 20).alias("z"), (F.col("idx") % 20).alias("y"), "line")
-    boxes = R.read_boxes(centres, rows, {"z": 3, "y": 4, "x": 5})
-    return boxes.groupBy("slot").agg(F.sum("inside").alias("inside"), F.sum(scaled_sum(F.col("values"))).alias("box_sum"))
+    boxes = R.over_boxes(centres, rows, {"z": 3, "y": 4, "x": 5}, F.sum("inside").alias("inside"), F.sum(scaled_sum(F.col("values"))).alias("box_sum"))
+    return boxes.groupBy("slot").agg(F.sum("inside").alias("inside"), F.sum("box_sum").alias("box_sum"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +33,7 @@ def check_batch(locations: DataFrame) -> DataFrame:
 def read_patches(centres: DataFrame, rows: DataFrame, extents: tuple[int, int], fill: float = 0.0) -> DataFrame:
     """``centres(slot, key, y, x)`` with their patches: slot, row (0 to H-1), values (W numbers, padded with ``fill``), inside.
 
-    ``rows(key, y, line)`` holds an image as one array a line. The centre lands at extent // 2. A patch is H
+    ``rows(key, y, line)`` holds an image as one array a line. The centre lands at extent // 2. A place's patch is H
     equi-joins on (key, y), one for each line; the W values are cut out of the line.
     """
     height, width = extents
@@ -43,17 +45,38 @@ def read_boxes(centres: DataFrame, rows: DataFrame, extents: dict[str, int], fil
     """Boxes of any rank: ``centres(slot, key, <axes>)`` with a row for each line of their box.
 
     ``extents`` names the axes and the box, the slowest first; ``rows(key, <all axes but the last>, line)`` holds the
-    image's lines. A box is one equi-join for each of its lines; the row has the line's place in the box (``<axis>_at``),
-    its values, padded with ``fill``, and how many of them lie inside the image.
+    image's lines. The row has the line's place in the box (``<axis>_at``), its values, padded with ``fill``, and how many
+    of them lie inside the image. Centres at one place share their box until the last join.
+    """
+    return _of_slots(centres, boxes_at(centres, rows, extents, fill), list(extents))
+
+
+def _of_slots(centres: DataFrame, places: DataFrame, axes: list[str]) -> DataFrame:
+    """Rows of places as rows of the centres' slots; a place that is null is one, too."""
+    at = ["key", *axes]
+    own = centres.select("slot", *[F.col(a).alias(f"own_{a}") for a in at])
+    return own.join(places, reduce(and_, [F.col(f"own_{a}").eqNullSafe(F.col(a)) for a in at])).select("slot", *[c for c in places.columns if c not in at])
+
+
+def boxes_at(centres: DataFrame, rows: DataFrame, extents: dict[str, int], fill: float = 0.0) -> DataFrame:
+    """The boxes of ``read_boxes`` for each place that has a centre: key and axes in place of the slot.
+
+    A box is one equi-join for each of its lines. A line meets each place at most once for each line of a box, so how many
+    rows a line meets is bounded by its length, not by the centres.
     """
     *lead, last = extents
-    need = centres
+    need = centres.select("key", *extents).distinct()
     for a in lead:
         need = need.withColumn(f"{a}_at", F.explode(F.sequence(F.lit(0), F.lit(extents[a] - 1)))).withColumn(f"{a}_line", F.col(a) + F.col(f"{a}_at") - extents[a] // 2)
     known = rows.select("key", *[F.col(a).alias(f"{a}_line") for a in lead], "line")
     met = need.join(known, ["key", *[f"{a}_line" for a in lead]], "left")
     left = F.col(last) - extents[last] // 2
-    return met.select("slot", *[f"{a}_at" for a in lead], patch_line(F.col("line"), left, extents[last], fill).alias("values"), _inside(F.col("line"), left, extents[last]).alias("inside"))
+    return met.select("key", *extents, *[f"{a}_at" for a in lead], patch_line(F.col("line"), left, extents[last], fill).alias("values"), _inside(F.col("line"), left, extents[last]).alias("inside"))
+
+
+def over_boxes(centres: DataFrame, rows: DataFrame, extents: dict[str, int], *folds: Column, fill: float = 0.0) -> DataFrame:
+    """``slot`` and the aggregates ``folds`` of each centre's box (of ``values`` and ``inside`` of its lines), made once for a place."""
+    return _of_slots(centres, boxes_at(centres, rows, extents, fill).groupBy("key", *extents).agg(*folds), list(extents))
 
 
 def patch_line(line: Column, left: Column, width: int, fill: float) -> Column:

@@ -169,8 +169,8 @@ def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """5 x 5 patches of the embeddings around the events' centres: slot, inside, patch_sum."""
     centres = table(spark, sf_dir, "events").select(F.col("event_id").alias("slot"), F.lit("stack").alias("key"), (F.pmod("user_id", big(150)) * 3).alias("y"), F.pmod("event_id", big(64)).alias("x"))
     rows = stack(spark, sf_dir).withColumnRenamed("idx", "y")
-    lines = R.read_patches(centres, rows, (5, 5))
-    return lines.groupBy("slot").agg(F.sum("inside").alias("inside"), F.sum(scaled_sum(F.col("values"))).alias("patch_sum"))
+    boxes = R.over_boxes(centres, rows, {"y": 5, "x": 5}, F.sum("inside").alias("inside"), F.sum(scaled_sum(F.col("values"))).alias("patch_sum"))
+    return boxes.groupBy("slot").agg(F.sum("inside").alias("inside"), F.sum("patch_sum").alias("patch_sum"))
 
 
 @query(f"""WITH c AS (SELECT event_id AS slot, (user_id % 150) * 3 AS y, event_id % 64 AS x FROM events),

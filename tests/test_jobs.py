@@ -6,9 +6,11 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arrayloom import jobs
 from arrayloom.errors import FormatError, UnsupportedError
+from arrayloom.operators import reads as R
 from arrayloom.sources import mrc, tiff
 from arrayloom.sources import spark as source
 from arrayloom.sources.registry import open_image, write_image
@@ -165,3 +167,25 @@ def test_tiff_directories_are_followed_at_once(tmp_path, dtype, classic, strip,
         tiff.open_tiff("a.tif", bytes(odd))
     with pytest.raises(FormatError):
         tiff.open_tiff("a.tif", raw[: int(at[700]) + 3])
+
+
+def test_centres_at_one_place_share_their_box(spark):
+    """The join has a row for each line of a place, however many centres lie there; each slot has its lines, as has one without a place."""
+    volume = np.random.default_rng(8).random((4, 5, 6))
+    rows = spark.createDataFrame([("v", z, y, volume[z, y].tolist()) for z, y in np.ndindex(4, 5)], "key string, z long, y long, line array<double>")
+    at = [(0, 0, 0), (2, 3, 4), (3, 4, 5), (-1, 2, 7), (9, 9, 9)]
+    centres = [(s, "v", *at[s % 5]) for s in range(3000)] + [(3000, "other", 1, 1, 1), (3001, "v", None, 1, 1), (3002, None, 1, 1, 1)]
+    frame = spark.createDataFrame(centres, "slot long, key string, z long, y long, x long")
+    extents = {"z": 3, "y": 2, "x": 4}
+    assert R.boxes_at(frame, rows, extents, -1).count() == (5 + 3) * 6  # 6 for each centre before
+    got = {}
+    for r in R.read_boxes(frame, rows, extents, -1).collect():
+        got.setdefault(r.slot, {})[r.z_at, r.y_at] = (r["values"], r.inside)
+    padded = np.pad(volume, 12, constant_values=-1)
+    for slot, key, *place in centres[:3001]:
+        z, y, x = (12 + p - n // 2 for p, n in zip(place, extents.values()))
+        want = padded[z : z + 3, y : y + 2, x : x + 4] if key == "v" else np.full((3, 2, 4), -1.0)
+        assert len(got[slot]) == 6 and all(got[slot][k][0] == want[k].tolist() and got[slot][k][1] == (want[k] >= 0).sum() for k in np.ndindex(3, 2))
+    assert len(got) == len(centres) and len(got[3001]) == len(got[3002]) == 6
+    sums = R.over_boxes(frame, rows, extents, F.sum("inside").alias("n"), fill=-1)
+    assert {r.slot: r.n for r in sums.collect()} == {s: sum(n for _, n in lines.values()) for s, lines in got.items()}
